@@ -135,8 +135,8 @@ class Restorer:
                         s = symbol(c)
                         total += float(self.costs[x, y, s])
                         x, y = y, s
-                    # The letters since the last choice keep apart readings that meet in a state.
-                    key = (x, y, (text + letters)[-4:])
+                    # The state is the last eight letters: readings that differ before them have met.
+                    key = (x, y, (text + letters)[-8:])
                     if key not in new or total < new[key][0]:
                         new[key] = (total, text + letters)
             states = dict(sorted(new.items(), key=lambda kv: (kv[1][0], kv[1][1]))[: self.beam])
@@ -266,13 +266,14 @@ def crc_mod4(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least: int = 6, sure: float = 0.7, entries: int = 20_000, seed: int = 29) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least: int = 4, sure: float = 0.9, entries: int = 20_000, seed: int = 29) -> dict[str, float]:
     """Features with the probability of label 1 given their presence.
 
     Learned from at most ``most`` labelled rows (a quarter of them may be of label 1) whose
     crc32 of the id is not 2 modulo 4, chosen by a seeded hash of their ids.  Features are
     counted once a document, added up in each batch before they are shuffled.  Kept are those
-    of at least ``least`` toxic documents whose lower confidence bound is above ``sure``.
+    of at least ``least`` toxic documents that explain documents which stronger features do not
+    (see ``cover``), and all whose lower confidence bound is above ``sure``.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_mod4(id_col) != 2)).groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     known = known.withColumn("order", F.xxhash64(F.lit(seed), F.col("label_id").cast("string")))
@@ -289,14 +290,58 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_pydict({"feature": pa.array(list(both), pa.string()), "pos": pa.array([total[1][f] for f in both], pa.int64()), "neg": pa.array([total[0][f] for f in both], pa.int64())})
 
     found = some.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = found.where((F.col("pos") >= least) & (F.col("pos") > 4 * F.col("neg"))).orderBy(F.desc("pos"), "feature").limit(entries).collect()
-    lexicon = {}
-    for r in rows:
-        n = r["pos"] + r["neg"]
-        p, z = r["pos"] / n, 1.96
-        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-        if low > sure:
-            lexicon[r["feature"]] = round(min(0.995, low), 6)
+    rows = found.where((F.col("pos") >= least) & (F.col("pos") > 2 * F.col("neg"))).orderBy(F.desc("pos"), "feature").limit(entries).collect()
+    counted = {r["feature"]: (r["pos"], r["neg"]) for r in rows}
+    candidates = {f for f, (p, n) in counted.items() if lower_bound(p, n) > 0.6}
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2000):
+            own = []
+            for text in batch.column(0).to_pylist():
+                words = {core(ENDS.sub("", t)) for t in (text or "").lower().split()}
+                own.append(sorted({f for w in words if 2 <= len(w) <= 40 for f in features(w)} & candidates))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["features"])
+
+    toxic = [set(r["features"]) for r in some.where("label = 1").select("text").mapInArrow(present, "features array<string>").collect()]
+    lexicon = cover(toxic, {f: n for f, (_, n) in counted.items()}, least)
+    for f, (p, n) in counted.items():
+        if lower_bound(p, n) > sure:
+            lexicon[f] = max(lexicon.get(f, 0.0), lower_bound(p, n))
+    return {f: round(min(0.995, p), 6) for f, p in sorted(lexicon.items())}
+
+
+def lower_bound(pos: int, neg: int, z: float = 1.96) -> float:
+    """Wilson's lower bound of the share of toxic documents."""
+    n = pos + neg
+    if not n:
+        return 0.0
+    p = pos / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def cover(documents: list[set[str]], neg: dict[str, int], least: int) -> dict[str, float]:
+    """Features that explain the toxic documents one after the other, strongest first.
+
+    What only goes along with a stronger feature, as in copies of one document, is left
+    with no documents of its own and drops out.
+    """
+    by: dict[str, set[int]] = {}
+    for k, own in enumerate(documents):
+        for f in own:
+            by.setdefault(f, set()).add(k)
+    lexicon: dict[str, float] = {}
+    while by:
+        f = max(by, key=lambda f: (lower_bound(len(by[f]), neg.get(f, 0)) * len(by[f]), f))
+        covered = by.pop(f)
+        if len(covered) < least:
+            break
+        p = lower_bound(len(covered), neg.get(f, 0))
+        if p > 0.5:
+            lexicon[f] = p
+            for k in covered:
+                for g in documents[k]:
+                    if g in by:
+                        by[g].discard(k)
     return lexicon
 
 
