@@ -59,29 +59,47 @@ def chunkable(path: str | None) -> bool:
     return t["model"]["type"] == "BPE" and t.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not t["model"].get("dropout")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Misses(dict):
-    """A worker's cache of what chunks encode to, emptied when it is full."""
+    """A worker's cache of what chunks encode to, in two generations.
+
+    When the young one is full it becomes the old one; what is met again moves back.
+    """
 
     def __init__(self, encode: Callable[[str], Any], most: int) -> None:
         self.encode, self.most = encode, most
+        self.old: dict[str, Any] = {}
 
     def __missing__(self, chunk: str) -> Any:
-        value = self.encode(chunk)
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.encode(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = value
         return value
 
 
-class Spaced(dict):
-    """Looks up words that follow a space: the frequent ones here, others in ``misses``.
+class Spaced(Misses):
+    """Values of words that follow a space: the broadcast tier, and over it the worker's cache.
 
-    A word with a line end inside, or with a stop after a letter, is the sum of its parts.
+    The frequent words stay; others age as in ``Misses``.  A word with a line end inside, or
+    with a stop after a letter, is the sum of its parts; one of letters alone goes straight
+    to the merges.
     """
 
-    def __init__(self, frequent: dict[str, Any], misses: Misses, stops: dict[str, Any]) -> None:
-        super().__init__((k[1:], v) for k, v in frequent.items() if k[:1] == " ")
+    def __init__(self, frequent: dict[str, Any], misses: Misses, letters: Callable[[str], Any], stops: dict[str, Any], most: int) -> None:
+        super().__init__(letters, most + len(frequent))
+        self.frequent = {k[1:]: v for k, v in frequent.items() if k[:1] == " "}
+        self.update(self.frequent)
         self.misses, self.stops = misses, stops
 
     def __missing__(self, word: str) -> Any:
@@ -91,37 +109,50 @@ class Spaced(dict):
             for x in rest:
                 value += self.misses["\n" + x]
             return value
-        if word[-1:] in self.stops and word[-2:-1].isalpha():
-            return self[word[:-1]] + self.stops[word[-1]]
-        return self.misses[" " + word]
+        value = self.old.get(word)
+        if value is None:
+            if word.isalpha():
+                value = self.encode(word)
+            elif word[-1:] in self.stops and word[-2:-1].isalpha():
+                return self[word[:-1]] + self.stops[word[-1]]
+            else:
+                return self.misses[" " + word]
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = {k: v for k, v in self.items() if k not in self.frequent}
+                self.clear()
+                self.update(self.frequent)
+            self[word] = value
+        return value
 
 
 class Encoder:
     """Values of whole texts added up from those of their chunks.
 
-    ``of(ids)`` makes a value from token ids; values must add up with ``+``.
+    ``of(ids)`` makes a value from token ids; values must add up with ``+``.  A space and
+    letters are one pre-token, so such a chunk goes straight to the library's merges.
     """
 
-    def __init__(self, path: str | None, of: Callable[[list[int]], Any], frequent: dict[str, Any], join: Callable[[Any], Any], most: int = 1_000_000) -> None:
+    def __init__(self, path: str | None, of: Callable[[list[int]], Any], frequent: dict[str, Any], join: Callable[[Any], Any], most: int = 500_000) -> None:
         t = load(path)
         self.whole = lambda s: of(t.encode(s, add_special_tokens=False).ids)
         self.join = join
         self.special = tuple(x.content for x in t.get_added_tokens_decoder().values())
         self.chunks = chunkable(path)
-        self.misses = Misses(self.whole, most)
-        self.spaced = Spaced(frequent, self.misses, {x: self.whole(x) for x in STOPS})
+        table, model = byte_letters(), t.model
+        space = table[32]
+
+        def letters(word: str) -> Any:
+            return of([x.id for x in model.tokenize(space + word.encode().decode("latin-1").translate(table))])
+
+        self.misses = Misses(self.whole, most // 4)
+        self.spaced = Spaced(frequent, self.misses, letters, {x: self.whole(x) for x in STOPS}, most)
 
     def __call__(self, text: str) -> Any:
         if not self.chunks or any(x in text for x in self.special):
             return self.whole(text)
         if RARE.search(text) or text[:1] in " \n" or text[-1:] in " \n":
             return self.join(map(self.misses.__getitem__, CHUNK.findall(text)))
-        if not text:
-            return self.whole("")
         first, *rest = text.split(" ")
-        if "\n" in first:
-            first, *more = first.split("\n")
-            head = [self.misses[first], *(self.misses["\n" + x] for x in more)]
-        else:
-            head = [self.misses[first]]
-        return self.join(head) + self.join(map(self.spaced.__getitem__, rest))
+        head = first.split("\n")
+        return self.join([self.misses[head[0]], *(self.misses["\n" + x] for x in head[1:])]) + self.join(map(self.spaced.__getitem__, rest))

@@ -73,7 +73,7 @@ def count_tokens(
     tokenizer: str | None = None,
     limit: int = 1024,
     entries: int = 1 << 15,
-    cache: int = 400_000,
+    cache: int = 500_000,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, and nothing else, one row per row of ``docs``.
 

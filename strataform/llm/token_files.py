@@ -138,7 +138,7 @@ def write_tokens(
     bucket_bytes: int = 64 << 20,
     segment_ids: int = 1 << 18,
     percentile: float = 0.9,
-    cache: int = 250_000,
+    cache: int = 500_000,
 ) -> None:
     """Writes the ids of all texts, each with ``end_id`` after it, in ascending order of document id.
 
