@@ -15,8 +15,8 @@ from typing import Any
 WHITE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{WHITE_CLASS}]")
 CHUNK = re.compile(f"[{WHITE_CLASS}]*[^{WHITE_CLASS}]+|[{WHITE_CLASS}]+")
-#: White space other than single spaces and single line ends.
-RARE = re.compile(r"[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n]{2}")
+#: White space other than the space and the line end.
+RARE = re.compile(r"[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Punctuation that is a pre-token by itself after a letter.
 STOPS = ".,;:!?"
 #: A longer chunk is encoded each time it is met.
@@ -66,6 +66,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def plain(text: str) -> bool:
+    """Whether the only white space is single spaces and single line ends between words.
+
+    Searches for single characters run at the speed of memory, which a pattern does not.
+    """
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not RARE.search(text)
+    return "\x85" not in text and "\xa0" not in text
+
+
 class Misses(dict):
     """A worker's cache of what chunks encode to, in two generations.
 
@@ -114,7 +132,7 @@ class Spaced(Misses):
             if word.isalpha():
                 value = self.encode(word)
             elif word[-1:] in self.stops and word[-2:-1].isalpha():
-                return self[word[:-1]] + self.stops[word[-1]]
+                value = self[word[:-1]] + self.stops[word[-1]]
             else:
                 return self.misses[" " + word]
         if len(word) <= LONGEST:
@@ -151,7 +169,7 @@ class Encoder:
     def __call__(self, text: str) -> Any:
         if not self.chunks or any(x in text for x in self.special):
             return self.whole(text)
-        if RARE.search(text) or text[:1] in " \n" or text[-1:] in " \n":
+        if not plain(text):
             return self.join(map(self.misses.__getitem__, CHUNK.findall(text)))
         first, *rest = text.split(" ")
         head = first.split("\n")
