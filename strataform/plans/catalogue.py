@@ -1,15 +1,562 @@
-"""All queries of the engine's own operators, by name, with the SQL that gives the same rows."""
+"""All queries of the engine's own operators, by name, with the SQL that gives the same rows.
+
+Blocks have 4,096 rows here, so that the small tables have several.  Row positions are the
+dense keys of the tables; ``lineitem`` has none and is numbered by its columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.exprs import div
+from ..operators import doubles, graph, guards, hashing, integers, logical, rows, runs, strings
+from . import containers, trees
+
+B = 4096
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def blocks(spark: SparkSession, sf_dir: str, name: str, row: str, value) -> DataFrame:
+    """row, v, blk and pos of one column."""
+    df = table(spark, sf_dir, name).select(F.col(row).cast("bigint").alias("row"), value.alias("v"))
+    return rows.with_block(df, "row", B)
+
+
+# -- rows and columns ---------------------------------------------------------------------
+
+POSITIONS = [7, 3, 3, 4095, 4096, 999, 0, 17]
+
+
+@query("SELECT event_id, value FROM events WHERE event_id BETWEEN 4090 AND 4100")
+def rows_select_events(spark, sf_dir):
+    return rows.window(rows.select(table(spark, sf_dir, "events"), ["event_id", "value"]), "event_id", 4090, 4100)
+
+
+@query(f"SELECT CAST(p.place AS BIGINT) AS place, e.event_id, e.event_type FROM (VALUES {', '.join(f'({k}, {p})' for k, p in enumerate(POSITIONS))}) AS p(place, pos) JOIN events e ON e.event_id = p.pos")
+def rows_take_repeats(spark, sf_dir):
+    df = rows.select(table(spark, sf_dir, "events"), ["event_id", "event_type"])
+    return rows.take(df, "event_id", POSITIONS).select("place", "event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id < 0")
+def rows_empty(spark, sf_dir):
+    return rows.take(rows.select(table(spark, sf_dir, "events"), ["event_id", "event_type"]), "event_id", []).select("event_id", "event_type")
+
+
+@query("SELECT o_totalprice, o_orderkey, o_orderpriority FROM orders")
+def select_positions(spark, sf_dir):
+    return rows.select(table(spark, sf_dir, "orders"), [4, 1, 6])
+
+
+@query("SELECT l_orderkey, l_discount FROM lineitem")
+def select_wide_lineitem(spark, sf_dir):
+    return rows.select(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_discount"])
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first_element, CAST(embedding[8] AS DOUBLE) AS eighth_element, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
+def vector_elements(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("first_element"), F.element_at("embedding", 8).cast("double").alias("eighth_element"), F.size("embedding").cast("bigint").alias("n"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS BIGINT) AS row_id, l_orderkey, l_linenumber FROM lineitem")
+def rows_numbered_lineitem(spark, sf_dir):
+    return lineitem_rows(spark, sf_dir).select(F.col("row").alias("row_id"), "l_orderkey", "l_linenumber")
+
+
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+
+
+def lineitem_rows(spark, sf_dir):
+    return rows.number(table(spark, sf_dir, "lineitem"), ORDER)
+
+
+LINES = f"lines AS (SELECT *, row_number() OVER (ORDER BY {', '.join(ORDER)}) - 1 AS rw FROM lineitem)"
+
+# -- logical blocks -----------------------------------------------------------------------
+
+
+def flags(spark, sf_dir):
+    value = F.when(F.col("user_id") % 17 == 0, F.lit(None).cast("boolean")).otherwise(F.col("user_id") % 3 == 0)
+    return blocks(spark, sf_dir, "events", "event_id", value)
+
+
+FLAGS = f"f AS (SELECT event_id AS rw, event_id // {B} AS blk, event_id % {B} AS pos, CASE WHEN user_id % 17 = 0 THEN NULL ELSE user_id % 3 = 0 END AS v FROM events)"
+FLAG_RUNS = "r AS (SELECT blk, sum(c) AS runs FROM (SELECT blk, CASE WHEN row_number() OVER w = 1 THEN 1 WHEN lag(v) OVER w IS NOT DISTINCT FROM v THEN 0 ELSE 1 END AS c FROM f WINDOW w AS (PARTITION BY blk ORDER BY rw)) GROUP BY blk)"
+FLAG_STATS = "s AS (SELECT f.blk, count(*) AS n, count(*) FILTER (v = false) AS n_false, count(*) FILTER (v = true) AS n_true, count(*) FILTER (v IS NULL) AS n_na, CAST(any_value(r.runs) AS BIGINT) AS runs FROM f JOIN r ON r.blk = f.blk GROUP BY f.blk)"
+DEFAULT = "CASE WHEN n_false = greatest(n_false, n_true, n_na) THEN 0 WHEN n_true = greatest(n_false, n_true, n_na) THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {FLAGS}, {FLAG_RUNS}, {FLAG_STATS} SELECT blk, n, n_false, n_true, n_na, runs, {DEFAULT} AS default_state FROM s")
+def logical_stats(spark, sf_dir):
+    return logical.stats(flags(spark, sf_dir))
+
+
+@query(f"WITH {FLAGS} SELECT blk, pos // 32 AS word, CAST(sum(CASE WHEN v THEN 1::BIGINT << (pos % 32)::INTEGER ELSE 0 END) AS BIGINT) AS true_word, CAST(sum(CASE WHEN v IS NULL THEN 1::BIGINT << (pos % 32)::INTEGER ELSE 0 END) AS BIGINT) AS na_word FROM f GROUP BY blk, pos // 32")
+def logical_bitplane(spark, sf_dir):
+    return logical.planes(flags(spark, sf_dir))
+
+
+@query(f"WITH {FLAGS} SELECT blk, pos, v FROM f")
+def logical_bitplane_restore(spark, sf_dir):
+    df = flags(spark, sf_dir)
+    return logical.unplaned(logical.planes(df)).join(df.select("blk", "pos"), ["blk", "pos"], "left_semi")
+
+
+@query(f"WITH {FLAGS}, {FLAG_RUNS}, {FLAG_STATS}, d AS (SELECT blk, {DEFAULT} AS def FROM s) SELECT f.blk, f.pos, CASE WHEN v IS NULL THEN 2 WHEN v THEN 1 ELSE 0 END AS state FROM f JOIN d ON d.blk = f.blk WHERE CASE WHEN v IS NULL THEN 2 WHEN v THEN 1 ELSE 0 END <> def")
+def logical_sparse(spark, sf_dir):
+    return logical.exceptions(flags(spark, sf_dir))
+
+
+RUNS_SQL = """
+    , marked AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 1 WHEN lag({key}) OVER w IS NOT DISTINCT FROM {key} THEN 0 ELSE 1 END AS c FROM {src} WINDOW w AS (PARTITION BY blk ORDER BY rw)),
+    numbered AS (SELECT *, CAST(sum(c) OVER (PARTITION BY blk ORDER BY rw) AS BIGINT) AS run FROM marked),
+    found AS (SELECT blk, run, any_value(v) AS value, CAST(min(rw) AS BIGINT) AS first, count(*) AS len FROM numbered GROUP BY blk, run)
+    SELECT blk, run, value, first, len, CAST(sum(len) OVER (PARTITION BY blk ORDER BY run) AS BIGINT) AS "end" FROM found"""
+
+
+@query(f"WITH f AS (SELECT o_orderkey AS rw, o_orderkey // {B} AS blk, o_orderstatus = 'F' AS v FROM orders)" + RUNS_SQL.format(key="v", src="f"))
+def logical_runs(spark, sf_dir):
+    return runs.runs(blocks(spark, sf_dir, "orders", "o_orderkey", F.col("o_orderstatus") == "F"), "v")
+
+
+PERIODIC = f"f AS (SELECT event_id AS rw, event_id // {B} AS blk, event_id % {B} AS pos, event_id % 6 IN (0, 2, 5) AS v FROM events)"
+PERIODS = f"""p AS (SELECT a.blk, min(k) AS period FROM (
+    SELECT s.blk, s.n, k.k, count(*) FILTER (CAST(x.v AS INTEGER) IS DISTINCT FROM CAST(y.v AS INTEGER)) AS misses
+    FROM s, range(2, 65) AS k(k) JOIN f x ON true JOIN f y ON y.blk = x.blk AND y.pos = x.pos - k.k
+    WHERE x.blk = s.blk AND 2 * s.runs > s.n AND s.n >= 4 * k.k GROUP BY s.blk, s.n, k.k) a WHERE misses = 0 GROUP BY a.blk)"""
+
+
+@query(f"WITH {PERIODIC}, {FLAG_RUNS}, {FLAG_STATS}, {PERIODS} SELECT blk, CAST(period AS BIGINT) AS period FROM p")
+def logical_period(spark, sf_dir):
+    return logical.periods(blocks(spark, sf_dir, "events", "event_id", (F.col("event_id") % 6).isin(0, 2, 5)))
+
+
+CHOICE = """SELECT s.blk, n, dense_bytes, sparse_bytes, run_bytes, period_bytes, CASE
+      WHEN greatest(n_false, n_true, n_na) = n THEN 'constant'
+      WHEN period_bytes < least(dense_bytes, sparse_bytes, run_bytes) THEN 'periodic'
+      WHEN run_bytes < dense_bytes AND run_bytes <= sparse_bytes THEN 'runs'
+      WHEN sparse_bytes < dense_bytes THEN 'sparse' ELSE 'dense' END AS encoding
+    FROM (SELECT s.*, CAST(4 + ((n_false > 0)::INT + (n_true > 0)::INT + (n_na > 0)::INT - 1) * ((n + 7) // 8) AS BIGINT) AS dense_bytes,
+      16 + 2 * (n - greatest(n_false, n_true, n_na)) AS sparse_bytes, 8 + 8 * runs AS run_bytes, CAST(8 + (p.period + 3) // 4 AS BIGINT) AS period_bytes
+      FROM s LEFT JOIN p ON p.blk = s.blk) s"""
+
+
+@query(f"WITH {FLAGS}, {FLAG_RUNS}, {FLAG_STATS}, {PERIODS} {CHOICE}")
+def logical_choice(spark, sf_dir):
+    return logical.choose(flags(spark, sf_dir))
+
+
+@query(f"WITH {PERIODIC}, {FLAG_RUNS}, {FLAG_STATS}, {PERIODS} {CHOICE}")
+def logical_choice_periodic(spark, sf_dir):
+    return logical.choose(blocks(spark, sf_dir, "events", "event_id", (F.col("event_id") % 6).isin(0, 2, 5)))
+
+
+@query("SELECT CAST(user_id % 256 AS INTEGER) AS byte, event_id, CAST(k AS INTEGER) AS slot, CAST((user_id % 256) >> (2 * k) & 3 AS INTEGER) AS state FROM events, range(0, 4) AS k(k)")
+def logical_two_bit(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 256).cast("int").alias("byte"))
+    return logical.two_bit(df).select("byte", "event_id", "slot", "state")
+
+
+# -- integer blocks -----------------------------------------------------------------------
+
+
+def customers(spark, sf_dir, missing=True):
+    key = F.col("o_custkey")
+    return blocks(spark, sf_dir, "orders", "o_orderkey", (F.when(key % 50 != 0, key) if missing else key).cast("int"))
+
+
+def _ints(value: str, src: str = "orders", row: str = "o_orderkey") -> str:
+    return f"f AS (SELECT {row} AS rw, {row} // {B} AS blk, {row} % {B} AS pos, CAST({value} AS INTEGER) AS v FROM {src})"
+
+
+MISSING = _ints("CASE WHEN o_custkey % 50 <> 0 THEN o_custkey END")
+PRESENT = _ints("o_custkey")
+INT_STATS = """m AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 1 WHEN lag(v) OVER w IS NOT DISTINCT FROM v THEN 0 ELSE 1 END AS c, CAST(v AS BIGINT) - lag(v) OVER w AS d FROM f WINDOW w AS (PARTITION BY blk ORDER BY rw)),
+    s AS (SELECT blk, count(*) AS n, count(*) FILTER (v IS NULL) AS n_na, CAST(min(v) AS BIGINT) AS min_v, CAST(max(v) AS BIGINT) AS max_v, CAST(sum(c) AS BIGINT) AS runs, CAST(min(d) AS BIGINT) AS min_step, CAST(max(d) AS BIGINT) AS max_step FROM m GROUP BY blk)"""
+WIDTHS = """w AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE length(bin(x)) END AS for_width, CASE WHEN n_na = 0 AND n >= 2 THEN CASE WHEN y = 0 THEN 0 ELSE length(bin(y)) END END AS delta_width
+      FROM (SELECT *, CAST(coalesce(max_v - min_v, 0) + CASE WHEN n_na > 0 THEN 1 ELSE 0 END AS BIGINT) AS x, CAST(max_step - min_step AS BIGINT) AS y FROM s) AS t),
+    z AS (SELECT *, 8 + (n * for_width + 7) // 8 AS for_bytes, CASE WHEN delta_width <= 32 THEN 16 + ((n - 1) * delta_width + 7) // 8 END AS delta_bytes FROM w)"""
+
+
+@query(f"WITH {MISSING}, {INT_STATS} SELECT * FROM s")
+def int_stats(spark, sf_dir):
+    return integers.stats(customers(spark, sf_dir))
+
+
+@query(f"WITH {MISSING}, {INT_STATS}, {WIDTHS} SELECT blk, min_v, CAST(for_width AS BIGINT) AS for_width, CAST(for_bytes AS BIGINT) AS for_bytes FROM z")
+def int_for(spark, sf_dir):
+    return integers.frame(integers.stats(customers(spark, sf_dir))).select("blk", "min_v", "for_width", "for_bytes")
+
+
+@query(f"WITH {MISSING}, {INT_STATS}, {WIDTHS} SELECT f.blk, f.rw AS row_id, CAST(CASE WHEN v IS NULL THEN (1::BIGINT << for_width::INTEGER) - 1 ELSE v - min_v END AS BIGINT) AS code FROM f JOIN z ON z.blk = f.blk")
+def int_for_codes(spark, sf_dir):
+    return integers.codes(customers(spark, sf_dir)).withColumnRenamed("row", "row_id")
+
+
+@query(f"WITH {PRESENT}, {INT_STATS}, {WIDTHS} SELECT blk, CAST(delta_width AS BIGINT) AS delta_width, CAST(delta_bytes AS BIGINT) AS delta_bytes FROM z")
+def int_delta(spark, sf_dir):
+    return integers.delta(integers.stats(customers(spark, sf_dir, False))).select("blk", "delta_width", "delta_bytes")
+
+
+@query(f"WITH {PRESENT} SELECT blk, rw AS row_id, CAST(v AS BIGINT) AS v FROM f")
+def int_delta_restore(spark, sf_dir):
+    return integers.restored(integers.steps(customers(spark, sf_dir, False))).withColumnRenamed("row", "row_id")
+
+
+@query(f"WITH {MISSING}" + RUNS_SQL.format(key="v", src="f"))
+def int_runs(spark, sf_dir):
+    return runs.runs(customers(spark, sf_dir), "v")
+
+
+@query(f"WITH {PRESENT} SELECT rw AS row_id, CAST(v & 255 AS BIGINT) AS b0, CAST((v >> 8) & 255 AS BIGINT) AS b1, CAST((v >> 16) & 255 AS BIGINT) AS b2, CAST((v >> 24) & 255 AS BIGINT) AS b3 FROM f")
+def int_byteplanes(spark, sf_dir):
+    return integers.planes(customers(spark, sf_dir, False)).select(F.col("row").alias("row_id"), "b0", "b1", "b2", "b3")
+
+
+@query(f"WITH {_ints('750 - o_custkey')} SELECT rw AS row_id, CAST(v AS BIGINT) AS v FROM f")
+def int_byteplanes_restore(spark, sf_dir):
+    df = blocks(spark, sf_dir, "orders", "o_orderkey", (750 - F.col("o_custkey")).cast("int"))
+    return integers.joined_planes(integers.planes(df)).select(F.col("row").alias("row_id"), F.col("v").cast("bigint").alias("v"))
+
+
+@query(f"WITH {_ints('p_size', 'part', 'p_partkey')}, {INT_STATS}, {WIDTHS} SELECT blk, CAST(for_width AS BIGINT) AS for_width, CAST(CASE WHEN for_width BETWEEN 1 AND 8 AND 8 + n < 4 * n THEN 8 WHEN for_width BETWEEN 9 AND 16 AND 8 + 2 * n < 4 * n THEN 16 ELSE for_width END AS BIGINT) AS stored_bits FROM z")
+def int_level0_width(spark, sf_dir):
+    df = blocks(spark, sf_dir, "part", "p_partkey", F.col("p_size").cast("int"))
+    return integers.widened(integers.frame(integers.stats(df))).select("blk", "for_width", "stored_bits")
+
+
+@query(f"WITH {PRESENT}, k AS (SELECT blk, greatest(count(*) // 512, 1) AS step FROM f GROUP BY blk) SELECT f.blk, count(*) AS sampled, count(DISTINCT v) AS distinct_v, 2 * count(DISTINCT v) < count(*) AS plain FROM f JOIN k ON k.blk = f.blk WHERE pos % step = 0 GROUP BY f.blk")
+def int_plain_vs_planes(spark, sf_dir):
+    return integers.plain_wins(customers(spark, sf_dir, False), 512)
+
+
+INT_CHOICE = """, c AS (SELECT blk, n, n_na, 8 + 8 * runs AS run_bytes, CAST(CASE WHEN delta_width < for_width THEN delta_bytes END AS BIGINT) AS delta_bytes, CAST(for_bytes AS BIGINT) AS for_bytes, 4 * n AS raw_bytes FROM z),
+    l AS (SELECT *, CAST(least(run_bytes, coalesce(delta_bytes, run_bytes), for_bytes, raw_bytes) AS BIGINT) AS bytes FROM c)
+    SELECT *, CASE WHEN run_bytes = bytes THEN 'runs' WHEN delta_bytes = bytes THEN 'delta' WHEN for_bytes = bytes THEN 'frame' ELSE 'raw' END AS encoding FROM l"""
+
+
+@query(f"WITH {MISSING}, {INT_STATS}, {WIDTHS}{INT_CHOICE}")
+def int_choice(spark, sf_dir):
+    return integers.choose(customers(spark, sf_dir))
+
+
+@query(f"WITH {LINES}, {_ints('l_linenumber', 'lines', 'rw')}, {INT_STATS}, {WIDTHS}{INT_CHOICE}")
+def int_choice_lineitem(spark, sf_dir):
+    df = lineitem_rows(spark, sf_dir).select("row", F.col("l_linenumber").cast("int").alias("v"))
+    return integers.choose(rows.with_block(df, "row", B))
+
+
+@query(f"WITH {_ints('3 * o_orderkey - 5')}, {INT_STATS}, {WIDTHS}{INT_CHOICE}")
+def int_choice_progression(spark, sf_dir):
+    return integers.choose(blocks(spark, sf_dir, "orders", "o_orderkey", (3 * F.col("o_orderkey") - 5).cast("int")))
+
+
+# -- double blocks ------------------------------------------------------------------------
+
+
+def discounts(spark, sf_dir):
+    df = lineitem_rows(spark, sf_dir).select("row", F.col("l_discount").alias("v"))
+    return rows.with_block(df, "row", B)
+
+
+def prices(spark, sf_dir):
+    return blocks(spark, sf_dir, "orders", "o_orderkey", F.col("o_totalprice"))
+
+
+@query(f"WITH {LINES}, f AS (SELECT rw, rw // {B} AS blk, l_discount AS v FROM lines)" + RUNS_SQL.format(key="CAST(v AS VARCHAR)", src="f"))
+def dbl_runs_bits(spark, sf_dir):
+    return doubles.bit_runs(discounts(spark, sf_dir))
+
+
+def _decimal(v: str, e: int) -> str:
+    p = float(10**e)
+    return f"(floor({v} * {p}::DOUBLE + 0.5::DOUBLE) / {p}::DOUBLE = {v})"
+
+
+def _places(v: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_decimal(v, e)} THEN {e}" for e in range(5)) + " END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, CAST({_places(c)} AS BIGINT) AS places, count(*) AS n FROM lineitem GROUP BY {_places(c)}" for c in ("l_discount", "l_tax", "l_extendedprice", "l_quantity")))
+def dbl_decimal_places(spark, sf_dir):
+    names = ("l_discount", "l_tax", "l_extendedprice", "l_quantity")
+    df = table(spark, sf_dir, "lineitem")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), doubles.decimal_places(c).alias("places")) for c in names)))
+    return df.select(cells.alias("c")).groupBy("c.name", "c.places").agg(F.count(F.lit(1)).alias("n"))
+
+
+ALP = """n AS (SELECT rw, rw // 1024 AS vec, CASE WHEN {dec} THEN CAST(floor(v * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) END AS k FROM f),
+    g AS (SELECT rw, vec, k, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY vec ORDER BY rw), first_value(k IGNORE NULLS) OVER (PARTITION BY vec ORDER BY rw ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS q FROM n),
+    h AS (SELECT *, q - lag(q) OVER (PARTITION BY vec ORDER BY rw) AS d FROM g),
+    t AS (SELECT vec, count(*) AS n, count(*) FILTER (k IS NULL) AS exceptions, CAST(max(q) - min(q) AS BIGINT) AS x, CAST(max(d) - min(d) AS BIGINT) AS y FROM h GROUP BY vec),
+    u AS (SELECT vec, n, exceptions, CAST(CASE WHEN x = 0 THEN 0 ELSE length(bin(x)) END AS BIGINT) AS for_width, CAST(CASE WHEN n < 2 THEN NULL WHEN y = 0 THEN 0 ELSE length(bin(y)) END AS BIGINT) AS delta_width FROM t),
+    alp AS (SELECT *, coalesce(delta_width + 1 < for_width, false) AS delta, CAST(CASE WHEN coalesce(delta_width + 1 < for_width, false) THEN 24 + ((n - 1) * delta_width + 7) // 8 ELSE 16 + (n * for_width + 7) // 8 END + 10 * exceptions AS BIGINT) AS bytes FROM u)""".replace("{dec}", _decimal("v", 2))
+PRICES = f"f AS (SELECT o_orderkey AS rw, o_orderkey // {B} AS blk, o_totalprice AS v FROM orders)"
+
+
+@query(f"WITH {PRICES}, {ALP} SELECT * FROM alp")
+def dbl_alp_vectors(spark, sf_dir):
+    return doubles.vectors(prices(spark, sf_dir), 2)
+
+
+@query(f"WITH {PRICES} SELECT rw AS row_id, CASE WHEN {_decimal('v', 2)} THEN CAST(floor(v * 100.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) END AS whole, CASE WHEN {_decimal('v', 2)} THEN floor(v * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE ELSE v END AS v FROM f")
+def dbl_alp_restore(spark, sf_dir):
+    whole = F.when(doubles.is_decimal("v", 2), doubles.scaled("v", 2))
+    df = prices(spark, sf_dir).select(F.col("row").alias("row_id"), whole.alias("whole"), "v")
+    return df.withColumn("v", F.coalesce(F.col("whole").cast("double") / 100.0, F.col("v")))
+
+
+@query(f"SELECT count(*) FILTER (NOT {_decimal('c_acctbal', 2)}) AS plain_exceptions, count(*) FILTER (NOT {_decimal('(c_acctbal / 7)', 2)}) AS ratio_exceptions, count(*) AS n FROM customer")
+def dbl_alp_exceptions(spark, sf_dir):
+    bad = lambda c: F.count_if(~doubles.is_decimal(c, 2))
+    return table(spark, sf_dir, "customer").agg(bad(F.col("c_acctbal")).alias("plain_exceptions"), bad(F.col("c_acctbal") / 7).alias("ratio_exceptions"), F.count(F.lit(1)).alias("n"))
+
+
+DBL_CHOICE = f""", m AS (SELECT blk, rw, CASE WHEN row_number() OVER w = 1 THEN 1 WHEN lag(CAST(v AS VARCHAR)) OVER w IS NOT DISTINCT FROM CAST(v AS VARCHAR) THEN 0 ELSE 1 END AS c FROM f WINDOW w AS (PARTITION BY blk ORDER BY rw)),
+    r AS (SELECT blk, count(*) AS n, CAST(sum(c) AS BIGINT) AS runs FROM m GROUP BY blk),
+    e AS (SELECT vec * 1024 // {B} AS blk, CAST(sum(bytes) AS BIGINT) AS decimal_bytes FROM alp GROUP BY vec * 1024 // {B})
+    SELECT r.blk, n, 8 * n AS raw_bytes, 8 + 16 * runs AS run_bytes, decimal_bytes, CASE WHEN n >= 64 AND decimal_bytes < least(8 * n, 8 + 16 * runs) AND 8 * decimal_bytes < 48 * n THEN 'decimal' WHEN 8 + 16 * runs < 8 * n THEN 'runs' ELSE 'raw' END AS encoding FROM r JOIN e ON e.blk = r.blk"""
+
+
+@query(f"WITH f AS (SELECT event_id AS rw, event_id // {B} AS blk, value AS v FROM events), {ALP}{DBL_CHOICE}")
+def dbl_choice(spark, sf_dir):
+    df = blocks(spark, sf_dir, "events", "event_id", F.col("value"))
+    found = doubles.choose(df, 2, B)
+    return found.select("blk", "n", "raw_bytes", "run_bytes", "decimal_bytes", "encoding")
+
+
+@query(f"WITH {PRICES}, {ALP}{DBL_CHOICE}")
+def dbl_choice_prices(spark, sf_dir):
+    return doubles.choose(prices(spark, sf_dir), 2, B).select("blk", "n", "raw_bytes", "run_bytes", "decimal_bytes", "encoding")
+
+
+# -- strings, dictionaries and factors ----------------------------------------------------
+
+
+def words(spark, sf_dir, name, row, column):
+    return table(spark, sf_dir, name).select(F.col(row).cast("bigint").alias("row"), F.col(column).cast("string").alias("v"))
+
+
+def _dictionary(src: str, row: str, column: str) -> str:
+    return f"f AS (SELECT {row} AS rw, CAST({column} AS VARCHAR) AS v FROM {src}), e AS (SELECT CAST(row_number() OVER (ORDER BY min(rw)) - 1 AS BIGINT) AS id, v, CAST(min(rw) AS BIGINT) AS first_row FROM f GROUP BY v)"
+
+
+@query(f"WITH {_dictionary('events', 'event_id', 'event_type')} SELECT * FROM e")
+def str_dictionary(spark, sf_dir):
+    return strings.dictionary(words(spark, sf_dir, "events", "event_id", "event_type"))
+
+
+@query(f"""WITH {_dictionary('events', 'event_id', 'user_id')}, c AS (SELECT rw // {B} AS chunk, id FROM f JOIN e ON e.v = f.v), k AS (SELECT first_row // {B} AS chunk, count(*) AS new_entries FROM e GROUP BY first_row // {B}),
+    s AS (SELECT chunk, count(*) AS n, min(id) AS base, max(id) AS top FROM c GROUP BY chunk)
+    SELECT s.chunk, n, coalesce(new_entries, 0) AS new_entries, base, CAST(CASE WHEN top - base < 256 THEN 1 WHEN top - base < 65536 THEN 2 ELSE 4 END AS BIGINT) AS width, CAST(8 + n * CASE WHEN top - base < 256 THEN 1 WHEN top - base < 65536 THEN 2 ELSE 4 END AS BIGINT) AS index_bytes FROM s LEFT JOIN k ON k.chunk = s.chunk""")
+def str_dict_chunks(spark, sf_dir):
+    return strings.chunks(words(spark, sf_dir, "events", "event_id", "user_id"), B)
+
+
+@query("SELECT o_orderkey AS row_id, o_orderpriority AS v FROM orders")
+def str_dict_roundtrip(spark, sf_dir):
+    df = words(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    entries = strings.dictionary(df)
+    return strings.decode(strings.encode(df, entries), entries).withColumnRenamed("row", "row_id")
+
+
+@query(f"WITH f AS (SELECT event_id // {B} AS chunk, event_id AS rw, event_type AS v FROM events), g AS (SELECT chunk, v, min(rw) AS m FROM f GROUP BY chunk, v) SELECT chunk, v, CAST(row_number() OVER (PARTITION BY chunk ORDER BY m) - 1 AS BIGINT) AS entry FROM g")
+def str_block_dictionary(spark, sf_dir):
+    return strings.block_dictionary(words(spark, sf_dir, "events", "event_id", "event_type"), B)
+
+
+@query("WITH c AS (SELECT user_id, count(*) AS c FROM events GROUP BY user_id), s AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS d, count(*) FILTER (c = 1) AS f1, count(*) FILTER (c = 2) AS f2 FROM c) SELECT n, d, f1, f2, least(1.0::DOUBLE, (d + f1 * (f1 - 1) / (2 * (f2 + 1))::DOUBLE) / n) AS share FROM s")
+def str_distinct_chao1(spark, sf_dir):
+    return strings.distinct_share(words(spark, sf_dir, "events", "event_id", "user_id"))
+
+
+@query(f"SELECT doc_id // {B} AS blk, count(*) AS n, CAST(sum(5 + octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY doc_id // {B}")
+def str_record_bytes(spark, sf_dir):
+    return strings.record_bytes(rows.with_block(words(spark, sf_dir, "documents", "doc_id", "text"), "row", B))
+
+
+STRING_COLUMNS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_brand"), ("part", "p_type"), ("events", "event_type"), ("documents", "text"), ("documents", "lang"), ("pages", "url")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS name, count(*) AS n, count(DISTINCT {c}) AS d, CASE WHEN count(DISTINCT {c}) < 0.75 * count(*) THEN 'global' ELSE 'plain' END AS policy FROM {t}" for t, c in STRING_COLUMNS))
+def str_policy(spark, sf_dir):
+    out = None
+    for t, c in STRING_COLUMNS:
+        one = strings.policy(table(spark, sf_dir, t).select(F.col(c).alias("v"))).select(F.lit(f"{t}.{c}").alias("name"), "n", "d", "policy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) = length(text) THEN 'native' ELSE 'utf8' END AS tag FROM documents")
+def str_tags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", strings.tag(F.col("text").cast("binary")).alias("tag"))
+
+
+LEVELS = "l AS (SELECT row_number() OVER (ORDER BY o_orderpriority) AS code, o_orderpriority AS level FROM (SELECT DISTINCT o_orderpriority FROM orders))"
+
+
+def priorities(spark, sf_dir):
+    df = words(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    return df, strings.levels(df)
+
+
+@query(f"WITH {LEVELS} SELECT o_orderkey AS row_id, code FROM orders JOIN l ON level = o_orderpriority")
+def factor_codes(spark, sf_dir):
+    return strings.to_codes(*priorities(spark, sf_dir)).withColumnRenamed("row", "row_id")
+
+
+@query("SELECT o_orderkey AS row_id, o_orderpriority AS v FROM orders")
+def factor_decode(spark, sf_dir):
+    df, levels = priorities(spark, sf_dir)
+    return strings.from_codes(strings.to_codes(df, levels), levels).withColumnRenamed("row", "row_id")
+
+
+@query(f"WITH {LEVELS} SELECT o_orderkey AS row_id, code + 2 AS code FROM orders JOIN l ON level = o_orderpriority WHERE code + 2 > 5")
+def factor_check(spark, sf_dir):
+    codes = strings.to_codes(*priorities(spark, sf_dir)).select(F.col("row").alias("row_id"), (F.col("code") + 2).alias("code"))
+    return strings.bad_codes(codes, 5)
+
+
+# -- sharing, hashes ----------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('l_discount', NULL), ('l_discount_copy', 'l_discount'), ('l_tax', NULL), ('l_tax_copy', 'l_tax'), ('l_quantity', NULL)) AS t(\"column\", shared_with)")
+def shared_columns(spark, sf_dir):
+    df = lineitem_rows(spark, sf_dir).select("row", "l_discount", F.col("l_discount").alias("l_discount_copy"), "l_tax", F.col("l_tax").alias("l_tax_copy"), "l_quantity")
+    return hashing.shared(hashing.column_digests(df, df.columns[1:], "row", B))
+
+
+ROW_TEXT = "concat_ws('|', CAST(event_id AS VARCHAR), octet_length(encode(event_type)) || ':' || event_type, CAST(user_id AS VARCHAR))"
+BLOCK_DIGESTS = f"h AS (SELECT event_id AS rw, event_id // {B} AS blk, sha256({ROW_TEXT}) AS h FROM events), b AS (SELECT blk, count(*) AS n, sha256(string_agg(h, '' ORDER BY rw)) AS digest FROM h GROUP BY blk)"
+HASHED = ["event_id", "event_type", "user_id"]
+
+
+@query(f"WITH {BLOCK_DIGESTS} SELECT * FROM b")
+def content_hash_blocks(spark, sf_dir):
+    return hashing.block_digests(table(spark, sf_dir, "events"), HASHED, "event_id", B)
+
+
+@query(f"WITH {BLOCK_DIGESTS} SELECT sha256(string_agg(digest, '' ORDER BY blk)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM b")
+def content_hash_root(spark, sf_dir):
+    return hashing.root_digest(hashing.block_digests(table(spark, sf_dir, "events"), HASHED, "event_id", B))
+
+
+@query("SELECT event_id AS row_id, sha256(event_type) AS digest FROM events")
+def hash_distinct_strings(spark, sf_dir):
+    return hashing.distinct_digests(words(spark, sf_dir, "events", "event_id", "event_type")).withColumnRenamed("row", "row_id")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS shared_with FROM documents QUALIFY min(doc_id) OVER (PARTITION BY text) < doc_id")
+def doc_duplicates(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("d"))
+    firsts = df.groupBy("d").agg(F.min("doc_id").alias("shared_with"))
+    return df.join(firsts, "d").where("shared_with < doc_id").select("doc_id", "shared_with")
+
+
+# -- directory ----------------------------------------------------------------------------
+
+
+@query(f"WITH {PRESENT}, {INT_STATS}, {WIDTHS}, k AS (SELECT z.*, 8 + 8 * runs AS run_bytes, CASE WHEN delta_width < for_width THEN delta_bytes END AS db FROM z) SELECT blk AS sequence, CAST(blk * {B} AS BIGINT) AS first_row, n, min_v, max_v, CAST(least(run_bytes, coalesce(db, run_bytes), for_bytes, 4 * n) AS BIGINT) AS bytes, CASE WHEN run_bytes = least(run_bytes, coalesce(db, run_bytes), for_bytes, 4 * n) THEN 'runs' WHEN db = least(run_bytes, coalesce(db, run_bytes), for_bytes, 4 * n) THEN 'delta' WHEN for_bytes = least(run_bytes, coalesce(db, run_bytes), for_bytes, 4 * n) THEN 'frame' ELSE 'raw' END AS encoding FROM k")
+def block_directory_orders(spark, sf_dir):
+    df = customers(spark, sf_dir, False)
+    s = integers.stats(df).select("blk", "min_v", "max_v")
+    found = integers.choose(df).join(s, "blk")
+    return found.select(F.col("blk").alias("sequence"), (F.col("blk") * B).alias("first_row"), "n", "min_v", "max_v", "bytes", "encoding")
+
+
+@query(f"SELECT DISTINCT event_id // {B} AS blk FROM events WHERE event_id BETWEEN 4090 AND 4100")
+def block_prune_plan(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").groupBy(div("event_id", B).alias("blk")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return spans.where("lo <= 4100 AND hi >= 4090").select("blk")
+
+
+@query("SELECT * FROM (VALUES ('owner', 'data team'), ('unit', 'EUR'), ('empty', '')) AS t(\"key\", value)")
+def metadata_kv(spark, sf_dir):
+    return containers.metadata_rows(spark, {"owner": "data team", "unit": "EUR", "empty": ""})
+
+
+# -- object graphs ------------------------------------------------------------------------
+
+
+@query(trees.sql("SELECT object_id, path, depth FROM walk"))
+def object_tree(spark, sf_dir):
+    return graph.tree(trees.objects(spark, sf_dir)).select("object_id", "path", "depth")
+
+
+@query(trees.sql("SELECT path FROM walk WHERE depth > 0"))
+def tree_paths(spark, sf_dir):
+    return graph.tree(trees.objects(spark, sf_dir)).where("depth > 0").select("path")
+
+
+@query(trees.sql("SELECT ancestor AS object_id, CAST(sum(o.stored_bytes) AS BIGINT) AS stored_bytes FROM reach r JOIN objects o ON o.object_id = r.descendant GROUP BY ancestor"))
+def tree_bytes(spark, sf_dir):
+    return graph.subtree_bytes(trees.objects(spark, sf_dir))
+
+
+@query(trees.sql("SELECT DISTINCT object_id FROM want"))
+def want_closure(spark, sf_dir):
+    return graph.wanted(trees.objects(spark, sf_dir), trees.WANTED)
+
+
+@query(trees.sql("SELECT a.ordinal, a.name, a.value_object, o.logical_len FROM attributes a JOIN objects o ON o.object_id = a.value_object WHERE a.owner = 1"))
+def attributes_of(spark, sf_dir):
+    return graph.attributes_of(trees.objects(spark, sf_dir), trees.attributes(spark), 1)
+
+
+@query(trees.sql("SELECT object_id, coalesce(shared_with, object_id) AS value_id FROM objects"))
+def references_resolved(spark, sf_dir):
+    return graph.resolved(trees.objects(spark, sf_dir)).select("object_id", "value_id")
+
+
+@query(trees.sql("SELECT b.sequence, o.object_id FROM blocks b JOIN objects o ON b.sequence BETWEEN o.first_block AND o.first_block + o.block_count - 1 WHERE o.block_count > 0"))
+def block_owner(spark, sf_dir):
+    return graph.block_owner(trees.objects(spark, sf_dir), trees.blocks(spark)).select("sequence", "object_id")
+
+
+# -- guards -------------------------------------------------------------------------------
+
+
+def _guard(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return guards.violations(spark, name, guards.frames(spark, guards.directory(name)))
+
+    run.__name__ = f"guard_{name}"
+    return run
+
+
+for _name in guards.GUARDS:
+    query(guards.sql_values(guards.directory(_name)) + guards.GUARDS[_name])(_guard(_name))
+
+
+# -- real containers ----------------------------------------------------------------------
+
+for _f, _s in containers.QUERIES:
+    query(_s)(_f)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -1,0 +1,59 @@
+"""A synthetic object graph over the driver's tables: an archive of frames and a nested list."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: object_id, parent_id, ordinal, name, type, logical_len, stored_bytes, shared_with, first_block, block_count
+OBJECTS: list[tuple] = [
+    (0, None, 1, None, "list", 3, 0, None, 0, 0),
+    (1, 0, 1, "sales", "data.frame", 200, 0, None, 0, 0),
+    (2, 0, 2, "models", "list", 2, 0, None, 0, 0),
+    (3, 0, 3, "label", "character", 1, 40, None, 0, 1),
+    (4, 1, 1, "day", "double", 200, 300, None, 1, 1),
+    (5, 1, 2, "store", "factor", 200, 120, None, 2, 1),
+    (6, 1, 3, "units", "integer", 200, 410, None, 3, 2),
+    (7, 1, 4, "price", "double", 200, 0, 4, 0, 0),
+    (8, 2, 1, None, "list", 1, 0, None, 0, 0),
+    (9, 2, 2, "", "double", 6, 64, None, 5, 1),
+    (10, 5, 1, "levels", "character", 4, 44, None, 6, 1),
+    (11, 8, 1, "coef", "double", 2, 32, None, 7, 1),
+]
+#: owner, ordinal, name, value_object
+ATTRIBUTES: list[tuple] = [(1, 1, "names", 3), (1, 2, "class", 10), (9, 1, "dim", 11)]
+BLOCKS: list[tuple] = [(k,) for k in range(8)]
+WANTED = [7, 8]
+
+OBJECT_SCHEMA = "object_id bigint, parent_id bigint, ordinal bigint, name string, type string, logical_len bigint, stored_bytes bigint, shared_with bigint, first_block bigint, block_count bigint"
+
+
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(OBJECTS, OBJECT_SCHEMA)
+
+
+def attributes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ATTRIBUTES, "owner bigint, ordinal bigint, name string, value_object bigint")
+
+
+def blocks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BLOCKS, "sequence bigint")
+
+
+def _values(name: str, schema: str, rows: list[tuple]) -> str:
+    columns = [c.split() for c in schema.split(", ")]
+    cell = lambda x, k: f"CAST({'NULL' if x is None else repr(x)} AS {'VARCHAR' if k == 'string' else 'BIGINT'})"
+    return f"{name}({', '.join(c for c, _ in columns)}) AS (VALUES {', '.join('(' + ', '.join(cell(x, k) for x, (_, k) in zip(r, columns, strict=True)) + ')' for r in rows)})"
+
+
+def sql(select: str) -> str:
+    """The graph as tables, its paths (walk), all pairs of ancestor and descendant (reach) and a selection (want)."""
+    return f"""WITH RECURSIVE {_values("objects", OBJECT_SCHEMA, OBJECTS)}, {_values("attributes", "owner bigint, ordinal bigint, name string, value_object bigint", ATTRIBUTES)}, {_values("blocks", "sequence bigint", BLOCKS)},
+      walk(object_id, path, depth) AS (
+        SELECT object_id, '', CAST(0 AS BIGINT) FROM objects WHERE parent_id IS NULL
+        UNION ALL SELECT o.object_id, w.path || CASE WHEN o.name IS NOT NULL AND o.name <> '' THEN '$' || o.name ELSE '[[' || o.ordinal || ']]' END, w.depth + 1 FROM walk w JOIN objects o ON o.parent_id = w.object_id),
+      reach(ancestor, descendant) AS (
+        SELECT object_id, object_id FROM objects UNION ALL SELECT r.ancestor, o.object_id FROM reach r JOIN objects o ON o.parent_id = r.descendant),
+      want(object_id) AS (
+        SELECT object_id FROM objects WHERE object_id IN ({", ".join(map(str, WANTED))})
+        UNION SELECT CASE WHEN o.parent_id = w.object_id THEN o.object_id ELSE o.shared_with END FROM want w JOIN objects o ON o.parent_id = w.object_id OR (o.object_id = w.object_id AND o.shared_with IS NOT NULL))
+      {select}"""
