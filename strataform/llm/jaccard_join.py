@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join with rare-first prefix filtering.
 
-Sets are the distinct word shingles of texts.  Texts with equal sets are one vertex, whose
-id is its smallest document.  Two vertices link when their Jaccard similarity reaches the
+Sets are the distinct word shingles of texts.  Texts with equal sets are one vertex, known
+by the digest of the set.  Two vertices link when their Jaccard similarity reaches the
 threshold t.  The steps:
 
 1. *Liveness.*  A linked pair shares at least l of the first ``n - ceil(t n) + l`` shingles
@@ -176,7 +176,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     rows = stored(source.mapInArrow(describe, "doc_id bigint, n bigint, cls binary"), "sets")
     known = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min(known).alias("v"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min(known).alias("rep"))
     live = stored(_live(source, width, percent), "live")
     bits = blooms.bits_for(live.count(), 16)
     held = spark.sparkContext.broadcast(blooms.membership(live, bits))
@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     found = source.mapInArrow(collect, "cls binary, n bigint, tokens array<bigint>, parts array<int>")
     # Several tasks may have met one class; one copy of its set is enough.
-    sets = stored(found.join(classes, "cls").drop("cls").dropDuplicates(["v"]), "vertices")
+    sets = stored(found.withColumnRenamed("cls", "v").dropDuplicates(["v"]), "vertices")
     total = sets.agg(F.sum("n").alias("t")).first()["t"] or 0
     cells = min(MOST_CELLS, max(1 << 16, 1 << (4 * int(total)).bit_length()))
     counts = spark.sparkContext.broadcast(_sketch(sets.select("tokens"), cells))
@@ -212,21 +212,23 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counts.value, np.uint8)
         for batch in pieces(batches, 2000):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for v, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            owners: list[int] = []
+            for row, (n, cell) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 values = cell.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 often = table[(values & np.uint64(cells - 1)).astype(np.int64)]
                 order = np.lexsort((values, often))
                 keep = order[: n - -(-percent * n // 100) + 1]
                 lone = int((often <= 1).sum())
-                place = np.arange(1, len(keep) + 1)
                 some = often[keep] > 1
                 k = int(some.sum())
-                for column, x in zip(out, (values[keep][some].view(np.int64), np.full(k, v, np.int64), np.full(k, n, np.int64), place[some], np.full(k, lone, np.int64)), strict=True):
+                owners.extend([row] * k)
+                for column, x in zip(out, (values[keep][some].view(np.int64), np.full(k, n, np.int64), np.arange(1, len(keep) + 1)[some], np.full(k, lone, np.int64)), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["token", "v", "n", "place", "lone"])
+            token, size, place, lone_ = (pa.array(np.concatenate(x).astype(np.int64)) for x in out)
+            yield pa.RecordBatch.from_arrays([token, batch.column(0).take(pa.array(owners, pa.int64())), size, place, lone_], ["token", "v", "n", "place", "lone"])
 
-    entries = stored(sets.select("v", "n", "tokens").mapInArrow(prefixes, "token bigint, v bigint, n bigint, place bigint, lone bigint"), "prefixes")
+    entries = stored(sets.select("v", "n", "tokens").mapInArrow(prefixes, "token bigint, v binary, n bigint, place bigint, lone bigint"), "prefixes")
     several = entries.groupBy("token").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("token")
     entries = stored(entries.join(several, "token"), "prefixes")
     labels = stored(entries.select("v").distinct().select("v", F.col("v").alias("label")), "labels")
@@ -261,11 +263,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
     labels = _relabel(labels, _verified(rest, sets, percent))
-    named = rows.join(classes, "cls", "left").join(labels, "v", "left")
+    # Classes take the smallest document of their component, then rows that of their class.
+    joined = classes.join(labels, classes["cls"] == labels["v"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    joined = stored(joined, "joined")
+    least = joined.groupBy("label").agg(F.min("rep").alias("component"))
+    named = rows.join(joined.join(least, "label").select("cls", "rep", "component"), "cls", "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id"))
-    largest = F.lit((1 << 63) - 1)
-    plain = lambda c: F.when(c == largest, F.lit(None).cast("long")).otherwise(c)
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(plain(F.coalesce("label", "v")), own).alias("component_id"), F.coalesce(plain(F.col("v")), own).alias("vertex"), "cls")
+    plain = lambda c: F.when(c == (1 << 63) - 1, F.lit(None).cast("long")).otherwise(c)
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(plain(F.col("component")), own).alias("component_id"), F.coalesce(plain(F.col("rep")), own).alias("vertex"), "cls")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
