@@ -7,13 +7,13 @@ UTF-8 bytes are split in C without a regular expression.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: The characters that end a word, for Java and DuckDB regular expressions.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -53,19 +53,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:
-    """Join condition under which null keys meet."""
-    out = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        out = c if out is None else out & c
-    return out
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece has few rows and, unless one row is larger, few bytes."""
     for batch in batches:
@@ -73,17 +60,13 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, limit: int = 8 <
         while start < n:
             take = min(rows, n - start)
             piece = batch.slice(start, take)
-            while take > 1 and piece.get_total_buffer_size() and _bytes(piece) > limit:
+            while take > 1 and piece.nbytes > limit:
                 take = max(1, take // 2)
                 piece = batch.slice(start, take)
             yield piece
             start += take
 
 
-def _bytes(batch: pa.RecordBatch) -> int:
-    return batch.nbytes
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -96,14 +79,10 @@ def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes
     rdd = df.select(column).rdd.map(lambda r: bytes(r[0]))
     n = rdd.getNumPartitions()
     if n > 64:
-        import math
-
         fan = max(2, math.ceil(n ** (1 / depth)))
         while n > fan:
-            n = max(1, math.ceil(n / fan))
-            width = n
-            rdd = rdd.mapPartitionsWithIndex(_folder(merge, width)).partitionBy(width, int).values()
-            rdd = rdd.mapPartitions(_fold(merge))
+            n = math.ceil(n / fan)
+            rdd = rdd.mapPartitionsWithIndex(_folder(merge, n)).partitionBy(n, int).values().mapPartitions(_fold(merge))
     parts = rdd.mapPartitions(_fold(merge)).toLocalIterator()
     total = None
     for p in parts:
@@ -128,7 +107,3 @@ def _folder(merge: Callable[[bytes, bytes], bytes], width: int) -> Callable[[int
             yield index % width, x
 
     return run
-
-
-def sha256_hex(column: Column) -> Column:
-    return F.sha2(column.cast("binary"), 256)
