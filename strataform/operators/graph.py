@@ -23,16 +23,17 @@ def step_text(name: Column, ordinal: Column) -> Column:
 
 def tree(objects: DataFrame) -> DataFrame:
     """objects with path, depth and sort_key, which orders them depth first."""
-    spark = objects.sparkSession
-    objects.createOrReplaceTempView("_graph_objects")
-    return spark.sql(f"""
+    return objects.sparkSession.sql(
+        f"""
         WITH RECURSIVE walk(object_id, path, depth, sort_key) MAX RECURSION LEVEL {MOST_DEPTH + 1} AS (
-          SELECT object_id, CAST('' AS STRING), 0, CAST('' AS STRING) FROM _graph_objects WHERE parent_id IS NULL
+          SELECT object_id, CAST('' AS STRING), 0, CAST('' AS STRING) FROM {{objects}} WHERE parent_id IS NULL
           UNION ALL
           SELECT o.object_id, concat(w.path, CASE WHEN o.name IS NOT NULL AND o.name <> '' THEN concat('$', o.name) ELSE concat('[[', CAST(o.ordinal AS STRING), ']]') END),
             w.depth + 1, concat(w.sort_key, '/', lpad(CAST(o.ordinal AS STRING), 7, '0'))
-          FROM walk w JOIN _graph_objects o ON o.parent_id = w.object_id)
-        SELECT o.*, w.path, CAST(w.depth AS BIGINT) AS depth, w.sort_key FROM _graph_objects o JOIN walk w ON o.object_id = w.object_id""")
+          FROM walk w JOIN {{objects}} o ON o.parent_id = w.object_id)
+        SELECT o.*, w.path, CAST(w.depth AS BIGINT) AS depth, w.sort_key FROM {{objects}} o JOIN walk w ON o.object_id = w.object_id""",
+        objects=objects,
+    )
 
 
 def closure(objects: DataFrame) -> DataFrame:
