@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataform.llm import queries as llm
 
 from ..conftest import SMALL, plain
-from .test_operators import brute_components, brute_lines, ordered, rows, texts  # noqa: F401
+from .test_operators import brute_components, brute_lines, ordered, rows  # noqa: F401
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
