@@ -15,7 +15,7 @@ threshold t.  The steps:
    of its prefix, so pairs are not listed at once: in each round every vertex is compared
    with one pivot of each of its shingles, links found are contracted into components, and
    only shingles that still hold several components go on.  What remains at the end is
-   paired in full, across components, after the length and positional filters.
+   joined across components, under the length and positional filters.
 4. *Verification.*  Each pair once: the suffix filter bounds the overlap by sixteen-way
    counts, then the sets are intersected exactly.
 
@@ -122,6 +122,16 @@ def _reaches(a: Column, b: Column, common: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
+def _may_link(n: Column, place: Column, other_n: Column, other_place: Column, percent: int) -> Column:
+    """Length and positional filter for two sets that meet in a shingle at these places.
+
+    If it is the first that both share, no more can be shared than follow it in either set.
+    A linked pair passes at its first common shingle, whatever happens at later ones.
+    """
+    length = 100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)
+    return length & _reaches(n, other_n, 1 + F.least(n - place, other_n - other_place), percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("parts").alias("pa"))
@@ -153,7 +163,7 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         labels = stored(labels.join(hooks, "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 6) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and vertex, one row per row of ``docs``.
 
     A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``.  A set is the distinct
@@ -245,9 +255,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if turn and left["pairs"] <= 4 * left["rows"]:
             break
         # The pivot of a shingle: first the set that shares most of itself, in later rounds any.
-        first = F.struct("lone", "v", "n", "label") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("lone"), "v", "n", "label")
+        first = F.struct("lone", "v", "n", "place", "label") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("lone"), "v", "n", "place", "label")
         pivots = marked.groupBy("token").agg(F.min(first).alias("p"))
-        star = marked.join(pivots, "token").where((F.col("label") != F.col("p.label")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
+        star = marked.join(pivots, "token").where((F.col("label") != F.col("p.label")) & _may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), percent))
         pairs = star.select(F.least("v", "p.v").alias("a"), F.greatest("v", "p.v").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -256,10 +266,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         labels = _relabel(labels, _verified(pairs, sets, percent))
     marked = entries.join(labels, "v")
     one, two = (marked.select("token", *(F.col(c).alias(c + s) for c in ("v", "n", "place", "label"))) for s in ("1", "2"))
-    rest = one.join(two, "token").where((F.col("v1") < F.col("v2")) & (F.col("label1") != F.col("label2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-    rest = rest.groupBy(F.col("v1").alias("a"), F.col("v2").alias("b")).agg(F.min("place1").alias("p1"), F.min("place2").alias("p2"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
-    # The first shingle that both share stands at p1 and p2; no more can be shared than follow.
-    rest = rest.where(_reaches(F.col("n1"), F.col("n2"), 1 + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")), percent))
+    # The filters are part of the join, so that pairs they rule out are never made.
+    meet = (one["token"] == two["token"]) & (F.col("v1") < F.col("v2")) & (F.col("label1") != F.col("label2")) & _may_link(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"), percent)
+    rest = one.join(two, meet).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
     labels = _relabel(labels, _verified(rest, sets, percent))
