@@ -263,7 +263,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
-        labels = _relabel(labels, _verified(pairs, sets, percent))
+        links = stored(_verified(pairs, sets, percent), "links")
+        if links.limit(1).count() == 0:
+            break
+        labels = _relabel(labels, links)
     marked = entries.join(labels, "v")
     one, two = (marked.select("token", *(F.col(c).alias(c + s) for c in ("v", "n", "place", "label"))) for s in ("1", "2"))
     # The filters are part of the join, so that pairs they rule out are never made.
@@ -271,7 +274,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rest = one.join(two, meet).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
-    labels = _relabel(labels, _verified(rest, sets, percent))
+    links = stored(_verified(rest, sets, percent), "links")
+    if links.limit(1).count():
+        labels = _relabel(labels, links)
     # Classes take the smallest document of their component, then rows that of their class.
     joined = classes.join(labels, classes["cls"] == labels["v"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     joined = stored(joined, "joined")
@@ -284,9 +289,6 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the components that the links (a, b) join have been contracted."""
-    links = stored(links, "links")
-    if links.limit(1).count() == 0:
-        return labels
     a = labels.select(F.col("v").alias("a"), F.col("label").alias("la"))
     b = labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
     edges = stored(links.join(a, "a").join(b, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "edges")
