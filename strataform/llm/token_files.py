@@ -33,6 +33,21 @@ BLOCK = 128
 HEAD = struct.Struct("<4sIIIHH")
 
 
+def bits_of(x: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each number along a new last axis, lowest first."""
+    size = 2 if width <= 16 else 4
+    raw = x.astype(f"<u{size}").view(np.uint8).reshape(*x.shape, size)
+    return np.unpackbits(raw, axis=-1, bitorder="little")[..., :width]
+
+
+def of_bits(bits: np.ndarray) -> np.ndarray:
+    """The numbers of bits along the last axis, lowest first."""
+    size = 2 if bits.shape[-1] <= 16 else 4
+    whole = np.zeros((*bits.shape[:-1], 8 * size), np.uint8)
+    whole[..., : bits.shape[-1]] = bits
+    return np.packbits(whole, axis=-1, bitorder="little").view(f"<u{size}")[..., 0]
+
+
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
     """Starts of the blocks and their bytes.  At most 255 ids make a block."""
     n = len(ids)
@@ -51,19 +66,29 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) ->
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)
         if w:
-            bits = (x[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            for r, b in zip(rows, np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little"), strict=True):
-                packed[r] = b.tobytes()
-    out, starts, size = [], np.empty(count, np.uint32), 0
+            size = -(-block * int(w) // 8)
+            if w == 16:  # whole bytes need no packing
+                flat = x[rows].astype("<u2").tobytes()
+            else:
+                flat = np.packbits(bits_of(x[rows], w).reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
+            for k, r in enumerate(rows.tolist()):
+                packed[r] = flat[k * size : (k + 1) * size]
+    out, starts = [], np.empty(count, np.uint32)
     which, where = np.nonzero(over)
     cuts = np.searchsorted(which, np.arange(count + 1))
     where8, high = where.astype(np.uint8), over[which, where]
+    heads, places, highs = low.tolist(), where8.tobytes(), high.astype("<u4").tobytes()
+    cuts, each = cuts.tolist(), widths.tolist()
+    sizes = []
     for k in range(count):
         a, b = cuts[k], cuts[k + 1]
-        data = struct.pack("<IBB", low[k], widths[k], b - a) + packed[k] + where8[a:b].tobytes() + high[a:b].astype("<u4").tobytes()
-        starts[k] = size
-        size += len(data)
+        data = struct.pack("<IBB", heads[k], each[k], b - a) + packed[k]
+        if a < b:
+            data += places[a:b] + highs[4 * a : 4 * b]
+        sizes.append(len(data))
         out.append(data)
+    starts[1:] = np.cumsum(sizes)[:-1]
+    starts[0] = 0
     return starts, b"".join(out)
 
 
@@ -82,13 +107,18 @@ def unpack_blocks(starts: np.ndarray, data: bytes, n: int, block: int = BLOCK, f
         rows = np.flatnonzero(widths == w)
         if w:
             body = raw[(at[rows] + 6)[:, None] + np.arange(-(-block * w // 8))]
+            if w == 16:
+                out[rows] = body.view("<u2")
+                continue
             bits = np.unpackbits(body, axis=1, bitorder="little")[:, : block * w].reshape(len(rows), block, w)
-            out[rows] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
-    for k in np.flatnonzero(extra):
-        p = at[k] + 6 + size[k]
-        where = raw[p : p + extra[k]]
-        high = np.frombuffer(data, "<u4", extra[k], p + extra[k])
-        out[k, where] |= (high.astype(np.uint64) << np.uint64(widths[k])).astype(np.uint32)
+            out[rows] = of_bits(bits)
+    if extra.any():
+        block_of = np.repeat(np.arange(len(extra)), extra)
+        nth = np.arange(len(block_of)) - np.repeat(np.cumsum(extra) - extra, extra)
+        lists = at + 6 + size
+        where = raw[lists[block_of] + nth]
+        high = raw[(lists + extra)[block_of][:, None] + 4 * nth[:, None] + np.arange(4)].view("<u4").reshape(-1)
+        out[block_of, where] |= (high.astype(np.uint64) << widths[block_of].astype(np.uint64)).astype(np.uint32)
     out += low[:, None]
     return out.reshape(-1)[: n - first * block]
 
