@@ -30,16 +30,22 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more share; documents left without text go."""
-    changed = line_dedup.dedup_lines(_rows(docs), id_col="_row").select(F.col("doc_id").alias("_row"), F.col("text").alias("_text"), "n_dropped")
+    """Texts in which a line that ten documents or more share is left in the first of them only.
+
+    The first row has the smallest id, a null id being the largest; then the smaller hash of the
+    text; equal rows are interchangeable.  No row goes, even if it is left without text.
+    """
+    numbered = _numbered(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row_id")
+    rows = numbered.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), "text", order.alias("_order"))
+    out = line_dedup.dedup_lines(rows, id_col="_row", order_col="_order", keep="first").select("doc_id.*", F.col("text").alias("_text"))
     n_chars = {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    out = changed.select("_row.*", "_text", "n_dropped").withColumns({**n_chars, "text": F.col("_text")})
-    return out.where((F.col("n_dropped") == 0) | (F.trim("_text") != "")).select(*_columns(docs))
+    return out.withColumns({**n_chars, "text": F.col("_text")}).select(*_columns(docs))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """The text, and all other columns as one that passes through an operator as the id."""
-    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), "text")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written out so that every later read finds the same numbers."""
+    return stored(docs.withColumn("_row_id", F.monotonically_increasing_id()), "numbered")
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

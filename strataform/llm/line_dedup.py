@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import blooms
@@ -56,12 +56,12 @@ def _suspect_filter(source: DataFrame, least: int, bits: int | None) -> tuple[by
     return blooms.repeated(source.select("text"), hashes_of, bits), bits
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, bits: int | None = None) -> DataFrame:
-    """key (128-bit digest), n_docs and first_doc of the line keys found in ``min_docs`` rows or more."""
-    source = _source(docs, id_col, text_col)
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, bits: int | None = None, order_col: str | None = None) -> DataFrame:
+    """key (128-bit digest), n_docs and first_doc (least id, or ``order_col``) of the line keys found in ``min_docs`` rows or more."""
+    source = _source(docs, id_col, text_col, order_col)
     twice, bits = _suspect_filter(source, min_chars, bits)
     held = source.sparkSession.sparkContext.broadcast(twice)
-    kind = source.schema["doc_id"].dataType.simpleString()
+    kind = source.schema["place"].dataType.simpleString()
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = blooms.Filter(bits, held.value)
@@ -74,14 +74,19 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     for k in np.flatnonzero(hit):
                         rows.append(row)
                         keys.append(digest(own[k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["place", "key"])
+
+    found = source.mapInArrow(suspects, f"place {kind}, key binary")
+    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("place").alias("first_doc")).where(F.col("n_docs") >= min_docs)
+
 
-    found = source.mapInArrow(suspects, f"doc_id {kind}, key binary")
-    return found.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).where(F.col("n_docs") >= min_docs)
+def _source(docs: DataFrame, id_col: str, text_col: str, order_col: str | None) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(order_col or id_col).alias("place"))
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _plain(value):
+    """A collected value as Arrow gives it: structs are dicts."""
+    return value.asDict(recursive=True) if isinstance(value, Row) else value
 
 
 def dedup_lines(
@@ -94,13 +99,15 @@ def dedup_lines(
     keep: str = "none",
     bits: int | None = None,
     most_broadcast: int = MOST_BROADCAST,
+    order_col: str | None = None,
 ) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and text (the kept lines joined by ``\\n``).
 
     A text is split at ``\\n``; a null or empty text is one empty line.  The key of a line is
     the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z in lower case.  Keys of at least
     ``min_chars`` code points that occur in ``min_docs`` rows or more lose all their lines
-    (``keep="none"``) or all but those in the smallest document id (``keep="first"``).
+    (``keep="none"``) or all but those in the smallest document id (``keep="first"``).  Where ids
+    repeat, ``order_col`` (a value of its own for each row) says which row is the first.
 
     A row counts as a document, so repeated rows count each; null ids are kept.  Texts of any
     length are used whole, an empty table gives an empty result, and other columns are
@@ -108,19 +115,19 @@ def dedup_lines(
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    source = _source(docs, id_col, text_col)
+    source = _source(docs, id_col, text_col, order_col)
     spark = source.sparkSession
-    heavy = stored(repeated_lines(source, min_docs=min_docs, min_chars=min_chars, bits=bits), "lines")
+    heavy = stored(repeated_lines(source, min_docs=min_docs, min_chars=min_chars, bits=bits, order_col="place"), "lines")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string, text string"
     if heavy.count() <= most_broadcast:
-        known = spark.sparkContext.broadcast({bytes(r["key"]): r["first_doc"] for r in heavy.toLocalIterator()})
+        known = spark.sparkContext.broadcast({bytes(r["key"]): _plain(r["first_doc"]) for r in heavy.toLocalIterator()})
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = known.value
             drops = (lambda k, d: k in first) if keep == "none" else (lambda k, d: k in first and first[k] != d)
             for batch in pieces(batches):
-                yield _rewritten(batch.column(0), _texts(batch, 1), batch.column(0).to_pylist(), drops, min_chars)
+                yield _rewritten(batch.column(0), _texts(batch, 1), batch.column(2).to_pylist(), drops, min_chars)
 
         return source.mapInArrow(apply, out)
 
@@ -135,13 +142,14 @@ def dedup_lines(
                     rows.append(row)
                     keys.append(digest(k))
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(keys, pa.binary())], ["doc_id", "h", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 2, 3)), pa.array(keys, pa.binary())], ["doc_id", "place", "h", "key"])
 
-    marks = keyed.mapInArrow(explode, f"doc_id {kind}, h bigint, key binary").join(heavy, "key")
+    order = source.schema["place"].dataType.simpleString()
+    marks = keyed.mapInArrow(explode, f"doc_id {kind}, place {order}, h bigint, key binary").join(heavy, "key")
     if keep == "first":
-        marks = marks.where(~F.col("first_doc").eqNullSafe(F.col("doc_id")))
-    marks = marks.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("key").alias("dropped"))
-    both = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["d"]) & (keyed["h"] == marks["g"]), "left").select("doc_id", "text", "dropped")
+        marks = marks.where(~F.col("first_doc").eqNullSafe(F.col("place")))
+    marks = marks.groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("h").alias("g")).agg(F.collect_set("key").alias("dropped"))
+    both = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["d"]) & keyed["place"].eqNullSafe(marks["p"]) & (keyed["h"] == marks["g"]), "left").select("doc_id", "text", "dropped")
 
     def apply_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):

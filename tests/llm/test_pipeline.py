@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataform.llm import queries as llm
 
 from ..conftest import SMALL, plain
-from .test_operators import brute_components, brute_lines, ordered, rows  # noqa: F401
+from .test_operators import brute_components, brute_lines, lower, ordered, rows  # noqa: F401
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -47,6 +47,31 @@ def test_line_stage(spark, rows):  # noqa: F811
     assert sum(sums.values()) <= len(rows)
 
 
+def brute_first_lines(rows, least):
+    """The texts with each line key of ``least`` rows or more left in the first row only."""
+    key = lambda s: lower(s.strip(" \t\n\x0b\x0c\r"))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    holders = defaultdict(list)
+    for k in order:
+        for one in {key(s) for s in (rows[k][1] or "").split("\n")} - {""}:
+            holders[one].append(k)
+    drops = lambda k, one: len(holders.get(one, ())) >= least and holders[one][0] != k
+    return [(d, "\n".join(s for s in (x or "").split("\n") if not drops(k, key(s)))) for k, (d, x) in enumerate(rows)]
+
+
+def test_line_stage_leaves_one_of_large_copy_groups(spark):
+    copied = [f"copied text {g} line {k}" for g in range(2) for k in range(3)]
+    some = [(k, "\n".join(copied[:3])) for k in range(12, 0, -1)] + [(k, "\n".join(copied[3:]) + " \n\t") for k in range(20, 45)]
+    some += [(None, copied[0]), (5, copied[1] + "\nother"), (50, "own line\n" + copied[4].upper()), (51, None), (52, "")]
+    equal = [(None, "same row")] * 11
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in some + equal], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in pipeline.lines_out(spark, docs, SMALL).collect()]
+    assert ordered(got) == ordered(brute_first_lines(some + equal, 10))
+    held = {s.strip() for _, t in got for s in t.split("\n")}
+    assert held >= {*copied, "same row"}
+    assert sum(t == "same row" for _, t in got) == 1
+
+
 def test_near_copy_stage_keeps_one_of_each_group(spark, rows):  # noqa: F811
     some = [(d, t) for d, t in rows if d is not None][:-2]
     docs = spark.createDataFrame(some, "doc_id bigint, text string")
