@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataform.llm import jaccard_join, line_dedup, mixing, sentencepiece_codec, toxicity
@@ -62,8 +62,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of each text, decoded again and compared."""
-    return sentencepiece_codec.round_trip(docs)
+    """SentencePiece ids of each text, decoded again and compared; copies of a document are drawn apart."""
+    # Texts without ids need no number, and would be one large group under a null id.
+    blank = F.when(F.coalesce("text", F.lit("")) == "", F.monotonically_increasing_id())
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), blank.alias("_blank"))
+    copies = Window.partitionBy("doc_id", "_h", "_blank").orderBy("doc_id")
+    return sentencepiece_codec.round_trip(docs.withColumn("_copy", F.row_number().over(copies)), copy_col="_copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

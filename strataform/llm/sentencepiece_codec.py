@@ -2,19 +2,22 @@
 
 The pieces and scores come from a public model file.  Encoding keeps an agenda of candidate
 merges: the best scored, leftmost first.  With dropout a candidate that comes up is passed
-over when a keyed hash of seed, variant, word, place and piece falls below the rate, and it
-stays dropped until a neighbouring merge makes a new candidate there.  Segmentations vary
+over when a keyed hash of seed, document, occurrence, place and piece falls below the rate, and
+it stays dropped until a neighbouring merge makes a new candidate there.  Segmentations vary
 by the occurrence of a word, are the same in each rerun, and all decode to the same text.
 
 A piece never continues across the start of a run of ``U+2581``, which the loader verifies, so
-words are encoded one by one and cached.  Every occurrence takes one of ``variants`` keyed
-segmentations of its word, chosen by the document and the place of the word in it.
+words are encoded one by one.  Each occurrence draws its own dropout.  What is kept of a word is
+its agenda as a tree: a node is the candidate that comes up after some choices, with one
+branch for its merge and one for its drop, and a leaf holds ids.  All occurrences of a batch
+walk down the trees together, and branches not met before are added.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ from .common import pieces
 SPACE = "▁"
 RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MASK = (1 << 64) - 1
+#: Parts of more characters have no tree: their occurrences seldom take the same branches.
+LONGEST = 24
 
 
 def model_path(path: str | None) -> str:
@@ -234,25 +239,122 @@ class PairTable:
 
 
 class Words(dict):
-    """Ids of words as bytes, for one variant."""
+    """Ids of words as bytes, drawn with the key of the word and a variant number instead of an occurrence."""
 
     def __init__(self, codec: Codec, variant: int) -> None:
         self.codec, self.variant = codec, variant
 
     def __missing__(self, word: str) -> bytes:
-        parts = self.codec.parts(word)
-        if len(parts) > 1:
-            return b"".join([self[p] for p in parts])
-        value = self.codec.word(word, self.variant)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+        return b"".join([self.codec.word(p, self.codec.key(p, self.variant)) for p in self.codec.atoms(word)])
+
+
+class Agendas(dict):
+    """Numbers of words, with their parts and the trees of the parts' agendas."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        #: The parts of word w are ``parts[first[w] : first[w + 1]]``; a part has a root, or -1 if it is long.
+        self.first, self.parts, self.roots = array("q", [0]), array("q"), array("q")
+        self.names: list[str] = []
+        self.number: dict[str, int] = {}
+        self.n = 0
+        self.mixed, self.kids, self.leaf = np.zeros(1 << 12, np.uint64), np.full(1 << 13, -1, np.int64), np.zeros(1 << 12, bool)
+        self.ids: list[bytes] = []
+
+    def __missing__(self, word: str) -> int:
+        for p in self.codec.atoms(word):
+            k = self.number.get(p)
+            if k is None:
+                k = self.number[p] = len(self.names)
+                self.names.append(p)
+                self.roots.append(self.node(None, self.codec.ids_of([p]) if p else self.codec.sign) if len(p) < 2 else -1 if len(p) > LONGEST else self.grow(p, None, 0))
+            self.parts.append(k)
+        self.first.append(len(self.parts))
+        self[word] = len(self.first) - 2
+        return self[word]
+
+    def node(self, candidate: tuple[int, int] | None, ids: bytes = b"") -> int:
+        """A new node: a candidate merge (place, rank), or a leaf with its ids."""
+        k = self.n
+        if k == len(self.mixed):
+            self.mixed, self.leaf = np.concatenate([self.mixed, np.zeros(k, np.uint64)]), np.concatenate([self.leaf, np.zeros(k, bool)])
+            self.kids = np.concatenate([self.kids, np.full(2 * k, -1, np.int64)])
+        self.n += 1
+        if candidate is None:
+            self.leaf[k] = True
+        else:
+            self.mixed[k] = (candidate[0] * 0x9E3779B97F4A7C15 ^ candidate[1] * 0xC2B2AE3D27D4EB4F) & MASK
+        self.ids.append(ids)
+        return k
+
+    def grow(self, word: str, root: int | None, key: int) -> int:
+        """The agenda of ``word`` for this key, with the nodes that its tree lacks; returns the root."""
+        rank, threshold = self.codec.pieces.rank, self.codec.threshold
+        none, get = len(rank), rank.get
+        symbols, at = list(word), list(range(len(word)))
+        scores = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        node, slot = -1 if root is None else root, -1
+        while True:
+            best = min(scores, default=none)
+            if node < 0:
+                node = self.node(None, self.codec.ids_of(symbols)) if best == none else self.node((at[scores.index(best)], best))
+                if slot < 0:
+                    root = node
+                else:
+                    self.kids[slot] = node
+            if best == none:
+                return root
+            k = scores.index(best)
+            drop = threshold > 0 and dropped(key, at[k], best, threshold)
+            slot = 2 * node + drop
+            node = int(self.kids[slot])
+            if drop:
+                scores[k] = none
+                continue
+            symbols[k] += symbols.pop(k + 1)
+            at.pop(k + 1)
+            scores.pop(k)
+            if k < len(scores):
+                scores[k] = get(symbols[k] + symbols[k + 1], none)
+            if k:
+                scores[k - 1] = get(symbols[k - 1] + symbols[k], none)
+
+    def walk(self, parts: np.ndarray, keys: np.ndarray) -> list[bytes]:
+        """Ids of occurrences of parts, each with its key."""
+        ends = np.array(self.roots)[parts]
+        long = np.flatnonzero(ends < 0)
+        here = np.flatnonzero((ends >= 0) & ~self.leaf[ends])
+        node, key = ends[here], keys[here]
+        while len(here):
+            x = key ^ self.mixed[node]
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+            slot = 2 * node + ((x >> np.uint64(32)) < np.uint64(self.codec.threshold))
+            node = self.kids[slot]
+            missing = np.flatnonzero(node < 0)
+            if len(missing):
+                _, first = np.unique(slot[missing], return_index=True)
+                for k in missing[first].tolist():
+                    part = int(parts[here[k]])
+                    self.grow(self.names[part], self.roots[part], int(key[k]))
+                node[missing] = self.kids[slot[missing]]
+            done = self.leaf[node]
+            ends[here[done]] = node[done]
+            here, node, key = here[~done], node[~done], key[~done]
+        out = list(map(self.ids.__getitem__, ends.tolist()))
+        for k, ids in zip(long.tolist(), self.codec.long([self.names[p] for p in parts[long].tolist()], keys[long]), strict=True):
+            out[k] = ids
+        return out
 
 
 class Codec:
     """Encoder and decoder of one process."""
 
-    def __init__(self, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4, most: int = 500_000) -> None:
+    def __init__(self, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4, most: int = 1_000_000) -> None:
         if not 0 <= dropout < 1:
             raise ValueError("the dropout rate is at least 0 and below 1")
         self.pieces = Pieces(path)
@@ -260,11 +362,15 @@ class Codec:
         self.threshold = int(dropout * (1 << 32))
         self.seed = seed
         self.variants = variants if self.threshold else 1
-        self.most = most // self.variants
+        #: The trees are dropped when they have more nodes than this.
+        self.most = most
         self.words = [Words(self, v) for v in range(self.variants)]
         vocabulary = self.pieces.ids
         #: Marks that no piece joins to a letter before them.
         self.stops = frozenset(c for c in ".,;:!?" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", p) for p in vocabulary))
+        #: The bytes of a sign for a space that is itself in the text; such a sign is the word "".
+        self.sign = np.array(self.pieces.fallback(SPACE), np.uint16).tobytes()
+        self.agendas = Agendas(self)
 
     def parts(self, word: str) -> list[str]:
         """``word`` cut where no merge can cross: around line ends, and before a stop at the end."""
@@ -280,14 +386,18 @@ class Codec:
             return [word[:-1], word[-1]]
         return [word]
 
+    def atoms(self, word: str) -> list[str]:
+        """The parts of a word that ``parts`` does not cut further."""
+        parts = self.parts(word)
+        return parts if len(parts) == 1 else [a for p in parts for a in self.atoms(p)]
+
     def key(self, word: str, variant: int) -> int:
         return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 64 + variant & MASK) if self.threshold else 0
 
-    def word(self, word: str, variant: int) -> bytes:
-        """One word that ``parts`` does not cut."""
+    def ids_of(self, symbols: list[str]) -> bytes:
         ids: list[int] = []
         known = self.pieces.ids
-        for s in merge(word, self.pieces.rank, self.threshold, self.key(word, variant)):
+        for s in symbols:
             i = known.get(s)
             if i is None:
                 ids.extend(self.pieces.fallback(s))
@@ -295,33 +405,19 @@ class Codec:
                 ids.append(i)
         return np.array(ids, np.uint16).tobytes()
 
-    def prepare(self, lists: list[tuple[list[str], int]]) -> None:
-        """Segments together all words of the lists (with their documents' keys) that the caches lack."""
-        n = self.variants
-        for v in range(n):
-            cache = self.words[v]
-            if len(cache) > self.most:
-                cache.clear()
-            need: set[str] = set()
-            for words, key in lists:
-                need.update(words[(v - key) % n :: n])
-            need.difference_update(cache)
-            whole: set[str] = set()
-            stack = list(need)
-            while stack:
-                w = stack.pop()
-                parts = self.parts(w)
-                if len(parts) > 1:
-                    stack.extend(parts)
-                elif w not in cache and len(w) <= 24:
-                    whole.add(w)
-            ordered = sorted(whole, key=len)
-            for a in range(0, len(ordered), 8192):
-                some = ordered[a : a + 8192]
-                keys = np.array([self.key(w, v) for w in some], np.uint64)
-                for w, ids in zip(some, self.pairs.segment(some, keys, self.threshold), strict=True):
-                    if ids is not None:
-                        cache[w] = ids
+    def word(self, word: str, key: int) -> bytes:
+        """One word that ``parts`` does not cut, for one key."""
+        return self.ids_of(merge(word, self.pieces.rank, self.threshold, key))
+
+    def long(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Occurrences of words too long for a tree, each through its own agenda."""
+        out = [self.word(w, k) if len(w) > 64 else b"" for w, k in zip(words, keys.tolist(), strict=True)]
+        some = sorted((k for k, w in enumerate(words) if len(w) <= 64), key=lambda k: len(words[k]))
+        for a in range(0, len(some), 8192):
+            cut = some[a : a + 8192]
+            for k, ids in zip(cut, self.pairs.segment([words[k] for k in cut], keys[cut], self.threshold), strict=True):
+                out[k] = self.word(words[k], int(keys[k])) if ids is None else ids
+        return out
 
     def split(self, text: str) -> list[str]:
         """Words of a text that has no U+2581 itself, each with the signs for the spaces before it."""
@@ -329,35 +425,45 @@ class Codec:
             return RUNS.findall(SPACE + text.replace(" ", SPACE))
         return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
+    def cut(self, text: str) -> list[str]:
+        """Words of any text; the sign for a space in the text itself is the word ""."""
+        if not text:
+            return []
+        if SPACE not in text:
+            return self.split(text)
+        parts = text.split(SPACE)
+        out = RUNS.findall(SPACE + parts[0].replace(" ", SPACE))
+        for p in parts[1:]:
+            out.append("")
+            out += RUNS.findall(p.replace(" ", SPACE))
+        return out
+
     def encode_batch(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Ids of many texts; new words are segmented together."""
-        cut = [None if not t or SPACE in t else self.split(t) for t in texts]
-        self.prepare([(w, k) for w, k in zip(cut, keys, strict=True) if w])
-        return [self.encode(t, k) if w is None else self._list(w, k) for t, w, k in zip(texts, cut, keys, strict=True)]
+        """Ids of many texts as little-endian unsigned 16-bit integers; ``keys`` tell the documents."""
+        if self.agendas.n > self.most:
+            self.agendas.reset()
+        cut = [self.cut(t) for t in texts]
+        words = np.fromiter((k for w in cut for k in map(self.agendas.__getitem__, w)), np.int64)
+        first = np.array(self.agendas.first)
+        count = np.diff(first)[words]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.arange(total)
+        parts = np.array(self.agendas.parts)[places + np.repeat(first[words] - ends + count, count)]
+        # Where each document's parts end, then the key of each by its document and its place there.
+        stop = np.concatenate([[0], ends])[np.cumsum([len(w) for w in cut])] if cut else np.zeros(0, np.int64)
+        start = np.concatenate([[0], stop[:-1]]) if cut else stop
+        size = stop - start
+        own = np.array([xxhash.xxh3_64_intdigest((k & MASK).to_bytes(8, "little"), self.seed & MASK) for k in keys], np.uint64)
+        x = np.repeat(own, size) + (places - np.repeat(start, size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        ids = self.agendas.walk(parts, x ^ x >> np.uint64(31))
+        return [b"".join(ids[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
 
     def encode(self, text: str, key: int = 0) -> bytes:
-        """Ids as little-endian unsigned 16-bit integers; ``key`` tells the document."""
-        if not text:
-            return b""
-        if SPACE in text:
-            # The sign for a space is itself in the text: its bytes are encoded instead.
-            sign = np.array(self.pieces.fallback(SPACE), np.uint16).tobytes()
-            parts = text.split(SPACE)
-            head = self._plain(SPACE + parts[0].replace(" ", SPACE), key)
-            return sign.join([head, *(self._plain(p.replace(" ", SPACE), key) if p else b"" for p in parts[1:])])
-        return self._list(self.split(text), key)
-
-    def _plain(self, marked: str, key: int) -> bytes:
-        return self._list(RUNS.findall(marked), key)
-
-    def _list(self, words: list[str], key: int) -> bytes:
-        n = self.variants
-        if n == 1:
-            return b"".join(map(self.words[0].__getitem__, words))
-        out: list[bytes] = [b""] * len(words)
-        for o in range(n):
-            out[o::n] = map(self.words[(key + o) % n].__getitem__, words[o::n])
-        return b"".join(out)
+        """Ids of one text; ``key`` tells the document."""
+        return self.encode_batch([text], [key])[0]
 
     def decode(self, ids: bytes) -> str:
         values = np.frombuffer(ids, np.uint16).tolist()
@@ -385,21 +491,30 @@ def codec(*args) -> Codec:
     return _worker[args]
 
 
-def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def document_keys(batch: pa.RecordBatch, texts: list[str]) -> list[int]:
+    """Keys of the documents of a batch: id, number of the copy and text."""
+    return [xxhash.xxh3_64_intdigest(t.encode(), zlib.crc32(f"{d}:{n}".encode())) ^ xxhash.xxh3_64_intdigest(f"{d}:{n}".encode()) for d, n, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts, strict=True)]
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str, copy_col: str | None) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(copy_col) if copy_col else F.lit(0)).cast("int").alias("copy"))
+
+
+def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, copy_col: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids (little-endian unsigned 16-bit) and ids_crc32, one row per row.
 
     A null or empty text has no ids.  Null and repeated ids are kept; equal texts with equal
-    ids get equal segmentations.  Texts of any length are encoded whole.  An empty table gives
+    ids get equal segmentations unless ``copy_col`` numbers them as copies.  Texts of any length are encoded whole.  An empty table gives
     an empty result; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = _source(docs, id_col, text_col, copy_col)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model, dropout, seed, variants)
+        c = codec(model, dropout, seed)
         for batch in pieces(batches, 4000, 4 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = c.encode_batch(texts, [zlib.crc32(f"{seed}:{d}".encode()) for d in batch.column(0).to_pylist()])
+            ids = c.encode_batch(texts, document_keys(batch, texts))
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "n_bytes", "n_tokens", "ids", "ids_crc32"])
 
@@ -411,24 +526,24 @@ def decode_ids(rows: DataFrame, *, ids_col: str = "ids", model: str | None = Non
 
     @F.pandas_udf("string")
     def run(column):
-        c = codec(model, 0.0, 0, 1)
+        c = codec(model, 0.0, 0)
         return column.map(lambda x: None if x is None else c.decode(bytes(x)))
 
     return rows.withColumn(out_col, run(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, dropout: float = 0.1, seed: int = 0, copy_col: str | None = None) -> DataFrame:
     """What ``encode_texts`` returns, with text_sha256 of the decoded text and whether it is the text."""
     import hashlib
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = _source(docs, id_col, text_col, copy_col)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model, dropout, seed, variants)
+        c = codec(model, dropout, seed)
         for batch in pieces(batches, 4000, 4 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = c.encode_batch(texts, [zlib.crc32(f"{seed}:{d}".encode()) for d in batch.column(0).to_pylist()])
+            ids = c.encode_batch(texts, document_keys(batch, texts))
             size = [len(t.encode()) for t in texts]
             sums, same = [], []
             for text, x in zip(texts, ids, strict=True):

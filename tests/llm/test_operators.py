@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strataform.llm import bpe, jaccard_join, line_dedup, media, mixing, quality_rules, sentencepiece_codec, substring_dedup, token_counts, token_files, toxicity
@@ -482,6 +483,25 @@ def test_dropout_varies_and_is_seeded():
     assert len(words) > 1
 
 
+def test_each_occurrence_draws_its_own_dropout(spark):
+    c = sentencepiece_codec.Codec(None, 0.3, 1)
+    c.encode_batch(["▁ x\n\ny. " + "z" * 30, "", "engineering, " * 300], [3, 4, 5])
+    parts = np.array([c.agendas.number["▁engineering"]] * 3000)
+    keys = np.array([xxhash.xxh3_64_intdigest(str(k).encode()) for k in range(3000)], np.uint64)
+    got = c.agendas.walk(parts, keys)
+    assert got == [c.word("▁engineering", k) for k in keys.tolist()]
+    assert len(set(got)) > 4
+    text = "the engineering of segmentation varies. " * 3
+    found = {c.encode(text, k) for k in range(100)}
+    assert len(found) > 90
+    assert {c.decode(x) for x in found} == {text}
+    small = sentencepiece_codec.Codec(None, 0.3, 1, most=10)
+    assert [small.encode(text, k) for k in range(5)] == c.encode_batch([text] * 5, list(range(5)))
+    docs = spark.createDataFrame([(k // 2, k % 2, text) for k in range(100)], "doc_id int, n int, text string")
+    assert sentencepiece_codec.encode_texts(docs, dropout=0.3).select("ids").distinct().count() > 40
+    assert sentencepiece_codec.encode_texts(docs, dropout=0.3, copy_col="n").select("ids").distinct().count() > 90
+
+
 def test_agendas_agree():
     c = sentencepiece_codec.Codec(None, 0.2)
     r = random.Random(6)

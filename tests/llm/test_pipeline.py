@@ -90,6 +90,15 @@ def test_mixing_stage_repeats_documents(spark, documents):
     assert got == {d: c for d, c in copies.items() if c}
 
 
+def test_encoding_stage_draws_copies_apart(spark):
+    text = "the engineering of segmentation varies. " * 9
+    docs = spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, text)] * 2 + [(None, None), (None, "")], "doc_id bigint, text string")
+    got = pipeline.encoded(spark, docs.repartition(3), SMALL).collect()
+    assert len(got) == 9
+    assert all(r["lossless"] for r in got)
+    assert len({bytes(r["ids"]) for r in got}) == 8
+
+
 def test_run_is_lossless_and_repeats(spark):
     got = pipeline.run(spark, SMALL)
     rows_ = got.select("doc_id", "n_tokens", "ids_crc32", "lossless").collect()
