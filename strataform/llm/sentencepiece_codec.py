@@ -10,7 +10,8 @@ A piece never continues across the start of a run of ``U+2581``, which the loade
 words are encoded one by one.  Each occurrence draws its own dropout.  What is kept of a word is
 its agenda as a tree: a node is the candidate that comes up after some choices, with one
 branch for its merge and one for its drop, and a leaf holds ids.  All occurrences of a batch
-walk down the trees together, and branches not met before are added.
+walk down the trees together, and branches not met before are added.  Words that are rare in
+a batch have no tree: each of their occurrences goes through its agenda, many at a time.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MASK = (1 << 64) - 1
 #: Parts of more characters have no tree: their occurrences seldom take the same branches.
 LONGEST = 24
+#: Parts that occur less often in a batch get no tree either; they are segmented together.
+OFTEN = 8
 
 
 def model_path(path: str | None) -> str:
@@ -257,7 +260,7 @@ class Agendas(dict):
 
     def reset(self) -> None:
         self.clear()
-        #: The parts of word w are ``parts[first[w] : first[w + 1]]``; a part has a root, or -1 if it is long.
+        #: The parts of word w are ``parts[first[w] : first[w + 1]]``; a part has a root, or -1 if it has no tree.
         self.first, self.parts, self.roots = array("q", [0]), array("q"), array("q")
         self.names: list[str] = []
         self.number: dict[str, int] = {}
@@ -271,7 +274,7 @@ class Agendas(dict):
             if k is None:
                 k = self.number[p] = len(self.names)
                 self.names.append(p)
-                self.roots.append(self.node(None, self.codec.ids_of([p]) if p else self.codec.sign) if len(p) < 2 else -1 if len(p) > LONGEST else self.grow(p, None, 0))
+                self.roots.append(self.node(None, self.codec.ids_of([p]) if p else self.codec.sign) if len(p) < 2 else -1)
             self.parts.append(k)
         self.first.append(len(self.parts))
         self[word] = len(self.first) - 2
@@ -325,8 +328,12 @@ class Agendas(dict):
 
     def walk(self, parts: np.ndarray, keys: np.ndarray) -> list[bytes]:
         """Ids of occurrences of parts, each with its key."""
+        often = np.bincount(parts, minlength=len(self.names))
+        for p in np.flatnonzero((often >= OFTEN) & (np.array(self.roots) < 0)).tolist():
+            if len(self.names[p]) <= LONGEST:
+                self.roots[p] = self.grow(self.names[p], None, 0)
         ends = np.array(self.roots)[parts]
-        long = np.flatnonzero(ends < 0)
+        bare = np.flatnonzero(ends < 0)
         here = np.flatnonzero((ends >= 0) & ~self.leaf[ends])
         node, key = ends[here], keys[here]
         while len(here):
@@ -346,7 +353,7 @@ class Agendas(dict):
             ends[here[done]] = node[done]
             here, node, key = here[~done], node[~done], key[~done]
         out = list(map(self.ids.__getitem__, ends.tolist()))
-        for k, ids in zip(long.tolist(), self.codec.long([self.names[p] for p in parts[long].tolist()], keys[long]), strict=True):
+        for k, ids in zip(bare.tolist(), self.codec.together([self.names[p] for p in parts[bare].tolist()], keys[bare]), strict=True):
             out[k] = ids
         return out
 
@@ -409,8 +416,8 @@ class Codec:
         """One word that ``parts`` does not cut, for one key."""
         return self.ids_of(merge(word, self.pieces.rank, self.threshold, key))
 
-    def long(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """Occurrences of words too long for a tree, each through its own agenda."""
+    def together(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """Occurrences of words that have no tree, each through its own agenda."""
         out = [self.word(w, k) if len(w) > 64 else b"" for w, k in zip(words, keys.tolist(), strict=True)]
         some = sorted((k for k, w in enumerate(words) if len(w) <= 64), key=lambda k: len(words[k]))
         for a in range(0, len(some), 8192):
@@ -440,7 +447,7 @@ class Codec:
 
     def encode_batch(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Ids of many texts as little-endian unsigned 16-bit integers; ``keys`` tell the documents."""
-        if self.agendas.n > self.most:
+        if self.agendas.n > self.most or len(self.agendas.names) > self.most // 2:
             self.agendas.reset()
         cut = [self.cut(t) for t in texts]
         words = np.fromiter((k for w in cut for k in map(self.agendas.__getitem__, w)), np.int64)
