@@ -19,8 +19,9 @@ threshold t.  The steps:
 4. *Verification.*  Each pair once: the suffix filter bounds the overlap by sixteen-way
    counts, then the sets are intersected exactly.
 
-Links inside a component that its other links already join are not needed for the result
-and are not listed.
+``jaccard_links`` gives every link: all candidates go to verification, none is contracted.
+``jaccard_components`` needs no link inside a component that other links already join, and
+leaves those out through the pivot rounds of step 3.
 """
 
 from __future__ import annotations
@@ -133,13 +134,13 @@ def _may_link(n: Column, place: Column, other_n: Column, other_place: Column, pe
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    """The pairs (a, b) whose sets reach the threshold, with the sizes na and nb and the common shingles."""
     left = sets.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"), F.col("parts").alias("pa"))
     right = sets.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), F.col("parts").alias("pb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
     common = F.when(_reaches(F.col("na"), F.col("nb"), bound, percent), F.size(F.array_intersect("ta", "tb"))).otherwise(F.lit(-1))
-    return both.select("a", "b", "na", "nb", common.alias("common")).where((F.col("common") >= 0) & _reaches(F.col("na"), F.col("nb"), F.col("common"), percent)).select("a", "b")
+    return both.select("a", "b", "na", "nb", common.alias("common")).where((F.col("common") >= 0) & _reaches(F.col("na"), F.col("nb"), F.col("common"), percent))
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -163,17 +164,8 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         labels = stored(labels.join(hooks, "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and vertex, one row per row of ``docs``.
-
-    A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``.  A set is the distinct
-    ``width``-word shingles of a text, or all its words as one shingle if it has fewer.  A null
-    text, or one without words, has an empty set and links with nothing.  ``vertex`` is the
-    smallest document with the same set, ``component_id`` the smallest that links reach.
-    Rows that share an id stay separate rows and each is linked by its own text; a null id
-    counts as larger than all others and comes back as a null id.  An empty table gives an
-    empty result; other columns are ignored.
-    """
+def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, cls), classes (cls, rep), sets that may link (v, n, tokens, parts) and their prefix entries."""
     if not 0 < percent <= 100:
         raise ValueError("the threshold is above 0 and at most 100 per cent")
     spark = docs.sparkSession
@@ -241,6 +233,61 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     entries = stored(sets.select("v", "n", "tokens").mapInArrow(prefixes, "token bigint, v binary, n bigint, place bigint, lone bigint"), "prefixes")
     several = entries.groupBy("token").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo <> hi").select("token")
     entries = stored(entries.join(several, "token"), "prefixes")
+    return rows, classes, sets, entries
+
+
+def _named(c: Column, own: Column) -> Column:
+    """A smallest document, null where it has a null id; ``own`` for rows without a set."""
+    return F.coalesce(F.when(c == (1 << 63) - 1, F.lit(None).cast("long")).otherwise(c), own)
+
+
+def _met(entries: DataFrame, percent: int, *apart: str) -> DataFrame:
+    """The pairs (a, b), a below b, that share a prefix shingle within the filters and differ in the columns ``apart``."""
+    one, two = (entries.select("token", *(F.col(c).alias(c + s) for c in ("v", "n", "place", *apart))) for s in ("1", "2"))
+    # The filters are part of the join, so that pairs they rule out are never made.
+    meet = (one["token"] == two["token"]) & (F.col("v1") < F.col("v2"))
+    for c in apart:
+        meet = meet & (F.col(c + "1") != F.col(c + "2"))
+    meet = meet & _may_link(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"), percent)
+    return one.join(two, meet).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
+
+
+def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links, and the rows' membership; sets, nulls and repeated ids are as in ``jaccard_components``.
+
+    The first table has each pair of different sets that reaches the threshold once: the
+    classes a < b (digests of the sets), a_vertex and b_vertex (smallest documents), na, nb and
+    common.  The second has one row per row of ``docs``: doc_id, n_shingles, cls, vertex and
+    n_links, the number of other rows whose set is equal or linked.  Rows of one class are
+    linked with each other through it, so a group of copies adds no pairs; a row without
+    words has no class and no links.  The links grow with what there is to list: near copies
+    with different texts are all paired.
+    """
+    rows, classes, sets, entries = _prepared(docs, id_col, text_col, width, percent)
+    links = stored(_verified(_met(entries, percent), sets, percent), "links")
+    sized = stored(rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n_rows")).join(classes, "cls"), "sized")
+    at = lambda c, vertex: sized.select(F.col("cls").alias(c), F.col("rep").alias(vertex), F.col("n_rows").alias(f"rows_{c}"))
+    both = stored(links.join(at("a", "a_vertex"), "a").join(at("b", "b_vertex"), "b"), "linked")
+    ends = both.select(F.col("a").alias("cls"), F.col("rows_b").alias("m")).unionByName(both.select(F.col("b").alias("cls"), F.col("rows_a").alias("m")))
+    counted = sized.join(ends.groupBy("cls").agg(F.sum("m").alias("m")), "cls", "left").select("cls", "rep", (F.col("n_rows") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    own = F.when(F.col("cls").isNull(), F.col("doc_id"))
+    members = rows.join(counted, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", _named(F.col("rep"), own).alias("vertex"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    none = F.lit(None).cast("long")
+    return both.select("a", "b", _named(F.col("a_vertex"), none).alias("a_vertex"), _named(F.col("b_vertex"), none).alias("b_vertex"), "na", "nb", "common"), members
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id and vertex, one row per row of ``docs``.
+
+    A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``.  A set is the distinct
+    ``width``-word shingles of a text, or all its words as one shingle if it has fewer.  A null
+    text, or one without words, has an empty set and links with nothing.  ``vertex`` is the
+    smallest document with the same set, ``component_id`` the smallest that links reach.
+    Rows that share an id stay separate rows and each is linked by its own text; a null id
+    counts as larger than all others and comes back as a null id.  An empty table gives an
+    empty result; other columns are ignored.
+    """
+    rows, classes, sets, entries = _prepared(docs, id_col, text_col, width, percent)
     labels = stored(entries.select("v").distinct().select("v", F.col("v").alias("label")), "labels")
     tried = None
     for turn in range(rounds):
@@ -263,18 +310,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tried = pairs if tried is None else stored(tried.unionByName(pairs), "tried")
-        links = stored(_verified(pairs, sets, percent), "links")
+        links = stored(_verified(pairs, sets, percent).select("a", "b"), "links")
         if links.limit(1).count() == 0:
             break
         labels = _relabel(labels, links)
     marked = entries.join(labels, "v")
-    one, two = (marked.select("token", *(F.col(c).alias(c + s) for c in ("v", "n", "place", "label"))) for s in ("1", "2"))
-    # The filters are part of the join, so that pairs they rule out are never made.
-    meet = (one["token"] == two["token"]) & (F.col("v1") < F.col("v2")) & (F.col("label1") != F.col("label2")) & _may_link(F.col("n1"), F.col("place1"), F.col("n2"), F.col("place2"), percent)
-    rest = one.join(two, meet).select(F.col("v1").alias("a"), F.col("v2").alias("b")).distinct()
+    rest = _met(marked, percent, "label")
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
-    links = stored(_verified(rest, sets, percent), "links")
+    links = stored(_verified(rest, sets, percent).select("a", "b"), "links")
     if links.limit(1).count():
         labels = _relabel(labels, links)
     # Classes take the smallest document of their component, then rows that of their class.
@@ -283,8 +327,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     least = joined.groupBy("label").agg(F.min("rep").alias("component"))
     named = rows.join(joined.join(least, "label").select("cls", "rep", "component"), "cls", "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id"))
-    plain = lambda c: F.when(c == (1 << 63) - 1, F.lit(None).cast("long")).otherwise(c)
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(plain(F.col("component")), own).alias("component_id"), F.coalesce(plain(F.col("rep")), own).alias("vertex"), "cls")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), _named(F.col("component"), own).alias("component_id"), _named(F.col("rep"), own).alias("vertex"), "cls")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -175,6 +175,35 @@ def test_jaccard_components(docs, rows, percent, rounds):
     assert ordered(map(tuple, got.collect())) == ordered(brute_components(rows, percent))
 
 
+@pytest.mark.parametrize("percent", [80, 50, 100])
+def test_jaccard_links_are_all_listed(docs, rows, percent):
+    sets = []
+    for _, x in rows:
+        w = WORD.findall(lower(x or ""))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset())
+    big = 1 << 62
+    key = [big if d is None else d for d, _ in rows]
+    rep = {s: min(k for k, t in zip(key, sets, strict=True) if t == s) for s in set(sets)}
+    linked = lambda s, t: bool(s & t) and 100 * len(s & t) >= percent * len(s | t)
+    kinds = sorted((s for s in rep if s), key=lambda s: (rep[s], len(s)))
+    pairs = [(s, t) for k, s in enumerate(kinds) for t in kinds[:k] if linked(s, t)]
+    want = [(*sorted(((rep[s], len(s)), (rep[t], len(t)))), len(s & t)) for s, t in pairs]
+    links, members = jaccard_join.jaccard_links(docs, percent=percent)
+    name = lambda d: big if d is None else d
+    got = [(*sorted(((name(r["a_vertex"]), r["na"]), (name(r["b_vertex"]), r["nb"]))), r["common"]) for r in links.collect()]
+    assert ordered(got) == ordered(want)
+    assert percent == 100 or len(want) > 50
+    n_links = [sum(linked(s, t) for t in sets) - bool(s) for s in sets]
+    vertex = [rep[s] if s else k for k, s in zip(key, sets, strict=True)]
+    brute = [(d, len(s), None if v == big else v, n) for (d, _), s, v, n in zip(rows, sets, vertex, n_links, strict=True)]
+    assert ordered(map(tuple, members.select("doc_id", "n_shingles", "vertex", "n_links").collect())) == ordered(brute)
+    assert {r["cls"] for r in members.collect()} >= {x for r in links.collect() for x in (r["a"], r["b"])}
+
+
+def test_jaccard_links_of_nothing(empty):
+    assert [x.count() for x in jaccard_join.jaccard_links(empty)] == [0, 0]
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
