@@ -2,9 +2,11 @@
 
 A suspicious token (digits and signs among letters, repeated letters, letters set apart) is
 a lattice: each run of a character may stand for one of some letters, for one or two of
-them, or for nothing, each at a channel cost.  A Viterbi search under a character trigram
-model of the whole corpus finds the best readings, and the token is scored by them as well
-as by itself.
+them, or for nothing, each at a channel cost.  The lattice is intersected with the lexicon, so
+that no word it can spell is missed, whatever its length.  A Viterbi search under a character
+trigram model of the whole corpus finds the best readings, in which a word may also lack up
+to two neighbouring letters, and the token is scored by all of these as well as by itself.
+Long runs of letters set apart are searched for words of the lexicon from end to end.
 
 Scores come from words and word beginnings that are far more common in toxic than in other
 labelled documents.  Each has the probability of the label given its presence; a document's
@@ -37,10 +39,11 @@ AS_LETTER, DROPPED, FOLDED = 0.5, 4.0, 0.3
 MASKED, UNMASKED = "aeiou", 2.0
 STEMS = (4, 5, 6)
 
-SPACED = re.compile(r"(?:(?<=\s)|^)\S(?: \S){3,}(?=\s|$)")
+SPACED = re.compile(r"(?:(?<=\s)|^)\S(?: \S){2,}(?=\s|$)")
 APART = re.compile(r"^\w(?:[.\-_*~,/]\w){2,}$")
 LETTER_RUN = re.compile(r"([^\W\d_])\1\1")
 DOUBLED = re.compile(r"(\w)\1+")
+REPEATED = re.compile(r"(.)\1+")
 ENDS = re.compile(r"([^\w\s])\1+$")
 
 
@@ -159,9 +162,14 @@ def core(token: str) -> str:
 
 
 def suspicious(token: str) -> bool:
-    """Whether a lower-case token of 3 to 40 characters may hide a word."""
-    if not 3 <= len(token) <= 40:
+    """Whether a lower-case token of 3 characters or more may hide a word; in long ones a run counts once."""
+    if len(token) < 3:
         return False
+    if len(token) > 40:
+        stretched = bool(LETTER_RUN.search(token))
+        token = REPEATED.sub(r"\1", token)
+        if stretched and token.isalpha():
+            return True
     letters = sum(c.isalpha() for c in token)
     if letters == len(token):
         return bool(LETTER_RUN.search(token))
@@ -181,7 +189,12 @@ class Scorer:
 
     def __init__(self, lexicon: dict[str, float], costs: np.ndarray, most: int = 300_000) -> None:
         self.lexicon, self.restorer, self.most = lexicon, Restorer(costs), most
-        self.known: dict[str, tuple[str, float] | None] = {}
+        self.known: dict[str, list[tuple[str, float]]] = {}
+        whole = [f[1:] for f in lexicon if f[0] == "=" and f[1:].isalpha()]
+        stems = [f[1:] for f in lexicon if f[0] != "="]
+        #: Beginnings of what the lexicon has, of whole words, and of words that may lie inside a run.
+        self.begins = {w[:k] for w in whole + stems for k in range(len(w) + 1)}
+        self.inside = {w[:k] for w in whole if len(w) >= 4 for k in range(len(w) + 1)}
 
     def word(self, word: str) -> float:
         get = self.lexicon.get
@@ -196,10 +209,60 @@ class Scorer:
         p = 0.97 * self.lexicon.get("=" + single, 0.0)
         return (single, p) if p > 0 else None
 
-    def hidden(self, token: str) -> tuple[str, float] | None:
+    def spelled(self, token: str) -> dict[str, float]:
+        """What of the lexicon the lattice can spell: the whole token, or a beginning that goes on."""
+        found: dict[str, float] = {}
+        states = {""}
+        for choices in self.restorer.options(token):
+            new: set[str] = set()
+            for state in states:
+                for letters, _ in choices:
+                    s = state
+                    for c in letters:
+                        p = self.lexicon.get(f"{len(s)}{s}", 0.0) if len(s) in STEMS else 0.0
+                        if p > 0:
+                            found[s] = max(found.get(s, 0.0), 0.97 * p)
+                        s += c
+                        if s not in self.begins:
+                            break
+                    else:
+                        new.add(s)
+            states = new
+            if not states:
+                break
+        for s in states:
+            p = self.lexicon.get("=" + s, 0.0)
+            if p > 0:
+                found[s] = max(found.get(s, 0.0), 0.97 * p)
+        return found
+
+    def within(self, run: str) -> dict[str, float]:
+        """The words of four letters or more that the lattice of a run can spell at any place in it."""
+        found: dict[str, float] = {}
+        states: set[str] = set()
+        for choices in self.restorer.options(run):
+            new: set[str] = set()
+            for state in (*states, ""):
+                for letters, _ in choices:
+                    s = state
+                    for c in letters:
+                        # A word may start at the second letter of a choice too.
+                        for t in (s + c, c):
+                            p = self.lexicon.get("=" + t, 0.0) if len(t) >= 4 else 0.0
+                            if p > 0:
+                                found[t] = 0.97 * p
+                        s = s + c if s + c in self.inside else ""
+                    if s:
+                        new.add(s)
+            states = new
+        return found
+
+    def hidden(self, token: str) -> list[tuple[str, float]]:
         """The reading with the highest probability, at a discount for the doubt."""
-        best = None
-        for reading in self.restorer.read(token):
+        hits = self.spelled(token)
+        best = max(((w, p) for w, p in hits.items()), key=lambda h: (h[1], h[0]), default=None)
+        # Longer tokens are left to the lexicon: the search by letters is for words.
+        for reading in self.restorer.read(token) if len(REPEATED.sub(r"\1", token)) <= 40 else ():
             for a in range(min(3, max(1, len(reading) - 3))):
                 # Neighbouring single letters may have been taken into the run.
                 for b in range(min(3, max(1, len(reading) - a - 3))):
@@ -207,59 +270,50 @@ class Scorer:
                     p = 0.97 * (self.lexicon.get("=" + part, 0.0) if a or b else self.word(part))
                     if p > 0 and (best is None or p > best[1]):
                         best = (part, p)
-        return best
+        return [best] if best else []
 
-    def token(self, token: str) -> tuple[str, float] | None:
+    def token(self, token: str) -> list[tuple[str, float]]:
         bare = ENDS.sub("", token)
         inside = core(bare)
         p = self.word(inside) if inside else 0.0
         if p > 0:
-            return inside, p
+            return [(inside, p)]
         if APART.match(token):
-            return self.hidden(re.sub(r"[.\-_*~,/]", "", token))
+            return self.spaced(re.sub(r"[.\-_*~,/]", "", token))
         if inside.isalpha() and not LETTER_RUN.search(inside):
             hit = self.doubled(inside)
             if hit:
-                return hit
+                return [hit]
         stripped = bare.rstrip(".,;:?") if bare else bare
-        return self.hidden(stripped) if suspicious(stripped) else None
+        return self.hidden(stripped) if suspicious(stripped) else []
 
     def __call__(self, text: str) -> float:
         low = unicodedata.normalize("NFC", text).lower() if not text.isascii() else text.lower()
         known = self.known
         if len(known) > self.most:
             known.clear()
-        found: dict[str, float] = {}
+        hits: list[tuple[str, float]] = []
         for token in set(low.split()):
-            if token in known:
-                hit = known[token]
-            else:
-                hit = self.token(token)
+            own = known.get(token)
+            if own is None:
+                own = self.token(token)
                 if len(token) <= 64:
-                    known[token] = hit
-            if hit and hit[1] > found.get(hit[0], 0.0):
-                found[hit[0]] = hit[1]
+                    known[token] = own
+            hits += own
         for m in SPACED.finditer(low):
-            joined = m[0].replace(" ", "")
-            hit = self.spaced(joined)
-            if hit and hit[1] > found.get(hit[0], 0.0):
-                found[hit[0]] = hit[1]
+            hits += self.spaced(m[0].replace(" ", ""))
+        found: dict[str, float] = {}
+        for word, p in hits:
+            if p > found.get(word, 0.0):
+                found[word] = p
         rest = 1.0
-        for p in found.values():
+        for _, p in sorted(found.items()):
             rest *= 1.0 - p
         return 1.0 - rest
 
-    def spaced(self, joined: str) -> tuple[str, float] | None:
-        """Letters set apart, joined; long runs are searched for the longest words of the lexicon."""
-        if len(joined) <= 40:
-            hit = self.hidden(joined)
-            if hit:
-                return hit
-        for reading in self.restorer.read(joined[:400]):
-            for f, p in self.lexicon.items():
-                if f[0] == "=" and len(f) > 5 and f[1:] in reading:
-                    return f[1:], 0.97 * p
-        return None
+    def spaced(self, joined: str) -> list[tuple[str, float]]:
+        """Letters set apart, joined: what the whole run hides, or else all words that lie in it."""
+        return self.hidden(joined) or sorted(self.within(joined).items())
 
 
 def crc_mod4(id_col: str):

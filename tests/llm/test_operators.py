@@ -389,6 +389,26 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_hidden_words_at_any_length():
+    lexicon = {"=idiot": 0.9, "=moron": 0.8, "=ass": 0.7, "=stupid": 0.85, "=scum": 0.75, "5stupi": 0.6}
+    s = toxicity.Scorer(lexicon, toxicity.character_costs(np.zeros(toxicity.SYMBOLS**3, np.int64)))
+    far = " ".join("xyzvw" * 150)
+    assert s(far) == 0
+    one = lambda p: 1 - (1 - 0.97 * p)
+    for end, p in (("i d 1 o t", 0.9), ("s c u m", 0.75), ("i d i o t q q m 0 r o n", 1 - (1 - 0.97 * 0.9) * (1 - 0.97 * 0.8))):
+        assert s(f"{far} {end} {far}") == pytest.approx(p if "q" in end else one(p)), end
+    assert s("an a s s here") == pytest.approx(one(0.7))
+    assert s(".".join("xyzvw" * 90 + "idiot")) == pytest.approx(one(0.9))
+    for token, p in (("st" + "u" * 60 + "pid", 0.85), ("1" * 30 + "d" + "!" * 30 + "0t", 0.9), ("st" + "u" * 50 + "pidity", 0.6), ("$tup!d" + "x#y" * 30, 0.6)):
+        assert s("so " + token) >= one(p) - 1e-9, token
+    # Each sign has several readings, and the model knows no letters: the word is not among the first eight.
+    odd = toxicity.Scorer({"=gibblisg": 0.9}, s.restorer.costs)
+    assert "gibblisg" not in odd.restorer.read("6!88l!59")
+    assert odd.hidden("6!88l!59") == [("gibblisg", pytest.approx(one(0.9)))]
+    for clean in ("w" * 60, "https://example.com/a/very/long/path/of/words?with=arguments&and=more", "a b c", "=" * 80):
+        assert s(clean) == 0, clean
+
+
 def test_toxicity_without_rows_or_labels(spark):
     docs, labels, _, _ = toxic_table(spark)
     assert toxicity.score(docs.limit(0), labels).count() == 0
