@@ -15,18 +15,15 @@ from strataform.llm import jaccard_join, line_dedup, mixing, sentencepiece_codec
 from strataform.llm.common import stored, table
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_h", F.xxhash64("text"))
-
-
 def _columns(docs: DataFrame) -> list[str]:
     return docs.columns
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score does not reject."""
-    rejected = toxicity.score(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    """The rows that the toxicity score does not reject; each row is judged by its own text, whatever its id."""
+    rows = docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("_row"))
+    kept = toxicity.score(rows, table(spark, sf_dir, "labels"), carry=("_row", "text")).where("predicted = 0")
+    return kept.select("_row.*", "text").select(*_columns(docs))
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,15 +46,30 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest, of each group of near copies; documents without words stay."""
-    found = jaccard_join.jaccard_components(docs).where(F.col("component_id").isNotNull() & (F.col("doc_id") > F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_d"), "left_anti")
+    """One row of each group of near copies; rows without words stay.
+
+    It has the smallest id, a null id being the largest, then the smallest digest of the set of
+    shingles, then of the text; equal rows are interchangeable.
+    """
+    numbered = _numbered(docs.withColumn("_hash", F.xxhash64("text")))
+    found = jaccard_join.jaccard_components(numbered, row_col="_row_id").where("cls is not null")
+    found = stored(found.select("label", "doc_id", "cls", "row"), "found")
+    # Only groups of several rows have one to choose.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")
+    several = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
+    member = found.join(several, "label")
+    first = member.where(place == F.col("least")).select("row", "label")
+    hashes = numbered.select(F.col("_row_id").alias("row"), "_hash")
+    chosen = first.join(hashes, "row").groupBy("label").agg(F.min(F.struct("_hash", "row")).alias("best")).select(F.col("best.row").alias("row"))
+    gone = member.select("row").join(chosen, "row", "left_anti").withColumnRenamed("row", "_row_id")
+    return numbered.join(gone, "_row_id", "left_anti").select(*_columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's share of the mix takes it."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    both = _keyed(docs).join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_h").eqNullSafe(F.col("_t")))
+    """Each row as many times as its source's share of the mix takes it; repeated rows are rounded each."""
+    numbered = _numbered(docs)
+    taken = mixing.mix(numbered, row_col="_row_id").where("copies > 0").select(F.col("row").alias("_row_id"), F.col("copies").alias("_copies"))
+    both = numbered.join(taken, "_row_id")
     return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*_columns(docs))
 
 

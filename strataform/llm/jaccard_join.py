@@ -164,19 +164,20 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         labels = stored(labels.join(hooks, "label", "left").select("v", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, cls), classes (cls, rep), sets that may link (v, n, tokens, parts) and their prefix entries."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, cls, row), classes (cls, rep), sets that may link (v, n, tokens, parts) and their prefix entries."""
     if not 0 < percent <= 100:
         raise ValueError("the threshold is above 0 and at most 100 per cent")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")).alias("row"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             sets = _sets(batch, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), batch.column(2)], ["doc_id", "n", "cls", "row"])
 
-    rows = stored(source.mapInArrow(describe, "doc_id bigint, n bigint, cls binary"), "sets")
+    rows = stored(numbered.mapInArrow(describe, "doc_id bigint, n bigint, cls binary, row bigint"), "sets")
     known = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min(known).alias("rep"))
     live = stored(_live(source, width, percent), "live")
@@ -276,7 +277,7 @@ def jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return both.select("a", "b", _named(F.col("a_vertex"), none).alias("a_vertex"), _named(F.col("b_vertex"), none).alias("b_vertex"), "na", "nb", "common"), members
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rounds: int = 3, row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and vertex, one row per row of ``docs``.
 
     A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+``.  A set is the distinct
@@ -285,9 +286,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     smallest document with the same set, ``component_id`` the smallest that links reach.
     Rows that share an id stay separate rows and each is linked by its own text; a null id
     counts as larger than all others and comes back as a null id.  An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored.  ``label`` names the component itself, as ids may
+    repeat, and ``row`` is the value of ``row_col``.
     """
-    rows, classes, sets, entries = _prepared(docs, id_col, text_col, width, percent)
+    rows, classes, sets, entries = _prepared(docs, id_col, text_col, width, percent, row_col)
     labels = stored(entries.select("v").distinct().select("v", F.col("v").alias("label")), "labels")
     tried = None
     for turn in range(rounds):
@@ -325,9 +327,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     joined = classes.join(labels, classes["cls"] == labels["v"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     joined = stored(joined, "joined")
     least = joined.groupBy("label").agg(F.min("rep").alias("component"))
-    named = rows.join(joined.join(least, "label").select("cls", "rep", "component"), "cls", "left")
+    named = rows.join(joined.join(least, "label").select("cls", "rep", "component", "label"), "cls", "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), _named(F.col("component"), own).alias("component_id"), _named(F.col("rep"), own).alias("vertex"), "cls")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), _named(F.col("component"), own).alias("component_id"), _named(F.col("rep"), own).alias("vertex"), "cls", "label", "row")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -91,6 +91,7 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = 3,
     seed: int = 0,
+    row_col: str | None = None,
 ) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken, rate, source and text_hash, one row per row.
 
@@ -99,9 +100,10 @@ def mix(
     rounding order are broken by a seeded hash of id and text, then they do not matter: equal
     rows are interchangeable.  An empty table gives an empty result, and other columns of
     ``docs`` are ignored.  All documents of a source at its cap are taken ``most`` times.
+    ``row_col``, a number of its own for each row, comes back as ``row``.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    sizes = stored(source.withColumn("rid", F.monotonically_increasing_id()), "sizes")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *([F.col(row_col).cast("bigint").alias("rid")] if row_col else []))
+    sizes = stored(source if row_col else source.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     targets = stored(source_targets(sizes, weights, most), "targets")
     ranked = sizes.join(targets.withColumnRenamed("source", "source_of"), sizes["source"].eqNullSafe(F.col("source_of"))).drop("source_of")
     counts = stored(ranked.groupBy("rk", "size").agg(F.count(F.lit(1)).alias("n")).where("size > 0"), "counts")
@@ -123,7 +125,7 @@ def mix(
     change = evened(rated, most)
     copies = F.col("copies") + F.coalesce("change", F.lit(0))
     rated = rated.join(change, "rid", "left").withColumn("copies", copies)
-    return rated.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", "source", "text_hash")
+    return rated.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "rate", "source", "text_hash", *([F.col("rid").alias("row")] if row_col else []))
 
 
 def evened(rated: DataFrame, most: int, passes: int = 8) -> DataFrame:

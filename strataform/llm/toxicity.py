@@ -399,13 +399,14 @@ def cover(documents: list[set[str]], neg: dict[str, int], least: int) -> dict[st
     return lexicon
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, most: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, most: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, one row per row of ``docs``.
 
     Learns from labels of rows that are not held out.  Language, source, labels and ids are
     no inputs of a score.  Null and empty texts score 0.  Null ids are not held out; repeated
     rows are scored alike.  Texts of any length are read whole.  An empty table gives an empty
-    result, a table without labels scores of 0; other columns are ignored.
+    result, a table without labels scores of 0; other columns are ignored, except that
+    those named in ``carry`` come back with their rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -417,11 +418,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         scorer = worker(held)
         for batch in pieces(batches):
             values = [scorer(t) if t else 0.0 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array([int(v >= cut) for v in values], pa.int32())], ["doc_id", "score", "predicted"])
+            own = [batch.column(2 + k) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array([int(v >= cut) for v in values], pa.int32()), *own], ["doc_id", "score", "predicted", *(f"carried{k}" for k in range(len(carry)))])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = source.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
-    return scored.select("doc_id", (crc_mod4("doc_id") == 2).alias("held_out"), "score", "predicted")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)))
+    types = "".join(f", carried{k} {rows.schema[f'carried{k}'].dataType.simpleString()}" for k in range(len(carry)))
+    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int{types}")
+    return scored.select("doc_id", (crc_mod4("doc_id") == 2).alias("held_out"), "score", "predicted", *(F.col(f"carried{k}").alias(c) for k, c in enumerate(carry)))
 
 
 def worker(held) -> Scorer:

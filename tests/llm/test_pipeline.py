@@ -82,6 +82,50 @@ def test_near_copy_stage_keeps_one_of_each_group(spark, rows):  # noqa: F811
     assert kept == {min(g) for g in groups.values()}
 
 
+def test_toxic_stage_judges_each_row(spark):
+    r = __import__("random").Random(2)
+    words = ["the", "of", "under", "table", "house", "green", "walk", "river", "stone", "report"]
+    text = lambda bad: " ".join([r.choice(words) for _ in range(20)] + ["idiot"] * bad)
+    some = [(k, text(k % 4 == 0)) for k in range(400)] + [(None, "you idiot"), (None, "green house"), (1, "an idiot here"), (4, "a green table")]
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, quality int, toxic int").createOrReplaceTempView("toxic_labels")
+    docs = spark.createDataFrame(some, "doc_id bigint, text string")
+    held = pipeline.table
+    pipeline.table = lambda *_: spark.table("toxic_labels")
+    try:
+        got = [tuple(x) for x in pipeline.toxic_out(spark, docs, SMALL).collect()]
+    finally:
+        pipeline.table = held
+    assert ordered(got) == ordered(x for x in some if "idiot" not in x[1])
+
+
+def test_near_copy_stage_with_nulls_and_repeated_ids(spark, rows):  # noqa: F811
+    some = [*rows, rows[-2], rows[-1], (None, rows[0][1] + " tail"), rows[2], rows[2]]
+    docs = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in pipeline.near_copies_out(spark, docs, SMALL).collect())
+    assert not got - Counter(some)
+    # Components of rows: each number stands for its row, so that repeated ids stay apart.
+    group = [(c, n) for _, n, c in brute_components([(k, t) for k, (_, t) in enumerate(some)], 80)]
+    members = defaultdict(list)
+    for k, (c, n) in enumerate(group):
+        members[c if n else -1 - k].append(k)
+    key = lambda k: 1 << 62 if some[k][0] is None else some[k][0]
+    assert sum(got.values()) == len(members)
+    assert ordered(d for d, _ in got.elements()) == ordered(some[min(g, key=key)][0] for g in members.values())
+    for g in members.values():
+        assert any(some[k] in got for k in g)
+
+
+def test_mixing_stage_rounds_repeated_rows_each(spark):
+    from strataform.llm import mixing
+
+    some = [(k % 3 if k % 3 else None, "same words here " * (5 + k % 2), "s") for k in range(40)] + [(100 + k, "w " * 40, "t") for k in range(9)]
+    docs = spark.createDataFrame(some, "doc_id bigint, text string, source string")
+    wanted = {r["source"]: r["target"] for r in mixing.mix(docs).collect()}
+    got = pipeline.mixed(spark, docs, SMALL).collect()
+    for s, target in wanted.items():
+        assert abs(sum(len(r["text"].split()) for r in got if r["source"] == s) - target) <= 40, s
+
+
 def test_mixing_stage_repeats_documents(spark, documents):
     from strataform.llm import mixing
 
