@@ -90,7 +90,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encoded),
 ]
 
-#: Scores learned from labels, Newton steps and the merge agenda have no SQL: tests hold run() against a brute-force version.
+#: Scores learned from labels, Newton steps and the merge agenda have no SQL: tests hold stages against brute force or planted cases, and run() against a rerun.
 ORACLE_SQL = None
 
 
