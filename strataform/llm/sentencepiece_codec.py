@@ -361,7 +361,7 @@ class Agendas(dict):
 class Codec:
     """Encoder and decoder of one process."""
 
-    def __init__(self, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4, most: int = 1_000_000) -> None:
+    def __init__(self, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4, most: int = 400_000) -> None:
         if not 0 <= dropout < 1:
             raise ValueError("the dropout rate is at least 0 and below 1")
         self.pieces = Pieces(path)
@@ -369,7 +369,7 @@ class Codec:
         self.threshold = int(dropout * (1 << 32))
         self.seed = seed
         self.variants = variants if self.threshold else 1
-        #: The trees are dropped when they have more nodes than this.
+        #: The trees are dropped when they have more nodes than this, or half as many words.
         self.most = most
         self.words = [Words(self, v) for v in range(self.variants)]
         vocabulary = self.pieces.ids
