@@ -312,8 +312,9 @@ class Scorer:
         return 1.0 - rest
 
     def spaced(self, joined: str) -> list[tuple[str, float]]:
-        """Letters set apart, joined: what the whole run hides, or else all words that lie in it."""
-        return self.hidden(joined) or sorted(self.within(joined).items())
+        """Letters set apart, joined: what the whole run hides, and all words that lie in a long one or if it hides none."""
+        whole = self.hidden(joined)
+        return whole + sorted(self.within(joined).items()) if len(joined) > 40 or not whole else whole
 
 
 def crc_mod4(id_col: str):

@@ -397,6 +397,7 @@ def test_hidden_words_at_any_length():
     one = lambda p: 1 - (1 - 0.97 * p)
     for end, p in (("i d 1 o t", 0.9), ("s c u m", 0.75), ("i d i o t q q m 0 r o n", 1 - (1 - 0.97 * 0.9) * (1 - 0.97 * 0.8))):
         assert s(f"{far} {end} {far}") == pytest.approx(p if "q" in end else one(p)), end
+    assert s(" ".join("stupid" + "xyzvw" * 20 + "idiot")) > s(" ".join("stupid" + "xyzvw" * 20)) > 0
     assert s("an a s s here") == pytest.approx(one(0.7))
     assert s(".".join("xyzvw" * 90 + "idiot")) == pytest.approx(one(0.9))
     for token, p in (("st" + "u" * 60 + "pid", 0.85), ("1" * 30 + "d" + "!" * 30 + "0t", 0.9), ("st" + "u" * 50 + "pidity", 0.6), ("$tup!d" + "x#y" * 30, 0.6)):
