@@ -67,7 +67,7 @@ def repeated(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.
         data = zlib.compress(np.stack([once.words, twice.words]).tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["filters"])
 
-    merged = tree_merge(rows.mapInArrow(build, "filters binary"), "filters", merge_pairs)
+    merged = tree_merge(rows.mapInArrow(build, "filters binary"), "filters", merge_pairs, bits // 4)
     if merged is None:
         return bytes(bits // 8)
     return np.frombuffer(zlib.decompress(merged), np.uint8).reshape(2, -1)[1].tobytes()
@@ -86,5 +86,5 @@ def membership(rows: DataFrame, bits: int) -> bytes:
         x, y = (np.frombuffer(zlib.decompress(p), np.uint8) for p in (a, b))
         return zlib.compress((x | y).tobytes(), 1)
 
-    merged = tree_merge(rows.mapInArrow(build, "filter binary"), "filter", union)
+    merged = tree_merge(rows.mapInArrow(build, "filter binary"), "filter", union, bits // 8)
     return bytes(bits // 8) if merged is None else zlib.decompress(merged)

@@ -7,10 +7,14 @@ UTF-8 bytes are split in C without a regular expression.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that of ``setCheckpointDir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary
-    folder is chosen and kept for the session.
+    Only on one machine, and only where the session leaves it unset, a temporary folder is
+    chosen and kept for the session; on a cluster that would be another folder on each machine.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("strataform.shared.dir", None)
     if not conf:
-        conf = spark.conf.get("strataform.shared.dir", None)
-        if not conf:
-            conf = "file://" + tempfile.mkdtemp(prefix="strataform-")
-            spark.conf.set("strataform.shared.dir", conf)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all machines share")
+        conf = "file://" + tempfile.mkdtemp(prefix="strataform-")
+        spark.conf.set("strataform.shared.dir", conf)
     return conf.rstrip("/")
 
 
@@ -42,18 +47,53 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strataform/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
-    This cuts the lineage: later jobs read the files, which outlive any executor.
+    This cuts the lineage: later jobs read the files, which outlive any executor.  Paths that
+    no result needs in the end are listed in ``scratch``, for ``cleared``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def cleared(spark: SparkSession, scratch: list[str]) -> None:
+    while scratch:
+        removed(spark, scratch.pop())
+
+
+_slot: dict[str, Any] = {}
+
+
+def only(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large value that this process keeps from task to task; asking for another drops it."""
+    if _slot.get("key") != key:
+        _slot.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # what has been freed goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+        _slot["value"] = make()
+        _slot["key"] = key
+    return _slot["value"]
+
+
+def encoded(column: pa.Array) -> list[bytes | None]:
+    """The texts of a column as UTF-8, without decoding them."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a piece has few rows and, unless one row is larger, few bytes."""
     for batch in batches:
         start, n = 0, batch.num_rows
@@ -71,10 +111,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes], depth: int = 3) -> bytes | None:
+#: The driver takes in values of at most so many bytes together.
+AT_ONCE = 256 << 20
+
+
+def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes], bound: int, depth: int = 3) -> bytes | None:
     """One binary value folded over all rows in a tree of executor tasks.
 
-    Each value has a fixed bound, so the driver holds a few of them at any size.
+    ``bound`` is the most bytes that a value may have.  The driver runs as many partitions at
+    once as it can take in, so it holds a bounded number of bytes at any size.
     """
     rdd = df.select(column).rdd.map(lambda r: bytes(r[0]))
     n = rdd.getNumPartitions()
@@ -83,10 +128,11 @@ def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes
         while n > fan:
             n = math.ceil(n / fan)
             rdd = rdd.mapPartitionsWithIndex(_folder(merge, n)).partitionBy(n, int).values().mapPartitions(_fold(merge))
-    parts = rdd.mapPartitions(_fold(merge)).toLocalIterator()
-    total = None
-    for p in parts:
-        total = p if total is None else merge(total, p)
+    folded = rdd.mapPartitions(_fold(merge))
+    n, wave, total = folded.getNumPartitions(), max(1, AT_ONCE // bound), None
+    for k in range(0, n, wave):
+        for p in df.sparkSession.sparkContext.runJob(folded, list, list(range(k, min(n, k + wave)))):
+            total = p if total is None else merge(total, p)
     return total
 
 

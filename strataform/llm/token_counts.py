@@ -59,7 +59,7 @@ def frequent_pretokens(texts: DataFrame, text_col: str, entries: int = 1 << 15)
         yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], ["summary"])
 
     rows = texts.select(F.col(text_col).alias("text")).mapInArrow(summarise, "summary binary")
-    merged = tree_merge(rows, "summary", lambda a, b: merge_summaries(a, b, entries))
+    merged = tree_merge(rows, "summary", lambda a, b: merge_summaries(a, b, entries), 80 * entries)
     counts = pickle.loads(zlib.decompress(merged)) if merged else {}
     plain = (k for k in sorted(counts, key=lambda k: (-counts[k], k)) if k and len(k) <= 64 and not bpe.WHITE.search(k))
     return [" " + k for k in plain]

@@ -85,7 +85,7 @@ def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def add(a: bytes, b: bytes) -> bytes:
         return zlib.compress((np.frombuffer(zlib.decompress(a), np.int64) + np.frombuffer(zlib.decompress(b), np.int64)).tobytes(), 1)
 
-    merged = tree_merge(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "counts binary"), "counts", add)
+    merged = tree_merge(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "counts binary"), "counts", add, 8 * SYMBOLS**3)
     return np.zeros(SYMBOLS**3, np.int64) if merged is None else np.frombuffer(zlib.decompress(merged), np.int64)
 
 

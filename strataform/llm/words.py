@@ -7,6 +7,8 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 
+from .common import only
+
 #: Odd, and 5 modulo 8, so that powers of it differ by few factors of two.
 BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD95)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -15,7 +17,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class WordHashes(dict):
     """64-bit hashes of words, kept for the process until there are too many."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -27,16 +29,13 @@ class WordHashes(dict):
         return h
 
 
-hashes = WordHashes()
-
-
 def hashed(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in a row, and where each text starts (one more than texts)."""
     lists = list(texts)
     starts = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=starts[1:])
     out = np.empty(starts[-1], np.uint64)
-    get = hashes.__getitem__
+    get = only("words", WordHashes).__getitem__
     for k, x in enumerate(lists):
         if x:
             out[starts[k] : starts[k + 1]] = np.fromiter(map(get, x), np.uint64, len(x))
