@@ -7,18 +7,16 @@ it stays dropped until a neighbouring merge makes a new candidate there.  Segmen
 by the occurrence of a word, are the same in each rerun, and all decode to the same text.
 
 A piece never continues across the start of a run of ``U+2581``, which the loader verifies, so
-words are encoded one by one.  Each occurrence draws its own dropout.  What is kept of a word is
-its agenda as a tree: a node is the candidate that comes up after some choices, with one
-branch for its merge and one for its drop, and a leaf holds ids.  All occurrences of a batch
-walk down the trees together, and branches not met before are added.  Words that are rare in
-a batch have no tree: each of their occurrences goes through its agenda, many at a time.
+texts are cut there, and at other places that no merge can cross, into parts.  Each
+occurrence of a part draws its own dropout and goes through its own agenda; the parts of a
+batch do so together, in numpy, one column each.  What a worker keeps from batch to batch is
+the model alone.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import only, pieces
 
 SPACE = "▁"
-RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 MASK = (1 << 64) - 1
-#: Parts of more characters have no tree: their occurrences seldom take the same branches.
-LONGEST = 24
-#: Parts that occur less often in a batch get no tree either; they are segmented together.
-OFTEN = 8
+#: Longer parts go through a heap one by one.
+LONGEST = 64
+#: Parts that are taken through their agendas at a time.
+TOGETHER = 1 << 14
+#: The mixing of a candidate's place and rank with the key of its occurrence.
+PLACE, RANK, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def model_path(path: str | None) -> str:
@@ -73,6 +72,8 @@ class Pieces:
         #: Rank of a piece: the higher its score, the smaller.
         self.rank = {p: r for r, p in enumerate(sorted(self.score, key=lambda p: (-self.score[p], self.ids[p])))}
         self.splits_lines = not any("\n" in p for p in self.ids)
+        if n > 1 << 16:
+            raise ValueError("ids are stored in 16 bits, and the model has more pieces")
 
     def fallback(self, char: str) -> list[int]:
         return [self.of_byte[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -146,27 +147,38 @@ def merge_heap(word: str, rank: dict[str, int], threshold: int, key: int) -> lis
 
 def dropped(key: int, place: int, piece: int, threshold: int) -> bool:
     """Whether the keyed hash drops this candidate: the top 32 bits of a mixed product."""
-    x = (key ^ place * 0x9E3779B97F4A7C15 ^ piece * 0xC2B2AE3D27D4EB4F) & MASK
-    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & MASK
-    return (x ^ x >> 32) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF < threshold
+    x = (key ^ place * PLACE ^ piece * RANK) & MASK
+    x = (x ^ x >> 29) * MIX1 & MASK
+    return (x ^ x >> 32) * MIX2 >> 32 & 0xFFFFFFFF < threshold
 
 
 class PairTable:
-    """The model's merges as arrays, to take many words through their agendas at once."""
+    """The model's merges in a hash table, to take many parts through their agendas at once."""
 
     def __init__(self, pieces: Pieces) -> None:
         ids, rank = pieces.ids, pieces.rank
         self.base = len(pieces.text)
-        keys, ranks = [], []
+        pairs: dict[int, int] = {}
         for p, r in rank.items():
             for k in range(1, len(p)):
                 a, b = ids.get(p[:k]), ids.get(p[k:])
                 if a is not None and b is not None:
-                    keys.append(a * self.base + b)
-                    ranks.append(r)
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        self.keys, self.ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int32)[order]
-        self.none = np.int32(len(rank))
+                    pairs[a * self.base + b] = r
+        self.none = len(rank)
+        self.shift = 64 - (4 * len(pairs) + 64).bit_length()
+        self.keys = np.full(1 << (64 - self.shift), -1, np.int64)
+        self.ranks = np.full(len(self.keys), self.none, np.int32)
+        left = np.fromiter(pairs, np.int64, len(pairs))
+        ranks = np.fromiter(pairs.values(), np.int32, len(pairs))
+        at = self.slots(left)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            place, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[place], self.ranks[place] = left[won], ranks[won]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, ranks, at = left[stay], ranks[stay], (at[stay] + 1) % len(self.keys)
         self.id_of_rank = np.empty(len(rank), np.int32)
         for p, r in rank.items():
             self.id_of_rank[r] = ids[p]
@@ -175,233 +187,117 @@ class PairTable:
             if len(p) == 1:
                 self.of_char[ord(p)] = k
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(PLACE) >> np.uint64(self.shift)).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that two symbols make, or ``none``; negative symbols make nothing."""
         key = left.astype(np.int64) * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.none)
+        at = self.slots(key)
+        held = self.keys[at]
+        out = np.where(held == key, self.ranks[at], self.none)
+        rest = np.flatnonzero((held != key) & (held >= 0))
+        while len(rest):
+            at_rest = (at[rest] + 1) % len(self.keys)
+            at[rest] = at_rest
+            held = self.keys[at_rest]
+            hit = held == key[rest]
+            out[rest[hit]] = self.ranks[at_rest[hit]]
+            rest = rest[~hit & (held >= 0)]
+        out[(left < 0) | (right < 0)] = self.none
+        return out
 
-    def segment(self, words: list[str], keys: np.ndarray, threshold: int) -> list[bytes | None]:
-        """Ids of the words as 16-bit integers; None where a character is not in the model.
+    def segment(self, symbols: np.ndarray, keys: np.ndarray, threshold: int) -> np.ndarray:
+        """What is left of ``symbols``, one part a column with -2 below its end, after its agenda; -3 stands where a symbol went.
 
-        One round takes the best candidate of each word: it is dropped, or merged.
+        One round takes the best candidate of each part: it is dropped, or merged.
         """
-        width = max(map(len, words))
-        n = len(words)
-        code = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(n, width)
-        long = np.array([len(w) for w in words])
-        real = np.arange(width) < long[:, None]
-        symbols = np.where(real, self.of_char[code], -2)
-        odd = (symbols == -1).any(axis=1)
-        out = np.full((n, width), -2, np.int32)
-        rows = np.arange(n)
-        place = np.broadcast_to(np.arange(width, dtype=np.uint64), (n, width)).copy()
-        ranks = np.full((n, width), self.none, np.int32)
-        ranks[:, :-1] = self.rank(symbols[:, :-1], symbols[:, 1:])
+        width, n = symbols.shape
+        out = np.empty((width, n), np.int32)
+        where = np.arange(n)
+        # One row more stands for what is before the first symbol and after the last.
+        s = np.vstack([symbols, np.full((1, n), -2, np.int32)])
+        after = np.repeat(np.arange(1, width + 2, dtype=np.uint8)[:, None], n, axis=1)
+        before = np.repeat(np.concatenate([[width], np.arange(width + 1)])[: width + 1, None].astype(np.uint8), n, axis=1)
+        none = np.int32(self.none << 6)
+        place = np.arange(width + 1, dtype=np.int32)[:, None]
+        todo = np.full((width + 1, n), none, np.int32)
+        todo[: width - 1] = np.minimum(self.rank(s[: width - 1].ravel(), s[1:width].ravel()).reshape(width - 1, n) << 6 | place[: width - 1], none)
         keys = keys.astype(np.uint64)
-        cols = np.arange(width)
-        while len(rows):
-            at = ranks.argmin(axis=1)
-            here = np.arange(len(rows))
-            best = ranks[here, at]
-            open_ = best < self.none
-            if not open_.all():
-                out[rows[~open_]] = symbols[~open_]
-                rows, symbols, place, ranks, keys, at, best = (x[open_] for x in (rows, symbols, place, ranks, keys, at, best))
-                if not len(rows):
-                    break
-                here = np.arange(len(rows))
+        while True:
+            best = todo.min(axis=0)
+            open_ = best < none
+            count = int(open_.sum())
+            if count < 0.7 * n or not count:
+                shut = ~open_
+                out[:, where[shut]] = s[:width, shut]
+                if not count:
+                    return out
+                s, after, before, todo = (np.ascontiguousarray(x[:, open_]) for x in (s, after, before, todo))
+                where, keys, best, n = where[open_], keys[open_], best[open_], count
+                open_ = np.ones(n, bool)
+            k, r = best & 63, best >> 6
             if threshold:
-                x = keys ^ place[here, at] * np.uint64(0x9E3779B97F4A7C15) ^ best.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+                x = keys ^ k.astype(np.uint64) * np.uint64(PLACE) ^ r.astype(np.uint64) * np.uint64(RANK)
+                x = (x ^ x >> np.uint64(29)) * np.uint64(MIX1)
+                x = (x ^ x >> np.uint64(32)) * np.uint64(MIX2)
                 drop = (x >> np.uint64(32)) < np.uint64(threshold)
-                ranks[here[drop], at[drop]] = self.none
-                keep = ~drop
-                if not keep.any():
-                    continue
-            else:
-                keep = np.ones(len(rows), bool)
-            r, k = here[keep], at[keep]
-            index = np.minimum(cols + (cols > k[:, None]), width - 1)
-            s, p, q = (np.take_along_axis(a[r], index, axis=1) for a in (symbols, place, ranks))
-            s[:, -1], q[:, -1] = -2, self.none
-            one = np.arange(len(r))
-            s[one, k] = self.id_of_rank[best[keep]]
-            after = np.minimum(k + 1, width - 1)
-            q[one, k] = np.where(k + 1 < width, self.rank(s[one, k], s[one, after]), self.none)
-            ahead = np.maximum(k - 1, 0)
-            q[one, ahead] = np.where(k > 0, self.rank(s[one, ahead], s[one, k]), q[one, ahead])
-            symbols[r], place[r], ranks[r] = s, p, q
-        full = out >= 0
-        size = full.sum(axis=1)
-        flat = out[full].astype("<u2").tobytes()
-        ends = (2 * np.cumsum(size)).tolist()
-        starts = [0, *ends[:-1]]
-        return [None if o else flat[a:b] for a, b, o in zip(starts, ends, odd.tolist(), strict=True)]
-
-
-class Words(dict):
-    """Ids of words as bytes, drawn with the key of the word and a variant number instead of an occurrence."""
-
-    def __init__(self, codec: Codec, variant: int) -> None:
-        self.codec, self.variant = codec, variant
-
-    def __missing__(self, word: str) -> bytes:
-        return b"".join([self.codec.word(p, self.codec.key(p, self.variant)) for p in self.codec.atoms(word)])
-
-
-class Agendas(dict):
-    """Numbers of words, with their parts and the trees of the parts' agendas."""
-
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        #: The parts of word w are ``parts[first[w] : first[w + 1]]``; a part has a root, or -1 if it has no tree.
-        self.first, self.parts, self.roots = array("q", [0]), array("q"), array("q")
-        self.names: list[str] = []
-        self.number: dict[str, int] = {}
-        self.n = 0
-        self.mixed, self.kids, self.leaf = np.zeros(1 << 12, np.uint64), np.full(1 << 13, -1, np.int64), np.zeros(1 << 12, bool)
-        self.ids: list[bytes] = []
-
-    def __missing__(self, word: str) -> int:
-        for p in self.codec.atoms(word):
-            k = self.number.get(p)
-            if k is None:
-                k = self.number[p] = len(self.names)
-                self.names.append(p)
-                self.roots.append(self.node(None, self.codec.ids_of([p]) if p else self.codec.sign) if len(p) < 2 else -1)
-            self.parts.append(k)
-        self.first.append(len(self.parts))
-        self[word] = len(self.first) - 2
-        return self[word]
-
-    def node(self, candidate: tuple[int, int] | None, ids: bytes = b"") -> int:
-        """A new node: a candidate merge (place, rank), or a leaf with its ids."""
-        k = self.n
-        if k == len(self.mixed):
-            self.mixed, self.leaf = np.concatenate([self.mixed, np.zeros(k, np.uint64)]), np.concatenate([self.leaf, np.zeros(k, bool)])
-            self.kids = np.concatenate([self.kids, np.full(2 * k, -1, np.int64)])
-        self.n += 1
-        if candidate is None:
-            self.leaf[k] = True
-        else:
-            self.mixed[k] = (candidate[0] * 0x9E3779B97F4A7C15 ^ candidate[1] * 0xC2B2AE3D27D4EB4F) & MASK
-        self.ids.append(ids)
-        return k
-
-    def grow(self, word: str, root: int | None, key: int) -> int:
-        """The agenda of ``word`` for this key, with the nodes that its tree lacks; returns the root."""
-        rank, threshold = self.codec.pieces.rank, self.codec.threshold
-        none, get = len(rank), rank.get
-        symbols, at = list(word), list(range(len(word)))
-        scores = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
-        node, slot = -1 if root is None else root, -1
-        while True:
-            best = min(scores, default=none)
-            if node < 0:
-                node = self.node(None, self.codec.ids_of(symbols)) if best == none else self.node((at[scores.index(best)], best))
-                if slot < 0:
-                    root = node
-                else:
-                    self.kids[slot] = node
-            if best == none:
-                return root
-            k = scores.index(best)
-            drop = threshold > 0 and dropped(key, at[k], best, threshold)
-            slot = 2 * node + drop
-            node = int(self.kids[slot])
-            if drop:
-                scores[k] = none
-                continue
-            symbols[k] += symbols.pop(k + 1)
-            at.pop(k + 1)
-            scores.pop(k)
-            if k < len(scores):
-                scores[k] = get(symbols[k] + symbols[k + 1], none)
-            if k:
-                scores[k - 1] = get(symbols[k - 1] + symbols[k], none)
-
-    def walk(self, parts: np.ndarray, keys: np.ndarray) -> list[bytes]:
-        """Ids of occurrences of parts, each with its key."""
-        often = np.bincount(parts, minlength=len(self.names))
-        for p in np.flatnonzero((often >= OFTEN) & (np.array(self.roots) < 0)).tolist():
-            if len(self.names[p]) <= LONGEST:
-                self.roots[p] = self.grow(self.names[p], None, 0)
-        ends = np.array(self.roots)[parts]
-        bare = np.flatnonzero(ends < 0)
-        here = np.flatnonzero((ends >= 0) & ~self.leaf[ends])
-        node, key = ends[here], keys[here]
-        while len(here):
-            x = key ^ self.mixed[node]
-            x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-            slot = 2 * node + ((x >> np.uint64(32)) < np.uint64(self.codec.threshold))
-            node = self.kids[slot]
-            missing = np.flatnonzero(node < 0)
-            if len(missing):
-                _, first = np.unique(slot[missing], return_index=True)
-                for k in missing[first].tolist():
-                    part = int(parts[here[k]])
-                    self.grow(self.names[part], self.roots[part], int(key[k]))
-                node[missing] = self.kids[slot[missing]]
-            done = self.leaf[node]
-            ends[here[done]] = node[done]
-            here, node, key = here[~done], node[~done], key[~done]
-        out = list(map(self.ids.__getitem__, ends.tolist()))
-        for k, ids in zip(bare.tolist(), self.codec.together([self.names[p] for p in parts[bare].tolist()], keys[bare]), strict=True):
-            out[k] = ids
-        return out
+                gone = np.flatnonzero(drop & open_)
+                todo[k[gone], gone] = none
+                open_ &= ~drop
+            c = np.flatnonzero(open_)
+            k, new = k[c], self.id_of_rank[r[c]]
+            flat_s, flat_after, flat_before, flat_todo = (x.reshape(-1) for x in (s, after, before, todo))
+            here = k * n + c
+            right = flat_after[here].astype(np.int64)
+            further = flat_after[right * n + c].astype(np.int64)
+            ahead = flat_before[here].astype(np.int64)
+            flat_s[here], flat_s[right * n + c], flat_todo[right * n + c] = new, -3, none
+            flat_after[here], flat_before[further * n + c] = further, k
+            ranks = self.rank(np.concatenate([new, flat_s[ahead * n + c]]), np.concatenate([flat_s[further * n + c], new]))
+            flat_todo[here] = np.minimum(ranks[: len(c)] << 6 | k, none)
+            flat_todo[ahead * n + c] = np.minimum(ranks[len(c) :] << 6 | ahead.astype(np.int32), none)
 
 
 class Codec:
     """Encoder and decoder of one process."""
 
-    def __init__(self, path: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = 4, most: int = 400_000) -> None:
+    def __init__(self, path: str | None = None, dropout: float = 0.1, seed: int = 0) -> None:
         if not 0 <= dropout < 1:
             raise ValueError("the dropout rate is at least 0 and below 1")
         self.pieces = Pieces(path)
         self.pairs = PairTable(self.pieces)
         self.threshold = int(dropout * (1 << 32))
         self.seed = seed
-        self.variants = variants if self.threshold else 1
-        #: The trees are dropped when they have more nodes than this, or half as many words.
-        self.most = most
-        self.words = [Words(self, v) for v in range(self.variants)]
         vocabulary = self.pieces.ids
         #: Marks that no piece joins to a letter before them.
-        self.stops = frozenset(c for c in ".,;:!?" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", p) for p in vocabulary))
-        #: The bytes of a sign for a space that is itself in the text; such a sign is the word "".
-        self.sign = np.array(self.pieces.fallback(SPACE), np.uint16).tobytes()
-        self.agendas = Agendas(self)
-
-    def parts(self, word: str) -> list[str]:
-        """``word`` cut where no merge can cross: around line ends, and before a stop at the end."""
-        if self.pieces.splits_lines and "\n" in word:
-            out = []
-            for k, p in enumerate(word.split("\n")):
-                if k:
-                    out.append("\n")
-                if p:
-                    out.append(p)
-            return out
-        if word[-1:] in self.stops and word[-2:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return [word]
-
-    def atoms(self, word: str) -> list[str]:
-        """The parts of a word that ``parts`` does not cut further."""
-        parts = self.parts(word)
-        return parts if len(parts) == 1 else [a for p in parts for a in self.atoms(p)]
-
-    def key(self, word: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 64 + variant & MASK) if self.threshold else 0
-
-    def ids_of(self, symbols: list[str]) -> bytes:
+        self.stops = np.array(sorted(ord(c) for c in ".,;:!?" if not any(re.search(f"[^\\W\\d_]{re.escape(c)}", p) for p in vocabulary)), np.uint32)
+        self.letter = np.fromiter((chr(k).isalpha() for k in range(0x110000)), bool, 0x110000)
+        #: Characters that no piece has: they are parts of their own, written as bytes, and so is U+2581 in a text.
+        self.alone = np.ones(0x110000, bool)
+        self.alone[[ord(c) for c in {c for p in vocabulary for c in p}]] = False
+        self.alone[ord(SPACE)] = True
+        self.alone[ord(" ")] = False
+
+    def cut(self, flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the parts of texts, given as code points with a space before each text, and whether a part is written as bytes.
+
+        No merge crosses the start of a run of spaces, a character of its own, a line end if
+        no piece has one, or the place before a stop that ends a part after a letter.
+        """
+        space, alone = flat == 32, self.alone[flat]
+        apart = alone | (flat == 10) if self.pieces.splits_lines else alone
+        start = apart | space
+        start[1:] &= ~(space[1:] & space[:-1])
+        start[1:] |= apart[:-1]
+        start[first] = True
+        ends = np.append(start[1:], True)
+        stop = np.flatnonzero(ends & ~start & np.isin(flat, self.stops))
+        start[stop[self.letter[flat[stop - 1]]]] = True
+        at = np.flatnonzero(start)
+        return at, alone[at]
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
         ids: list[int] = []
         known = self.pieces.ids
         for s in symbols:
@@ -410,63 +306,74 @@ class Codec:
                 ids.extend(self.pieces.fallback(s))
             else:
                 ids.append(i)
-        return np.array(ids, np.uint16).tobytes()
+        return ids
 
-    def word(self, word: str, key: int) -> bytes:
-        """One word that ``parts`` does not cut, for one key."""
+    def word(self, word: str, key: int) -> list[int]:
+        """Ids of one part for one key, by itself."""
         return self.ids_of(merge(word, self.pieces.rank, self.threshold, key))
 
-    def together(self, words: list[str], keys: np.ndarray) -> list[bytes]:
-        """Occurrences of words that have no tree, each through its own agenda."""
-        out = [self.word(w, k) if len(w) > 64 else b"" for w, k in zip(words, keys.tolist(), strict=True)]
-        some = sorted((k for k, w in enumerate(words) if len(w) <= 64), key=lambda k: len(words[k]))
-        for a in range(0, len(some), 8192):
-            cut = some[a : a + 8192]
-            for k, ids in zip(cut, self.pairs.segment([words[k] for k in cut], keys[cut], self.threshold), strict=True):
-                out[k] = self.word(words[k], int(keys[k])) if ids is None else ids
-        return out
-
-    def split(self, text: str) -> list[str]:
-        """Words of a text that has no U+2581 itself, each with the signs for the spaces before it."""
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return RUNS.findall(SPACE + text.replace(" ", SPACE))
-        return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
-
-    def cut(self, text: str) -> list[str]:
-        """Words of any text; the sign for a space in the text itself is the word ""."""
-        if not text:
-            return []
-        if SPACE not in text:
-            return self.split(text)
-        parts = text.split(SPACE)
-        out = RUNS.findall(SPACE + parts[0].replace(" ", SPACE))
-        for p in parts[1:]:
-            out.append("")
-            out += RUNS.findall(p.replace(" ", SPACE))
-        return out
-
-    def encode_batch(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Ids of many texts as little-endian unsigned 16-bit integers; ``keys`` tell the documents."""
-        if self.agendas.n > self.most or len(self.agendas.names) > self.most // 2:
-            self.agendas.reset()
-        cut = [self.cut(t) for t in texts]
-        words = np.fromiter((k for w in cut for k in map(self.agendas.__getitem__, w)), np.int64)
-        first = np.array(self.agendas.first)
-        count = np.diff(first)[words]
+    def keys(self, count: np.ndarray, documents: list[int]) -> np.ndarray:
+        """Keys of the parts of documents with so many parts each, by document and place in it."""
+        own = np.array([xxhash.xxh3_64_intdigest((k & MASK).to_bytes(8, "little"), self.seed & MASK) for k in documents], np.uint64)
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        x = np.repeat(own, count) + place.astype(np.uint64) * np.uint64(PLACE)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(MIX1)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(MIX2)
+        return x ^ x >> np.uint64(31)
+
+    def encode_batch(self, texts: list[str], documents: list[int]) -> list[bytes]:
+        """Ids of many texts as little-endian unsigned 16-bit integers; ``documents`` are keys that tell them apart."""
+        full = [k for k, t in enumerate(texts) if t]
+        out = [b""] * len(texts)
+        if not full:
+            return out
+        flat = np.frombuffer("".join([" " + texts[k] for k in full]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum([0, *(len(texts[k]) + 1 for k in full[:-1])])
+        at, alone = self.cut(flat, first)
+        size = np.diff(np.append(at, len(flat)))
+        cut = np.append(np.searchsorted(at, first), len(at))
+        keys = self.keys(np.diff(cut), [documents[k] for k in full])
+        symbols = self.pairs.of_char[np.where(flat == 32, np.uint32(ord(SPACE)), flat)]
+        count = np.zeros(len(at), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def put(parts: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+            count[parts] = counts
+            found.append((parts, ids.astype("<u2")))
+
+        odd = np.zeros(len(at), bool)
+        odd[np.searchsorted(at, np.flatnonzero(symbols < 0), side="right") - 1] = True
+        odd = (odd | (size > LONGEST)) & ~alone
+        single = np.flatnonzero((size == 1) & ~odd & ~alone)
+        put(single, np.ones(len(single), np.int64), symbols[at[single]])
+        lone = np.flatnonzero(alone)
+        if len(lone):
+            chars, which = np.unique(flat[at[lone]], return_inverse=True)
+            ids = [self.pieces.fallback(chr(c)) for c in chars.tolist()]
+            each = np.array([len(x) for x in ids])
+            put(lone, each[which], _gather(np.array([x for own in ids for x in own]), (np.cumsum(each) - each)[which], each[which]))
+        slow = np.flatnonzero(odd)
+        if len(slow):
+            ids = [self.word("".join(map(chr, flat[a : a + n].tolist())).replace(" ", SPACE), k) for a, n, k in zip(at[slow].tolist(), size[slow].tolist(), keys[slow].tolist(), strict=True)]
+            put(slow, np.array([len(x) for x in ids]), np.array([x for own in ids for x in own]))
+        rest = np.flatnonzero((size > 1) & ~odd & ~alone)
+        rest = rest[np.argsort(size[rest].astype(np.uint8), kind="stable")]
+        for a in range(0, len(rest), TOGETHER):
+            some = rest[a : a + TOGETHER]
+            long = size[some]
+            row = np.arange(int(long[-1]))[:, None]
+            inside = np.where(row < long, symbols[np.minimum(at[some] + row, len(symbols) - 1)], np.int32(-2))
+            left = self.pairs.segment(inside, keys[some], self.threshold).T
+            stay = left >= 0
+            put(some, stay.sum(axis=1), left[stay])
         ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.arange(total)
-        parts = np.array(self.agendas.parts)[places + np.repeat(first[words] - ends + count, count)]
-        # Where each document's parts end, then the key of each by its document and its place there.
-        stop = np.concatenate([[0], ends])[np.cumsum([len(w) for w in cut])] if cut else np.zeros(0, np.int64)
-        start = np.concatenate([[0], stop[:-1]]) if cut else stop
-        size = stop - start
-        own = np.array([xxhash.xxh3_64_intdigest((k & MASK).to_bytes(8, "little"), self.seed & MASK) for k in keys], np.uint64)
-        x = np.repeat(own, size) + (places - np.repeat(start, size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        ids = self.agendas.walk(parts, x ^ x >> np.uint64(31))
-        return [b"".join(ids[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        ids = np.empty(int(ends[-1]), "<u2")
+        for parts, own in found:
+            ids[_places((ends - count)[parts], count[parts])] = own
+        stops = np.append(0, ends)[cut].tolist()
+        for k, a, b in zip(full, stops[:-1], stops[1:], strict=True):
+            out[k] = ids[a:b].tobytes()
+        return out
 
     def encode(self, text: str, key: int = 0) -> bytes:
         """Ids of one text; ``key`` tells the document."""
@@ -487,15 +394,18 @@ class Codec:
         return self._table
 
 
-_worker: dict = {}
+def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1 and so on, counts[0] of them; then from starts[1]; and so on."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return values[_places(starts, counts)]
 
 
 def codec(*args) -> Codec:
-    """The codec of this worker process, with its caches."""
-    if args not in _worker:
-        _worker.clear()
-        _worker[args] = Codec(*args)
-    return _worker[args]
+    """The codec of this worker process."""
+    return only(("sentencepiece", *args), lambda: Codec(*args))
 
 
 def document_keys(batch: pa.RecordBatch, texts: list[str]) -> list[int]:
@@ -519,7 +429,7 @@ def encode_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, dropout, seed)
-        for batch in pieces(batches, 4000, 4 << 20):
+        for batch in pieces(batches, 4000):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = c.encode_batch(texts, document_keys(batch, texts))
             size = [len(t.encode()) for t in texts]
@@ -548,7 +458,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, dropout, seed)
-        for batch in pieces(batches, 4000, 4 << 20):
+        for batch in pieces(batches, 4000):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = c.encode_batch(texts, document_keys(batch, texts))
             size = [len(t.encode()) for t in texts]
