@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import pieces, stored
+from .common import encoded, pieces, stored
 
-#: At most so many repeated keys (16 bytes each) are broadcast; more are joined by a shuffle.
+#: At most so many repeated keys are broadcast, 16 bytes each in a sorted array; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: With their first rows, which are no numbers, so many at most.
+MOST_FIRSTS = 100_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -34,10 +36,28 @@ def digest(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
+class Keys:
+    """A set of 128-bit digests as two sorted arrays."""
+
+    def __init__(self, digests: list[bytes]) -> None:
+        both = np.sort(np.frombuffer(b"".join(digests), np.dtype([("a", ">u8"), ("b", ">u8")])), order=("a", "b"))
+        self.a, self.b = both["a"].astype(np.uint64), both["b"].astype(np.uint64)
+        #: Digests that share their first half, at most.
+        self.run = int(np.unique(self.a, return_counts=True)[1].max(initial=0))
+
+    def has(self, digests: list[bytes]) -> np.ndarray:
+        a, b = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).reshape(-1, 2).T
+        out = np.zeros(len(a), bool)
+        at = np.searchsorted(self.a, a)
+        for k in range(self.run):
+            here = np.minimum(at + k, len(self.a) - 1)
+            out |= (self.a[here] == a) & (self.b[here] == b)
+        return out
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
-    for cell in batch.column(column):
-        text = cell.as_py()
-        yield text.encode() if text else b""
+    for text in encoded(batch.column(column)):
+        yield text or b""
 
 
 def _keys(text: bytes, least: int) -> set[bytes]:
@@ -120,14 +140,28 @@ def dedup_lines(
     heavy = stored(repeated_lines(source, min_docs=min_docs, min_chars=min_chars, bits=bits, order_col="place"), "lines")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string, text string"
-    if heavy.count() <= most_broadcast:
+    n = heavy.count()
+    if keep == "none" and n <= most_broadcast:
+        sent = spark.sparkContext.broadcast([bytes(r["key"]) for r in heavy.select("key").toLocalIterator()])
+
+        def apply_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Keys(sent.value)
+            for batch in pieces(batches):
+                texts = [t.split(b"\n") for t in _texts(batch, 1)]
+                keys = [line_key(line) for lines in texts for line in lines]
+                some = [k for k, key in enumerate(keys) if key and (min_chars <= 1 or len(key.decode()) >= min_chars)]
+                gone = np.zeros(len(keys), bool)
+                gone[some] = known.has([digest(keys[k]) for k in some])
+                yield _kept(batch.column(0), texts, gone.tolist())
+
+        return source.mapInArrow(apply_all, out)
+    if keep == "first" and n <= min(most_broadcast, MOST_FIRSTS):
         known = spark.sparkContext.broadcast({bytes(r["key"]): _plain(r["first_doc"]) for r in heavy.toLocalIterator()})
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = known.value
-            drops = (lambda k, d: k in first) if keep == "none" else (lambda k, d: k in first and first[k] != d)
             for batch in pieces(batches):
-                yield _rewritten(batch.column(0), _texts(batch, 1), batch.column(2).to_pylist(), drops, min_chars)
+                yield _rewritten(batch.column(0), _texts(batch, 1), batch.column(2).to_pylist(), lambda k, d: k in first and first[k] != d, min_chars)
 
         return source.mapInArrow(apply, out)
 
@@ -160,17 +194,25 @@ def dedup_lines(
 
 
 def _rewritten(ids: pa.Array, texts: Iterator[bytes], context: list, drops, least: int) -> pa.RecordBatch:
-    n_lines, n_dropped, sums, kept = [], [], [], []
+    split, gone = [], []
     for text, mine in zip(texts, context, strict=True):
-        lines = text.split(b"\n")
-        stay = []
-        for line in lines:
+        split.append(text.split(b"\n"))
+        for line in split[-1]:
             key = line_key(line)
-            if not key or least > 1 and len(key.decode()) < least or not drops(digest(key), mine):
-                stay.append(line)
+            gone.append(bool(key) and (least <= 1 or len(key.decode()) >= least) and drops(digest(key), mine))
+    return _kept(ids, split, gone)
+
+
+def _kept(ids: pa.Array, texts: list[list[bytes]], gone: list[bool]) -> pa.RecordBatch:
+    """What is left of the lines of some texts; ``gone`` tells of all lines one after the other."""
+    n_lines, n_dropped, sums, kept, at = [], [], [], [], 0
+    for lines in texts:
+        own = gone[at : at + len(lines)]
+        at += len(lines)
+        stay = [line for line, out in zip(lines, own, strict=True) if not out] if any(own) else lines
         joined = b"\n".join(stay)
         n_lines.append(len(lines))
         n_dropped.append(len(lines) - len(stay))
         sums.append(hashlib.sha256(joined).hexdigest())
-        kept.append(joined.decode())
-    return pa.RecordBatch.from_arrays([ids, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "text"])
+        kept.append(joined)
+    return pa.RecordBatch.from_arrays([ids, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "text"])
