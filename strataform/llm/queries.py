@@ -92,13 +92,15 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN c.ps IS NULL THEN w.w ELSE (SELECT coalesce(list(u.word ORDER BY u.p), []) FROM (SELECT unnest(w.w) AS word, unnest(range(1, len(w.w) + 1)) AS p) u WHERE NOT list_contains(c.ps, u.p)) END AS k
               FROM words w LEFT JOIN cut c ON c.doc_id = w.doc_id)
             SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
+        # A row is a document, so rows are numbered: ids may repeat.
         "op7_line_dedup": f"""
-            WITH lines AS (
-              SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS p FROM documents),
-            keyed AS (SELECT doc_id, p, line, {_LOWER.format(f"trim(line, {_STRIP})")} AS k FROM lines),
-            heavy AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
-            marked AS (SELECT x.doc_id, x.p, x.line, h.k IS NOT NULL AS drop_it FROM keyed x LEFT JOIN heavy h ON x.k = h.k)
+            WITH numbered AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+            lines AS (
+              SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM numbered),
+            keyed AS (SELECT rid, doc_id, p, line, {_LOWER.format(f"trim(line, {_STRIP})")} AS k FROM lines),
+            heavy AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT rid) >= 10),
+            marked AS (SELECT x.rid, x.doc_id, x.p, x.line, h.k IS NOT NULL AS drop_it FROM keyed x LEFT JOIN heavy h ON x.k = h.k)
             SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(drop_it AS INTEGER)) AS BIGINT) AS n_dropped,
               sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT drop_it), '')) AS kept_sha256
-            FROM marked GROUP BY doc_id""",
+            FROM marked GROUP BY rid, doc_id""",
     }

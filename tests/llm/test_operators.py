@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -428,14 +429,84 @@ def test_hidden_words_at_any_length():
     assert s(".".join("xyzvw" * 90 + "idiot")) == pytest.approx(one(0.9))
     for token, p in (("st" + "u" * 60 + "pid", 0.85), ("1" * 30 + "d" + "!" * 30 + "0t", 0.9), ("st" + "u" * 50 + "pidity", 0.6), ("$tup!d" + "x#y" * 30, 0.6)):
         assert s("so " + token) >= one(p) - 1e-9, token
-    # Each sign has several readings, and the model knows no letters: the word is not among the first eight.
-    odd = toxicity.Scorer({"=gibblisg": 0.9}, s.restorer.costs)
-    assert "gibblisg" not in odd.restorer.read("6!88l!59")
-    assert odd.hidden("6!88l!59") == [("gibblisg", pytest.approx(one(0.9)))]
+    short = toxicity.Scorer({"=ass": 0.7}, toxicity.character_costs(np.zeros(toxicity.SYMBOLS**3, np.int64)))
+    assert short(" ".join("xyzvw" * 30 + "ass" + "vwxyz" * 30)) == pytest.approx(one(0.7))
     for clean in ("w" * 60, "https://example.com/a/very/long/path/of/words?with=arguments&and=more", "a b c", "=" * 80):
         assert s(clean) == 0, clean
 
 
+def lattice_costs(s, token, apart):
+    """The cost of each reading of a lattice, by listing all ways through it and all divisions into words."""
+    import itertools
+
+    costs, out = s.restorer.costs, {}
+
+    def word_cost(word):
+        x = y = 0
+        total = 0.0
+        for c in word:
+            total, x, y = total + costs[x][y][toxicity.symbol(c)], y, toxicity.symbol(c)
+        best = total + costs[x][y][0]
+        if "=" + word in s.lexicon:
+            best = min(best, toxicity.KNOWN)
+        for k in toxicity.STEMS:
+            if len(word) > k and f"{k}{word[:k]}" in s.lexicon:
+                total, x, y = toxicity.KNOWN, toxicity.symbol(word[k - 2]), toxicity.symbol(word[k - 1])
+                for c in word[k:]:
+                    total, x, y = total + costs[x][y][toxicity.symbol(c)], y, toxicity.symbol(c)
+                best = min(best, total + costs[x][y][0])
+        return best
+
+    for way in itertools.product(*s.restorer.options(token)):
+        text = "".join(w for w, _ in way)
+        channel = sum(c for _, c in way)
+        for cut in range(1 << max(0, len(text) - 1)) if apart else (0,):
+            words, last = [], 0
+            for k in range(1, len(text) + 1):
+                if k == len(text) or cut >> (k - 1) & 1:
+                    words.append(text[last:k])
+                    last = k
+            total = channel + sum(map(word_cost, words))
+            out[tuple(words)] = min(total, out.get(tuple(words), 1e9))
+    return out
+
+
+def test_viterbi_finds_the_cheapest_reading():
+    r = np.random.default_rng(3)
+    lexicon = {"=idiot": 0.9, "=ass": 0.7, "=id": 0.6, "4tool": 0.8, "5gibbl": 0.9}
+    s = toxicity.Scorer(lexicon, toxicity.character_costs(r.integers(0, 50, toxicity.SYMBOLS**3)))
+    pick = random.Random(8)
+    tokens = ["1d10t", "idi0t", "a$$", "@ss", "t00ls", "6!88l!", "iiddiioott", "st*ne", "!!", "*"]
+    tokens += ["".join(pick.choice("ids0t1a$!*l6") for _ in range(pick.randrange(1, 7))) for _ in range(60)]
+    for apart in (False, True):
+        for token in tokens:
+            want = lattice_costs(s, token, apart)
+            cost, words = s.restorer.best(token, apart)
+            assert cost == pytest.approx(min(want.values(), default=float("inf"))), token
+            assert not want or want[tuple(words)] == pytest.approx(cost), token
+            if not apart:
+                known = any(s.word("".join(w)) > 0 for w in want)
+                assert s.restorer.spells(token) >= known, token
+            elif s.hits(words):
+                assert s.restorer.spells(token, True), token
+
+
+def test_restored_text_is_what_is_scored(spark):
+    docs, labels, hidden, _ = toxic_table(spark)
+    got = {r["doc_id"]: r["restored"] for r in toxicity.restore_texts(docs, labels).collect()}
+    assert got[9001] == "you idiot on the walk"
+    assert got[9002] == "what a moron they are"
+    assert got[9003] == "an idiot of the house"
+    assert got[9004] == "so stupid and green"
+    assert got[9006] == "idiot"
+    assert got[9102] is None
+    assert got[9103] == ""
+    again = docs.where("text is not null").join(spark.createDataFrame([(d, t) for d, t in got.items() if d], "d bigint, restored string"), F.col("doc_id") == F.col("d")).select("doc_id", "restored")
+    both = toxicity.score(docs.select("doc_id", "text").where("doc_id < 900").unionByName(again.where("doc_id > 9000").select("doc_id", F.col("restored").alias("text"))), labels)
+    first = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).collect()}
+    assert all(first[r["doc_id"]] == r["predicted"] for r in both.collect())
+
+
 def test_toxicity_without_rows_or_labels(spark):
     docs, labels, _, _ = toxic_table(spark)
     assert toxicity.score(docs.limit(0), labels).count() == 0
@@ -465,6 +536,28 @@ def test_line_dedup(docs, rows, least, chars, bits, broadcast):
     assert ordered(map(tuple, got.collect())) == ordered(brute_lines(rows, least, chars))
 
 
+def test_lines_of_repeated_ids_equal_sql(spark, docs, rows, duck):
+    from strataform.llm import queries
+
+    some = rows + [rows[30]] * 9 + [(30, None), (None, rows[30][1])]
+    table = pa.table({"doc_id": pa.array([d for d, _ in some], pa.int64()), "text": pa.array([t for _, t in some], pa.string())})
+    con = duck.cursor()
+    con.register("repeated", table)
+    found = con.sql(queries.oracle_sql()["op7_line_dedup"].replace("FROM documents", "FROM repeated")).fetchall()
+    got = line_dedup.dedup_lines(spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert ordered(map(tuple, got.collect())) == ordered(found)
+
+
+def test_digest_sets():
+    r = random.Random(3)
+    held = [r.randbytes(16) for _ in range(500)] + [b"12345678" + bytes([k]) * 8 for k in range(3)]
+    keys = line_dedup.Keys(held)
+    asked = held[::2] + [r.randbytes(16) for _ in range(50)] + [b"12345678" + b"x" * 8]
+    assert keys.has(asked).tolist() == [x in set(held) for x in asked]
+    assert line_dedup.Keys([]).has(asked).sum() == 0
+    assert line_dedup.Keys(held).has([]).tolist() == []
+
+
 def test_line_dedup_keeps_first(spark, empty):
     docs = spark.createDataFrame([(2, "x\ny"), (1, "X \nz"), (3, " x")], "doc_id bigint, text string")
     for broadcast in (10, 0):
