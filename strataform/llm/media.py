@@ -45,6 +45,8 @@ def decode_pnm(data: bytes) -> np.ndarray:
         fields.append(int(m[1]))
         at = m.end()
     w, h = fields[:2]
+    if not w or not h:
+        raise ValueError("the picture has no rows or no columns")
     depth = 3 if kind in (b"P3", b"P6") else 1
     most = fields[2] if len(fields) > 2 else 1
     if kind in (b"P1", b"P2", b"P3"):
@@ -67,11 +69,12 @@ def decode_pnm(data: bytes) -> np.ndarray:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8 (palette), 24 or 32 bits, rows up or down."""
+    """Uncompressed BMP of 1, 4, 8 (palette), 24 or 32 bits, rows up or down; bit fields only in the usual order."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP picture")
     start, header, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (1, 4, 8, 24, 32):
+    usual = packed == 3 and bits == 32 and struct.unpack_from("<III", data, 54) == (0xFF0000, 0xFF00, 0xFF)
+    if not (packed == 0 or usual) or bits not in (1, 4, 8, 24, 32) or w <= 0 or h == 0:
         raise ValueError("this kind of BMP is not supported")
     rows, stride = abs(h), (w * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)
@@ -99,11 +102,11 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    """Luma of colour pictures in integer arithmetic; grey ones as they are."""
+    """Luma of colour pictures in integer arithmetic, in samples of the same size; grey ones as they are."""
     if image.ndim == 2:
         return image
     r, g, b = (image[:, :, k].astype(np.int64) for k in range(3))
-    return (299 * r + 587 * g + 114 * b + 500) // 1000
+    return ((299 * r + 587 * g + 114 * b + 500) // 1000).astype(image.dtype)
 
 
 def resize_area(image: np.ndarray, rows: int, cols: int) -> np.ndarray:
@@ -173,27 +176,32 @@ def picture_of(payload: bytes, side: int = SIDE) -> bytes:
 def write_tiles(media: DataFrame, path: str, *, id_col: str, media_col: str, extra: tuple[str, ...] = (), side: int = SIDE) -> None:
     """Decodes each picture and writes its tiles as one NPY array a row, with the columns ``extra``.
 
-    A null picture is written as a null array.  Pictures of any size are padded with white
-    (255) to whole tiles; ``rows`` and ``cols`` keep the size before that.
+    A null picture is written as a null array.  One that can't be decoded is too, with the
+    reason in ``error``, and stops nothing else.  Pictures of any size are padded with white to
+    whole tiles; ``rows`` and ``cols`` keep the size before that.  Samples of 16 bits stay so.
     """
     kinds = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in (id_col, *extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 200):
-            stored, rows, cols = [], [], []
+            out: list[tuple] = []
             for data in batch.column(len(extra) + 1):
-                image = grey(decode(data.as_py())) if data.is_valid else None
-                rows.append(None if image is None else image.shape[0])
-                cols.append(None if image is None else image.shape[1])
-                if image is not None:
-                    h, w = (-(-x // side) * side for x in image.shape)
-                    whole = np.full((h, w), 255, np.uint8)
-                    whole[: image.shape[0], : image.shape[1]] = image
-                    image = to_npy(tiles_of(whole, side))
-                stored.append(image)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(extra) + 1)), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(stored, pa.binary())], [id_col, *extra, "rows", "cols", "npy"])
-
-    media.select(id_col, *extra, media_col).mapInArrow(run, f"{kinds}, rows int, cols int, npy binary").write.option("compression", "zstd").parquet(path)
+                try:
+                    out.append((*tiled(grey(decode(data.as_py())), side), None) if data.is_valid else (None, None, None, None))
+                except (ValueError, IndexError, struct.error) as e:
+                    out.append((None, None, None, str(e)))
+            rows, cols, stored, errors = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(extra) + 1)), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(stored, pa.binary()), pa.array(errors, pa.string())], [id_col, *extra, "rows", "cols", "npy", "error"])
+
+    media.select(id_col, *extra, media_col).mapInArrow(run, f"{kinds}, rows int, cols int, npy binary, error string").write.option("compression", "zstd").parquet(path)
+
+
+def tiled(image: np.ndarray, side: int = SIDE) -> tuple[int, int, bytes]:
+    """Rows and columns of a grey picture, and its tiles as an NPY array."""
+    h, w = (-(-x // side) * side for x in image.shape)
+    whole = np.full((h, w), np.iinfo(image.dtype).max, image.dtype)
+    whole[: image.shape[0], : image.shape[1]] = image
+    return *image.shape, to_npy(tiles_of(whole, side))
 
 
 def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
