@@ -198,16 +198,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """Features of at most ``most`` labelled rows, by a seeded hash of their ids; rows of low quality fill up to half of it.
 
     This is the one bounded sample here.  Documents are read once, joined to the chosen ids.
+    Rows of ``labels`` without an id or a label are left out, the lowest of several labels of an
+    id counts, and of several rows with a chosen id the one with the least features is taken.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.min(F.col(label_col).cast("int")).alias("quality"))
     known = known.withColumn("order", F.xxhash64(F.lit(seed), F.col("label_id").cast("string")))
     chosen = known.where("quality = 0").orderBy("order").limit(most // 2).unionByName(known.where("quality <> 0").orderBy("order").limit(most - most // 2))
-    del key
     some = docs.join(F.broadcast(chosen.select("label_id", "quality", "order")), docs[id_col] == F.col("label_id"), "inner").select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "quality", "order")
     tagged = counts(some.select(F.struct("doc_id", "quality", "order").alias("doc_id"), "text"))
     columns = [F.expr(e).cast("bigint").alias(f) for f, e in FEATURES.items()]
-    found = tagged.where(~base_failed()).select(F.col("doc_id.doc_id").cast("string").alias("id"), (F.col("doc_id.quality") == 0).cast("int").alias("bad"), F.pmod("doc_id.order", F.lit(3)).cast("int").alias("part"), *columns).limit(2 * most).collect()
+    found = tagged.where(~base_failed()).select(F.col("doc_id.doc_id").cast("string").alias("id"), (F.col("doc_id.quality") == 0).cast("int").alias("bad"), F.pmod("doc_id.order", F.lit(3)).cast("int").alias("part"), *columns)
+    found = found.groupBy("id", "bad", "part").agg(F.min(F.struct(*FEATURES)).alias("features")).select("id", "bad", "part", "features.*").collect()
     return sorted((r.asDict() for r in found), key=lambda r: (r["id"], r["bad"]))
 
 
@@ -228,5 +229,9 @@ def apply_rules(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", t
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, **options) -> DataFrame:
-    """Learns from the labelled rows of ``docs`` and applies the rules to all rows.  Without labels the base rules decide."""
+    """Learns from the labelled rows of ``docs`` and applies the rules to all rows.
+
+    Columns and odd rows are as in ``apply_rules``; which labels count is told by
+    ``labelled_sample``.  Without labels, or labels of one kind only, the base rules decide.
+    """
     return apply_rules(docs, learn(labelled_sample(docs, labels, most=most)), **options)
