@@ -24,6 +24,8 @@ from .common import WORD_BREAK, stored
 
 #: Shares of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
+#: One more bin in each size class of a source for so many rows of the table, beyond the first 32.
+ROWS_A_BIN = 1_000_000
 #: Fractions of copies are counted in units of one part in a billion.
 UNIT = 1_000_000_000
 
@@ -114,7 +116,9 @@ def mix(
     units = F.round(rate * UNIT).cast("bigint")
     rated = rated.withColumn("rate", rate).withColumn("units", units).withColumn("frac", F.col("units") % UNIT)
     rated = rated.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")).withColumn("order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")))
-    rated = rated.withColumn("bin", F.pmod("order", F.lit(32)).cast("int"))
+    # A window has a size class and a bin of one source; bins grow with the rows.
+    bins_a_class = max(32, sizes.count() // ROWS_A_BIN)
+    rated = rated.withColumn("bin", F.pmod("order", F.lit(bins_a_class)).cast("int"))
     bins = rated.groupBy("rk", "class", "bin").agg(F.sum("frac").alias("inside"))
     before = Window.partitionBy("rk").orderBy("class", "bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("rk", "class", "bin", F.coalesce(F.sum("inside").over(before), F.lit(0)).alias("base"))

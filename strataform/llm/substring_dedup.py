@@ -12,7 +12,7 @@ What keeps this small and even:
 * A first pass ships only minimisers.  Those met in one class alone can have no repeated
   window; a Bloom filter of bounded size lets the others' strings through.  False positives
   cost some traffic and change nothing.
-* A minimiser with very many strings is not sorted in one bucket: its windows are dealt out
+* A minimiser with very many windows is not sorted in one bucket: its windows are dealt out
   by their own digest and reduced before the shuffle.
 """
 
@@ -28,15 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import pieces, stored
+from .common import encoded, pieces, stored
 from .words import BASE, hashed, rolling, sliding_min
 
 MER = 8
+#: A minimiser with more windows than this is not sorted in one bucket.
+HOT = 200_000
 LAST = (1 << 63) - 1
 
 
 def _words(column: pa.Array) -> list[list[bytes]]:
-    return [t.as_py().encode().split() if t.is_valid else [] for t in column]
+    return [t.split() if t else [] for t in encoded(column)]
 
 
 def _class(words: list[bytes]) -> bytes:
@@ -79,7 +81,7 @@ def _unseen(batch: pa.RecordBatch, width: int, seen: set[bytes]) -> tuple[list[l
     return words, keys
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, mer: int = MER, hot: int = 4000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, width: int = 50, mer: int = MER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Classes (doc_id, n_words, cls) of all rows, and spans (doc_id, cls, a, b) of words to remove.
 
     ``docs`` has doc_id (long) and text.  A null id counts as the largest.
@@ -100,14 +102,16 @@ def repeated_spans(docs: DataFrame, width: int = 50, mer: int = MER, hot: int =
         for batch in pieces(batches):
             words, keys = _unseen(batch, width, seen)
             hashes, starts = hashed(words)
-            text, _, _, mins = super_kmers(hashes, starts, width, mer)
+            text, _, n, mins = super_kmers(hashes, starts, width, mer)
             if len(text):
-                pairs = np.unique(np.stack([mins.view(np.int64), text], 1), axis=0)
+                order = np.lexsort((text, mins))
+                mins, text, n = mins[order], text[order], n[order]
+                at = np.flatnonzero(np.append(True, (mins[1:] != mins[:-1]) | (text[1:] != text[:-1])))
                 owner = np.array([int.from_bytes(k[:8], "little", signed=True) if k else 0 for k in keys], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(owner[pairs[:, 1]])], ["mini", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(mins[at].view(np.int64)), pa.array(owner[text[at]]), pa.array(np.add.reduceat(n, at).astype(np.int32))], ["mini", "owner", "n"])
 
-    marks = docs.mapInArrow(mark, "mini bigint, owner bigint")
-    shared = stored(marks.groupBy("mini").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("mini", "n"), "minimisers")
+    marks = docs.mapInArrow(mark, "mini bigint, owner bigint, n int")
+    shared = stored(marks.groupBy("mini").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.sum("n").alias("n")).where("lo <> hi").select("mini", "n"), "minimisers")
     bits = blooms.bits_for(shared.count(), 16)
     held = spark.sparkContext.broadcast(blooms.membership(shared.select("mini"), bits))
 
@@ -212,7 +216,7 @@ def _dealt_windows(sent: DataFrame, width: int) -> DataFrame:
     return windows.join(least, ["d1", "d2"]).where(F.col("doc_id") > F.col("least")).select("doc_id", "cls", "a", (F.col("a") + width).alias("b"))
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, mer: int = MER, hot: int = 4000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 50, mer: int = MER, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and text (the kept words joined by one space).
 
     A word is removed if a window of ``width`` consecutive words that covers it also starts

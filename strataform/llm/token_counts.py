@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import tree_merge
+from .common import only, tree_merge
+
+
+#: Longer pre-tokens are not counted, so that a summary has a bounded size in bytes.
+MOST_CHARS = 64
 
 
 def shrink(counts: Counter, most: int) -> Counter:
@@ -52,16 +56,17 @@ def frequent_pretokens(texts: DataFrame, text_col: str, entries: int = 1 << 15)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    held.update(text.split(" "))
+                    words = text.split(" ")
+                    held.update(words if max(map(len, words)) <= MOST_CHARS else [w for w in words if len(w) <= MOST_CHARS])
                     if len(held) > 8 * entries:
                         held = shrink(held, entries)
         held = shrink(held, entries)
         yield pa.RecordBatch.from_arrays([pa.array([pack(held)], pa.binary())], ["summary"])
 
     rows = texts.select(F.col(text_col).alias("text")).mapInArrow(summarise, "summary binary")
-    merged = tree_merge(rows, "summary", lambda a, b: merge_summaries(a, b, entries), 80 * entries)
+    merged = tree_merge(rows, "summary", lambda a, b: merge_summaries(a, b, entries), (4 * MOST_CHARS + 16) * entries)
     counts = pickle.loads(zlib.decompress(merged)) if merged else {}
-    plain = (k for k in sorted(counts, key=lambda k: (-counts[k], k)) if k and len(k) <= 64 and not bpe.WHITE.search(k))
+    plain = (k for k in sorted(counts, key=lambda k: (-counts[k], k)) if k and not bpe.WHITE.search(k))
     return [" " + k for k in plain]
 
 
@@ -112,15 +117,11 @@ def arrow_table(names: list[str], lengths: list[int]) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-_worker: dict = {}
-
-
 def worker(tokenizer: str | None, frequent, cache: int):
     """The counter of this worker process; its cache outlives a task."""
-    key = (tokenizer, zlib.crc32(frequent.value), cache)
-    if key not in _worker:
+
+    def make() -> bpe.Encoder:
         table = pa.ipc.open_stream(frequent.value).read_all()
-        known = dict(zip(table["chunk"].to_pylist(), table["n"].to_pylist(), strict=True))
-        _worker.clear()
-        _worker[key] = bpe.Encoder(tokenizer, len, known, sum, cache)
-    return _worker[key]
+        return bpe.Encoder(tokenizer, len, dict(zip(table["chunk"].to_pylist(), table["n"].to_pylist(), strict=True)), sum, cache)
+
+    return only(("token counts", tokenizer, zlib.crc32(frequent.value), cache), make)
