@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError, LimitError
+from ..sources.storage import stored
 
 MOST_DEPTH = 1000
 
@@ -56,15 +57,18 @@ def subtree_bytes(objects: DataFrame) -> DataFrame:
 
 
 def wanted(objects: DataFrame, roots: list[int]) -> DataFrame:
-    """object_id of the roots, all below them, and what they refer to, until nothing is added."""
-    have = objects.where(F.col("object_id").isin([int(r) for r in roots])).select("object_id")
-    for _ in range(MOST_DEPTH + 1):
-        below = objects.join(have.withColumnRenamed("object_id", "parent_id"), "parent_id", "left_semi").select("object_id")
-        targets = objects.join(have, "object_id", "left_semi").where("shared_with is not null").select(F.col("shared_with").alias("object_id"))
-        more = have.unionByName(below).unionByName(targets).distinct()
-        if more.count() == have.count():
+    """object_id of the roots, all below them, and what they refer to, until nothing is added.
+
+    Each round looks at what the last one added, and is written out.
+    """
+    new = have = stored(objects.where(F.col("object_id").isin([int(r) for r in roots])).select("object_id"), "wanted")
+    for _ in range(2 * MOST_DEPTH + 1):
+        below = objects.join(new.withColumnRenamed("object_id", "parent_id"), "parent_id", "left_semi").select("object_id")
+        targets = objects.join(new, "object_id", "left_semi").where("shared_with is not null").select(F.col("shared_with").alias("object_id"))
+        new = stored(below.unionByName(targets).distinct().join(have, "object_id", "left_anti"), "wanted")
+        if not new.limit(1).count():
             return have
-        have = more
+        have = stored(have.unionByName(new), "wanted")
     raise LimitError("the selection did not settle")
 
 

@@ -9,31 +9,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import div
 
 
-def canonical(column: str, kind: str) -> Column:
-    """Text that stands for one value: missing, or its type's plain form with a length before strings."""
-    c = F.col(column)
-    if kind in ("string", "char", "varchar"):
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """Text that stands for one value and no other of its type.
+
+    A missing value is ``~``, strings have their length before them, and nested values the
+    number of their parts; times count microseconds.  Keys of maps come in the order of their text.
+    """
+    if isinstance(kind, T.StringType | T.CharType | T.VarcharType):
         text = F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
-    elif kind == "binary":
+    elif isinstance(kind, T.BinaryType):
         text = F.hex(c)
-    elif kind in ("double", "float"):
+    elif isinstance(kind, T.DoubleType | T.FloatType):
         text = c.cast("double").cast("string")
-    elif kind in ("timestamp_ntz", "timestamp"):
+    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    elif kind.startswith(("array", "map", "struct")):
-        text = F.to_json(c)
+    elif isinstance(kind, T.StructType):
+        parts = [canonical(c.getField(f.name), f.dataType) for f in kind.fields]
+        text = F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws("|", *parts), F.lit("}")))
+    elif isinstance(kind, T.ArrayType):
+        parts = F.array_join(F.transform(c, lambda x: canonical(x, kind.elementType)), ",")
+        text = F.concat(F.lit("["), F.size(c).cast("string"), F.lit(":"), parts, F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda x: F.concat(canonical(x["key"], kind.keyType), F.lit("="), canonical(x["value"], kind.valueType)))
+        text = F.concat(F.lit("<"), F.size(c).cast("string"), F.lit(":"), F.array_join(F.array_sort(pairs), ","), F.lit(">"))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("~"))
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return F.sha2(F.concat_ws("|", *(canonical(c, kinds[c]) for c in columns)), 256)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.sha2(F.concat_ws("|", *(canonical(F.col(f"`{c}`"), kinds[c]) for c in columns)), 256)
 
 
 def ordered_digest(digests: str, order: str) -> Column:
@@ -48,29 +59,28 @@ def block_digests(df: DataFrame, columns: list[str], row: str, size: int) -> Dat
     return rows.groupBy("blk").agg(F.count(F.lit(1)).alias("n"), ordered_digest("h", "row").alias("digest"))
 
 
-def root_digest(blocks: DataFrame, fan: int = 4096) -> DataFrame:
-    """One row: digest and n, joined in levels of ``fan`` blocks so that no group grows with the table."""
-    level = blocks.select("blk", "digest", "n")
+def root_digest(blocks: DataFrame, fan: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
+    """digest and n, of the whole or for each value of ``keys``, joined in levels of ``fan`` blocks so that no group grows with the table."""
+    level = blocks.select(*keys, "blk", "digest", "n")
     while True:
-        level = level.groupBy(div("blk", fan).alias("up")).agg(F.sum("n").cast("bigint").alias("n"), ordered_digest("digest", "blk").alias("digest")).withColumnRenamed("up", "blk")
+        level = level.groupBy(*keys, div("blk", fan).alias("up")).agg(F.sum("n").cast("bigint").alias("n"), ordered_digest("digest", "blk").alias("digest")).withColumnRenamed("up", "blk")
         top = level.agg(F.max("blk").alias("m")).first()["m"]
         if not top:
-            return level.select("digest", "n")
+            return level.select(*keys, "digest", "n")
 
 
-def distinct_digests(df: DataFrame) -> DataFrame:
-    """row and digest, each distinct value digested once."""
-    values = df.select("v").distinct().select(F.col("v").alias("_v"), F.sha2(F.col("v"), 256).alias("digest"))
-    return df.join(values, df["v"].eqNullSafe(values["_v"]), "left").select("row", "digest")
+def string_digests(df: DataFrame) -> DataFrame:
+    """row and digest of each value.  A digest costs less than the shuffle that would share it."""
+    return df.select("row", F.sha2("v", 256).alias("digest"))
 
 
 def column_digests(df: DataFrame, columns: list[str], row: str, size: int) -> DataFrame:
-    """column and digest, one scan for all columns."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.sha2(canonical(c, kinds[c]), 256).alias("h")) for c in columns))).alias("c")
+    """column and digest, one scan for all columns, joined in levels."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.sha2(canonical(F.col(f"`{c}`"), kinds[c]), 256).alias("h")) for c in columns))).alias("c")
     long = df.select(F.col(row).cast("bigint").alias("row"), cells).select("row", "c.column", "c.h", div("row", size).alias("blk"))
-    blocks = long.groupBy("column", "blk").agg(ordered_digest("h", "row").alias("h"))
-    return blocks.groupBy("column").agg(ordered_digest("h", "blk").alias("digest"))
+    blocks = long.groupBy("column", "blk").agg(F.count(F.lit(1)).alias("n"), ordered_digest("h", "row").alias("digest"))
+    return root_digest(blocks, keys=("column",)).drop("n")
 
 
 def shared(digests: DataFrame) -> DataFrame:

@@ -60,9 +60,10 @@ def choose(df: DataFrame) -> DataFrame:
 
 def codes(df: DataFrame) -> DataFrame:
     """row and code: the value less the minimum of its block, all ones for a missing one."""
-    base = F.broadcast(frame(stats(df)).select("blk", "min_v", "for_width"))
-    ones = F.expr("shiftleft(1L, cast(for_width as int)) - 1")
-    return df.join(base, "blk").select("blk", "row", F.when(F.col("v").isNull(), ones).otherwise(F.col("v") - F.col("min_v")).cast("bigint").alias("code"))
+    whole = Window.partitionBy("blk")
+    held = df.withColumns({"min_v": F.min("v").over(whole).cast("bigint"), "max_v": F.max("v").over(whole).cast("bigint"), "n": F.count(F.lit(1)).over(whole), "n_na": F.sum(F.col("v").isNull().cast("bigint")).over(whole)})
+    ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("for_width").cast("int")) - 1
+    return frame(held).select("blk", "row", F.when(F.col("v").isNull(), ones).otherwise(F.col("v") - F.col("min_v")).cast("bigint").alias("code"))
 
 
 def steps(df: DataFrame) -> DataFrame:

@@ -49,22 +49,44 @@ def unplaned(planes_: DataFrame, width: int = 32) -> DataFrame:
 
 def exceptions(df: DataFrame) -> DataFrame:
     """blk, pos and state of the rows that are not of their block's default state."""
-    default = F.broadcast(stats(df).select("blk", "default_state"))
-    return df.join(default, "blk").withColumn("state", state()).where(F.col("state") != F.col("default_state")).select("blk", "pos", "state")
+    whole = Window.partitionBy("blk")
+    count = lambda s: F.sum((F.col("state") == s).cast("bigint")).over(whole)
+    held = df.withColumn("state", state()).withColumns({"n_false": count(0), "n_true": count(1), "n_na": count(2)})
+    return held.where(F.col("state") != default_state()).select("blk", "pos", "state")
 
 
 def periods(df: DataFrame) -> DataFrame:
     """blk and the shortest period of 2 to 64 (at most a quarter of the block) of blocks with many runs.
 
-    One sort a block serves all 63 candidates; nothing is joined to itself.
+    A block is two arrays of 32-bit words, one of trues and one of missing values; a candidate
+    shifts them and compares whole words, up to the first that differs.
     """
-    order = Window.partitionBy("blk").orderBy("row")
-    s = stats(df).where(2 * F.col("runs") > F.col("n")).select("blk", "n")
-    marked = df.join(F.broadcast(s), "blk").withColumn("_s", state())
-    lags = {f"_d{p}": ((F.col("pos") >= p) & (F.lag("_s", p).over(order) != F.col("_s"))).cast("int") for p in range(2, LONGEST_PERIOD + 1)}
-    found = marked.withColumns(lags).groupBy("blk").agg(F.first("n").alias("n"), *(F.max(c).alias(c) for c in lags))
-    fits = [F.when((F.col(f"_d{p}") == 0) & (F.col("n") >= 4 * p), p) for p in range(2, LONGEST_PERIOD + 1)]
-    return found.select("blk", F.coalesce(*fits).cast("bigint").alias("period")).where("period is not null")
+    words = F.array_sort(F.collect_list(F.struct("word", "true_word", "na_word")))
+    held = planes(df).groupBy("blk").agg(words.alias("w"))
+    held = held.select("blk", F.transform("w", lambda x: x["true_word"]).alias("t"), F.transform("w", lambda x: x["na_word"]).alias("m"))
+    held = held.join(stats(df).where(2 * F.col("runs") > F.col("n")).select("blk", "n"), "blk")
+    ones = F.lit((1 << 32) - 1)
+
+    def fits(p: Column) -> Column:
+        """Whether all values equal those ``p`` places on."""
+        skip, bits = div(p, 32).cast("int"), (p % 32).cast("int")
+
+        def moved(plane: str, k: Column) -> Column:
+            low = F.coalesce(F.get(plane, k + skip), F.lit(0).cast("bigint"))
+            high = F.coalesce(F.get(plane, k + skip + 1), F.lit(0).cast("bigint"))
+            return F.call_function("shiftright", low, bits).bitwiseOR(F.call_function("shiftleft", high, F.lit(32) - bits)).bitwiseAND(ones)
+
+        def same(k: Column) -> Column:
+            left = F.col("n") - p - 32 * k
+            mask = F.when(left >= 32, ones).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), left.cast("int")) - 1)
+            differ = moved("t", k).bitwiseXOR(F.get("t", k)).bitwiseOR(moved("m", k).bitwiseXOR(F.get("m", k)))
+            return differ.bitwiseAND(mask) == 0
+
+        return F.forall(F.sequence(F.lit(0), div(F.col("n") - p - 1, 32).cast("int")), same)
+
+    longest = F.least(F.lit(LONGEST_PERIOD), div("n", 4)).cast("int")
+    first = F.get(F.filter(F.sequence(F.lit(2), longest), fits), 0)
+    return held.where("n >= 8").select("blk", first.cast("bigint").alias("period")).where("period is not null")
 
 
 def choose(df: DataFrame) -> DataFrame:

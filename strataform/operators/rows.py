@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from ..functions.exprs import div
+from ..sources.storage import stored
 
 #: A take with more positions than this is joined by a shuffle, not broadcast.
 MOST_BROADCAST = 1_000_000
@@ -71,19 +73,23 @@ def take(df: DataFrame, row: str, positions: Sequence[int], *, total: int | None
 
 
 def number(df: DataFrame, order: Sequence[str], name: str = "row", buckets: int | None = None) -> DataFrame:
-    """0-based positions in the order of ``order``, whose first column is numeric.
+    """0-based positions in the order of ``order``, columns of any type that can be sorted, nulls first.
 
-    Rows are dealt into buckets by quantiles of the first column and numbered inside;
-    the only ordered step over the whole is on one count a bucket.
+    Rows are dealt into ranges of all columns together, so that a frequent first value is
+    spread, sorted there and written once; what is ordered over the whole is one count a
+    range.  Ties are broken by where a row was found.  Without columns, rows are numbered as
+    they are found, partition by partition.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    cuts = sorted(set(df.stat.approxQuantile(order[0], [k / buckets for k in range(1, buckets)], 0.001))) if buckets > 1 else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(order[0]) > c).cast("int")
-    dealt = df.withColumn("_bucket", bucket)
-    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return dealt.withColumn("_inside", inside).join(F.broadcast(counts), "_bucket").withColumn(name, (F.col("_base") + F.col("_inside") - 1).cast("bigint")).drop("_bucket", "_inside", "_base")
+    found, at, part = (f"__{x}_{uuid.uuid4().hex[:8]}" for x in ("found", "at", "part"))
+    dealt = df
+    if order:
+        keys = [F.col(f"`{c}`") for c in order]
+        dealt = df.withColumn(found, F.monotonically_increasing_id()).repartitionByRange(buckets, *keys, found).sortWithinPartitions(*keys, found).drop(found)
+    # The upper bits of the number tell the partition, the lower 33 the place in it.
+    held = stored(dealt.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    held = held.withColumn(part, F.shiftright(at, 33))
+    counts = held.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return held.join(F.broadcast(counts.withColumnRenamed("_base", found)), part).withColumn(name, (F.col(found) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop(part, at, found)

@@ -13,16 +13,24 @@ from ..functions.exprs import as_column, div
 
 THRESHOLD = 0.75
 MOST_ENTRIES = 1 << 22
+CHUNK = 65_536
+#: Values that a distinct share is estimated from; fewer are counted exactly.
+SAMPLE = 16_384
 
 
-def dictionary(df: DataFrame) -> DataFrame:
-    """id, v and first_row of each value, ids by first occurrence from 0.
+def dictionary(df: DataFrame, most: int = MOST_ENTRIES) -> DataFrame:
+    """id, v and first_row of each value, ids by first occurrence from 0; values past ``most`` ids have no entry.
 
-    Values are reduced before they are shuffled; the ordered step sees one row a value, and
-    a dictionary has at most ``MOST_ENTRIES`` of them.
+    Values are reduced before they are shuffled.  They are numbered inside chunks of rows,
+    and what is ordered over the whole is one count a chunk.
     """
-    firsts = df.groupBy("v").agg(F.min("row").alias("first_row"))
-    return firsts.select((F.row_number().over(Window.orderBy("first_row")) - 1).cast("bigint").alias("id"), "v", "first_row")
+    firsts = df.groupBy("v").agg(F.min("row").alias("first_row")).withColumn("_chunk", div("first_row", CHUNK))
+    counts = firsts.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")).where(F.col("_base") < most)
+    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy("first_row")) - 1
+    found = firsts.withColumn("_inside", inside).join(counts, "_chunk")
+    return found.select((F.col("_base") + F.col("_inside")).cast("bigint").alias("id"), "v", "first_row").where(F.col("id") < most)
 
 
 def encode(df: DataFrame, entries: DataFrame) -> DataFrame:
@@ -54,18 +62,42 @@ def block_dictionary(df: DataFrame, size: int) -> DataFrame:
     return firsts.select("chunk", "v", (F.row_number().over(Window.partitionBy("chunk").orderBy("first_row")) - 1).cast("bigint").alias("entry"))
 
 
-def distinct_share(df: DataFrame) -> DataFrame:
-    """n, d, f1, f2 and the bias-corrected Chao1 estimate d + f1 (f1 - 1) / (2 (f2 + 1)) over n, at most 1."""
-    counts = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("n"), F.count(F.lit(1)).alias("d"), F.count(F.when(F.col("c") == 1, 1)).alias("f1"), F.count(F.when(F.col("c") == 2, 1)).alias("f2"))
-    estimate = F.col("d") + F.col("f1") * (F.col("f1") - 1) / (2 * (F.col("f2") + 1))
-    return s.withColumn("share", F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), estimate / F.col("n"))))
+def sampled_positions(n: int, count: int = SAMPLE) -> list[int]:
+    """The fixed sample of positions, with repeats: a xorshift generator, its high product modulo ``n``."""
+    state, mask, out = 0x9E3779B97F4A7C15, (1 << 64) - 1, []
+    for _ in range(count):
+        state ^= state >> 12
+        state ^= state << 25 & mask
+        state ^= state >> 27
+        out.append((state * 0x2545F4914F6CDD1D & mask) % n)
+    return out
+
+
+def distinct_share(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """n, d, f1, f2 and share of the values of ``df`` (row, v), rows counting from 0.
+
+    Up to ``sample`` values the share of distinct ones is exact.  Of more, a fixed sample of
+    positions gives d distinct values, f1 of them once and f2 twice, and the bias-corrected
+    Chao1 estimate d + f1 (f1 - 1) / (2 (f2 + 1)) over n, at most 1.
+    """
+    n = df.count()
+    if n <= sample:
+        counts = df.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        times: dict[int, int] = {}
+        for p in sampled_positions(n, sample):
+            times[p] = times.get(p, 0) + 1
+        asked = df.sparkSession.createDataFrame(list(times.items()), "row bigint, c bigint")
+        counts = df.join(F.broadcast(asked), "row").groupBy("v").agg(F.sum("c").alias("c"))
+    s = counts.agg(F.lit(n).cast("bigint").alias("n"), F.count(F.lit(1)).alias("d"), F.count(F.when(F.col("c") == 1, 1)).alias("f1"), F.count(F.when(F.col("c") == 2, 1)).alias("f2"))
+    estimate = F.col("d") if n <= sample else F.col("d") + F.col("f1") * (F.col("f1") - 1) / (2 * (F.col("f2") + 1))
+    return s.withColumn("share", F.lit(0.0) if not n else F.least(F.lit(1.0), estimate / F.col("n")))
 
 
 def policy(df: DataFrame) -> DataFrame:
-    """n, d and the policy: a dictionary if less than three quarters of the values are distinct."""
-    s = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d"))
-    return s.withColumn("policy", F.when(F.col("d") < THRESHOLD * F.col("n"), "global").otherwise("plain"))
+    """n, share and the policy: a dictionary if less than three quarters of the values are distinct."""
+    s = distinct_share(df).select("n", "share")
+    return s.withColumn("policy", F.when(F.col("share") < THRESHOLD, "global").otherwise("plain"))
 
 
 def record_bytes(df: DataFrame, block: str = "blk") -> DataFrame:
@@ -91,7 +123,7 @@ def packed(df: DataFrame, limit: int = 1 << 20) -> DataFrame:
             out.append(piece)
         return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "piece": out})
 
-    sized = df.select("row", div("row", 65_536).alias("chunk"), (5 + F.coalesce(F.octet_length("v"), F.lit(0))).cast("bigint").alias("bytes"))
+    sized = df.select("row", div("row", CHUNK).alias("chunk"), (5 + F.coalesce(F.octet_length("v"), F.lit(0))).cast("bigint").alias("bytes"))
     return sized.groupBy("chunk").applyInPandas(run, "row bigint, chunk bigint, piece bigint")
 
 

@@ -83,6 +83,17 @@ def rows_numbered_lineitem(spark, sf_dir):
     return lineitem_rows(spark, sf_dir).select(F.col("row").alias("row_id"), "l_orderkey", "l_linenumber")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY CASE WHEN event_id % 5 <> 0 THEN user_id END NULLS FIRST, event_id) - 1 AS BIGINT) AS row_id, event_id FROM events")
+def rows_numbered_nulls(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("k"), "event_id")
+    return rows.number(df, ["k", "event_id"], "row_id").select("row_id", "event_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS BIGINT) AS row_id, event_id FROM events")
+def rows_numbered_strings(spark, sf_dir):
+    return rows.number(table(spark, sf_dir, "events"), ["event_type", "ts", "event_id"], "row_id").select("row_id", "event_id")
+
+
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
 
@@ -245,9 +256,9 @@ def int_level0_width(spark, sf_dir):
     return integers.widened(integers.frame(integers.stats(df))).select("blk", "for_width", "stored_bits")
 
 
-@query(f"WITH {PRESENT}, k AS (SELECT blk, greatest(count(*) // 512, 1) AS step FROM f GROUP BY blk) SELECT f.blk, count(*) AS sampled, count(DISTINCT v) AS distinct_v, 2 * count(DISTINCT v) < count(*) AS plain FROM f JOIN k ON k.blk = f.blk WHERE pos % step = 0 GROUP BY f.blk")
+@query(f"WITH {PRESENT}, k AS (SELECT blk, greatest(count(*) // 4096, 1) AS step FROM f GROUP BY blk) SELECT f.blk, count(*) AS sampled, count(DISTINCT v) AS distinct_v, 2 * count(DISTINCT v) < count(*) AS plain FROM f JOIN k ON k.blk = f.blk WHERE pos % step = 0 GROUP BY f.blk")
 def int_plain_vs_planes(spark, sf_dir):
-    return integers.plain_wins(customers(spark, sf_dir, False), 512)
+    return integers.plain_wins(customers(spark, sf_dir, False))
 
 
 INT_CHOICE = """, c AS (SELECT blk, n, n_na, 8 + 8 * runs AS run_bytes, CAST(CASE WHEN delta_width < for_width THEN delta_bytes END AS BIGINT) AS delta_bytes, CAST(for_bytes AS BIGINT) AS for_bytes, 4 * n AS raw_bytes FROM z),
@@ -385,24 +396,41 @@ def str_block_dictionary(spark, sf_dir):
     return strings.block_dictionary(words(spark, sf_dir, "events", "event_id", "event_type"), B)
 
 
-@query("WITH c AS (SELECT user_id, count(*) AS c FROM events GROUP BY user_id), s AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS d, count(*) FILTER (c = 1) AS f1, count(*) FILTER (c = 2) AS f2 FROM c) SELECT n, d, f1, f2, least(1.0::DOUBLE, (d + f1 * (f1 - 1) / (2 * (f2 + 1))::DOUBLE) / n) AS share FROM s")
+#: The fixed sample of 16,384 positions: xorshift in whole numbers below 2**64.
+_TWO64 = "18446744073709551616::HUGEINT"
+SAMPLE_SQL = f"""WITH RECURSIVE g(k, s) AS (
+      SELECT 0, 11400714819323198485::HUGEINT
+      UNION ALL SELECT k + 1, xor(b, b >> 27) FROM (SELECT k, xor(a, (a << 25) % {_TWO64}) AS b FROM (SELECT k, xor(s, s >> 12) AS a FROM g WHERE k < 16384) AS x) AS y)"""
+SHARE_SQL = """t AS (SELECT count(*) AS n FROM f), p AS (SELECT CAST(s * 2685821657736338717::HUGEINT % 18446744073709551616::HUGEINT % (SELECT n FROM t) AS BIGINT) AS rw FROM g WHERE k > 0),
+    few AS (SELECT v, count(*) AS c FROM f GROUP BY v), many AS (SELECT v, count(*) AS c FROM f JOIN p ON p.rw = f.rw GROUP BY v),
+    c AS (SELECT * FROM few WHERE (SELECT n FROM t) <= 16384 UNION ALL SELECT * FROM many WHERE (SELECT n FROM t) > 16384),
+    s AS (SELECT (SELECT n FROM t) AS n, count(*) AS d, count(*) FILTER (c = 1) AS f1, count(*) FILTER (c = 2) AS f2 FROM c)
+    SELECT n, d, f1, f2, CASE WHEN n <= 16384 THEN d / n::DOUBLE ELSE least(1.0::DOUBLE, (d + f1 * (f1 - 1) / (2 * (f2 + 1))::DOUBLE) / n) END AS share FROM s"""
+
+
+@query(f"{SAMPLE_SQL}, f AS (SELECT event_id AS rw, CAST(user_id AS VARCHAR) AS v FROM events), {SHARE_SQL}")
 def str_distinct_chao1(spark, sf_dir):
     return strings.distinct_share(words(spark, sf_dir, "events", "event_id", "user_id"))
 
 
+@query(f"{SAMPLE_SQL}, {LINES}, f AS (SELECT rw, CAST(l_partkey AS VARCHAR) AS v FROM lines), {SHARE_SQL}")
+def str_distinct_sampled(spark, sf_dir):
+    return strings.distinct_share(lineitem_rows(spark, sf_dir).select("row", F.col("l_partkey").cast("string").alias("v")))
+
+
 @query(f"SELECT doc_id // {B} AS blk, count(*) AS n, CAST(sum(5 + octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY doc_id // {B}")
 def str_record_bytes(spark, sf_dir):
     return strings.record_bytes(rows.with_block(words(spark, sf_dir, "documents", "doc_id", "text"), "row", B))
 
 
-STRING_COLUMNS = [("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_brand"), ("part", "p_type"), ("events", "event_type"), ("documents", "text"), ("documents", "lang"), ("pages", "url")]
+STRING_COLUMNS = [("orders", "o_orderkey", "o_orderstatus"), ("orders", "o_orderkey", "o_orderpriority"), ("part", "p_partkey", "p_brand"), ("part", "p_partkey", "p_type"), ("events", "event_id", "event_type"), ("documents", "doc_id", "text"), ("documents", "doc_id", "lang"), ("pages", "page_id", "url")]
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS name, count(*) AS n, count(DISTINCT {c}) AS d, CASE WHEN count(DISTINCT {c}) < 0.75 * count(*) THEN 'global' ELSE 'plain' END AS policy FROM {t}" for t, c in STRING_COLUMNS))
+@query(SAMPLE_SQL + ", " + ", ".join(f"u{k} AS (WITH f AS (SELECT {r} AS rw, {c} AS v FROM {t}), {SHARE_SQL})" for k, (t, r, c) in enumerate(STRING_COLUMNS)) + " " + " UNION ALL ".join(f"SELECT '{t}.{c}' AS name, n, share, CASE WHEN share < 0.75 THEN 'global' ELSE 'plain' END AS policy FROM u{k}" for k, (t, r, c) in enumerate(STRING_COLUMNS)))
 def str_policy(spark, sf_dir):
     out = None
-    for t, c in STRING_COLUMNS:
-        one = strings.policy(table(spark, sf_dir, t).select(F.col(c).alias("v"))).select(F.lit(f"{t}.{c}").alias("name"), "n", "d", "policy")
+    for t, r, c in STRING_COLUMNS:
+        one = strings.policy(words(spark, sf_dir, t, r, c)).select(F.lit(f"{t}.{c}").alias("name"), "n", "share", "policy")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -461,9 +489,29 @@ def content_hash_root(spark, sf_dir):
     return hashing.root_digest(hashing.block_digests(table(spark, sf_dir, "events"), HASHED, "event_id", B))
 
 
+_TEXT = "octet_length(encode({0})) || ':' || {0}"
+_TIME = "strftime(ts + INTERVAL (event_id % 7) MICROSECOND, '%Y-%m-%d %H:%M:%S.%f')"
+NESTED_TEXT = (
+    "CAST(event_id AS VARCHAR) || '|' || '{' || CAST(user_id AS VARCHAR) || '|' || CASE WHEN event_id % 3 = 0 THEN '~' ELSE " + _TEXT.format("event_type") + " END || '}' || '|' || "
+    "CASE WHEN event_id % 11 = 0 THEN '~' ELSE '[2:' || " + _TIME + " || ',~]' END || '|' || '<1:' || " + _TEXT.format("event_type") + " || '=' || CAST(user_id AS VARCHAR) || '>'"
+)
+
+
+@query(f"WITH h AS (SELECT event_id AS rw, event_id // {B} AS blk, sha256({NESTED_TEXT}) AS h FROM events) SELECT blk, count(*) AS n, sha256(string_agg(h, '' ORDER BY rw)) AS digest FROM h GROUP BY blk")
+def content_hash_nested(spark, sf_dir):
+    time = F.timestamp_add("MICROSECOND", (F.col("event_id") % 7).cast("int"), F.col("ts"))
+    df = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.struct("user_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind")).alias("s"),
+        F.when(F.col("event_id") % 11 != 0, F.array(time, F.lit(None).cast("timestamp_ntz"))).alias("a"),
+        F.create_map("event_type", "user_id").alias("m"),
+    )
+    return hashing.block_digests(df, df.columns, "event_id", B)
+
+
 @query("SELECT event_id AS row_id, sha256(event_type) AS digest FROM events")
 def hash_distinct_strings(spark, sf_dir):
-    return hashing.distinct_digests(words(spark, sf_dir, "events", "event_id", "event_type")).withColumnRenamed("row", "row_id")
+    return hashing.string_digests(words(spark, sf_dir, "events", "event_id", "event_type")).withColumnRenamed("row", "row_id")
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS shared_with FROM documents QUALIFY min(doc_id) OVER (PARTITION BY text) < doc_id")

@@ -91,7 +91,18 @@ def bytes_roundtrip(spark, sf_dir):
     return container.unserialize(spark, data, select=["n_name"], positions=[3, 0, 3])
 
 
+def container_any_order(spark, sf_dir):
+    path = container.write(_table(spark, sf_dir, "nation"), _path(spark), order=["n_name"])
+    return container.read(spark, path, window=(3, 9), keep_row=True).withColumnRenamed("__row", "place")
+
+
+def container_as_found(spark, sf_dir):
+    return container.read(spark, container.write(_table(spark, sf_dir, "nation"), _path(spark)))
+
+
 QUERIES = [
+    (container_any_order, "SELECT * FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS place, * FROM nation) AS t WHERE place BETWEEN 3 AND 9"),
+    (container_as_found, "SELECT * FROM nation"),
     (container_roundtrip, "SELECT * FROM events"),
     (container_select_window, "SELECT value, event_id FROM events WHERE event_id BETWEEN 4000 AND 4200"),
     (container_positions, "SELECT CAST(p.place AS BIGINT) AS place, event_id, event_type FROM (VALUES (0, 9), (1, 2), (2, 2), (3, 901)) AS p(place, pos) JOIN events ON event_id = p.pos"),

@@ -15,7 +15,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import pickle
+import struct
 import uuid
 from collections.abc import Sequence
 from typing import Any
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import __version__
-from ..errors import ArgumentError, CodecError, FormatError, LimitError, UnsupportedError, VersionError
+from ..errors import ArgumentError, CodecError, FormatError, LimitError, StorageError, UnsupportedError, VersionError
 from ..functions.exprs import div
 from ..operators import graph, hashing, rows
 from .storage import Store
@@ -33,6 +35,8 @@ from .storage import Store
 FORMAT = 1
 ROW = "__row"
 BLOCK = 65_536
+#: Seconds after which a version that no manifest names is taken for a dead writer's.
+GRACE = 7 * 24 * 3600
 #: The limits of metadata, and of a chunk of an opaque value.
 MOST_KEYS, MOST_METADATA, CHUNK = 1024, 65_536, 1 << 20
 SYNOPSIS_NAMES, SYNOPSIS_BYTES = 64, 256
@@ -56,12 +60,10 @@ def _level(compress: int) -> int:
 
 
 def _ordered(df: DataFrame, row: str | None, order: Sequence[str] | None) -> DataFrame:
-    """The table with its positions in ``__row``."""
+    """The table with its positions in ``__row``; without a column of them or an order, rows count as they are found."""
     if row is not None:
         return df.withColumnRenamed(row, ROW) if row == ROW else df.withColumn(ROW, F.col(row).cast("bigint"))
-    if order:
-        return rows.number(df, list(order), ROW)
-    raise ArgumentError("name the column of positions, or the columns whose order gives them")
+    return rows.number(df, list(order or ()), ROW)
 
 
 def table_hash(df: DataFrame, *, row: str | None = None, order: Sequence[str] | None = None, block: int = BLOCK) -> str:
@@ -94,9 +96,11 @@ def write(
 ) -> str:
     """Writes a table, a named archive of tables or, with ``mode="auto"``, any other value as an opaque payload.
 
-    The old container stays until the new manifest replaces its own.  With ``skip_unchanged``
-    nothing is written if hash and metadata are those of the target.  ``share`` stores
-    columns of equal content once.
+    ``row`` names a column of positions; else rows are in the order of the columns ``order``,
+    of any type, or as they are found.  The old container stays until the new manifest
+    replaces its own, and its data until the write after that, for those who still read it.
+    With ``skip_unchanged`` nothing is written if hash and metadata are those of the target.
+    ``share`` stores columns of equal content once.
     """
     if mode not in ("auto", "strict"):
         raise ArgumentError("mode is auto or strict")
@@ -132,11 +136,17 @@ def write(
         payload = pickle.dumps(value, protocol=4)
         chunks = [(k, payload[a : a + CHUNK], hashlib.sha256(payload[a : a + CHUNK]).hexdigest()) for k, a in enumerate(range(0, max(1, len(payload)), CHUNK))]
         spark.createDataFrame(chunks, "seq bigint, bytes binary, digest string").coalesce(1).write.option("compression", "zstd").parquet(f"{path}/{version}/payload")
-        manifest |= {"archive": False, "synopsis": synopsis(value), "payload_bytes": len(payload), "hash": hashlib.sha256(payload).hexdigest() if hash else None}
+        manifest |= {"archive": False, "synopsis": synopsis(value), "payload_bytes": len(payload), "hash": hashlib.sha256(canonical_value(value)).hexdigest() if hash else None}
     manifest["stored_bytes"] = Store(spark, f"{path}/{version}").size()
+    try:
+        before = manifest_of(spark, path)
+    except (FormatError, StorageError, VersionError, CodecError):
+        before = {}
+    manifest["previous"] = before.get("version")
     store.replace("manifest.json", seal(manifest))
     for old in store.names():
-        if old.startswith("v-") and old != version:
+        # What another writer has open is young; what a dead one left gets old.
+        if old.startswith("v-") and old not in (version, before.get("version")) and (old == before.get("previous") or store.age(old) > GRACE):
             store.delete(old)
     return path
 
@@ -154,10 +164,39 @@ def _joined_hash(hashes: list[tuple[str, str]]) -> str:
 
 def _value_hash(spark: SparkSession, value: Any, tables: dict[str, DataFrame], held: dict[str, DataFrame], block: int) -> str:
     if not tables:
-        return hashlib.sha256(pickle.dumps(value, protocol=4)).hexdigest()
+        return hashlib.sha256(canonical_value(value)).hexdigest()
     return _joined_hash([(n, _table_hash(df, hashing.block_digests(held[n], df.columns, ROW, block))) for n, df in tables.items()])
 
 
+def canonical_value(value: Any) -> bytes:
+    """Bytes that depend on a value alone: numbers by type and bits, parts with their count, entries of dictionaries by key.
+
+    Values of other types are pickled, as far as that tells them apart.
+    """
+    kind = type(value).__name__
+    if value is None or isinstance(value, bool | int):
+        body = repr(value).encode()
+    elif isinstance(value, float):
+        body = struct.pack(">d", value if value == value else math.nan)
+    elif isinstance(value, complex):
+        body = canonical_value(value.real) + canonical_value(value.imag)
+    elif isinstance(value, str):
+        body = value.encode("utf-8", "surrogatepass")
+    elif isinstance(value, bytes | bytearray):
+        body = bytes(value)
+    elif isinstance(value, list | tuple):
+        body = b"".join(map(canonical_value, value))
+    elif isinstance(value, set | frozenset):
+        body = b"".join(sorted(map(canonical_value, value)))
+    elif isinstance(value, dict):
+        body = b"".join(sorted(canonical_value(k) + canonical_value(v) for k, v in value.items()))
+    elif hasattr(value, "dtype") and hasattr(value, "tobytes") and value.dtype.kind != "O":
+        body = canonical_value((str(value.dtype), list(value.shape))) + value.tobytes()
+    else:
+        body = pickle.dumps(value, protocol=4)
+    return f"{kind}:{len(body)}:".encode() + body
+
+
 def _unchanged(spark: SparkSession, path: str, digest: str, metadata: dict[str, str]) -> bool:
     try:
         m = manifest_of(spark, path)
@@ -183,8 +222,8 @@ def _write_table(spark: SparkSession, base: str, k: int, df: DataFrame, held: Da
     writer.option("parquet.page.write-checksum.enabled", "true").option("parquet.page.row.count.limit", "20000").parquet(path)
     stored = spark.read.parquet(path)
     n = stored.agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("lo"), F.max(ROW).alias("hi")).first()
-    if n["n"] and (n["lo"] != 0 or n["hi"] != n["n"] - 1):
-        raise ArgumentError("positions count up from 0 without gaps")
+    if n["n"] and (n["lo"] != 0 or n["hi"] != n["n"] - 1 or _distinct_positions(stored) != n["n"]):
+        raise ArgumentError("positions count up from 0 without gaps or repeats")
     digest = None
     if with_hash:
         whole = stored
@@ -196,6 +235,12 @@ def _write_table(spark: SparkSession, base: str, k: int, df: DataFrame, held: Da
     return {"rows": n["n"], "schema": df.schema.json(), "shared": same, "hash": digest, "bytes": Store(spark, path).size()}
 
 
+def _distinct_positions(df: DataFrame) -> int:
+    """How many positions there are, from bitmaps of a fixed size."""
+    bits = df.groupBy(F.bitmap_bucket_number(ROW).alias("b")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(ROW))).alias("n"))
+    return bits.agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
 def manifest_of(spark: SparkSession, path: str) -> dict[str, Any]:
     """The manifest, after its checksum and version have been checked."""
     raw = Store(spark, path).read("manifest.json")
@@ -418,6 +463,10 @@ def serialize(value: DataFrame | Any, *, metadata: dict[str, str] | None = None,
     if isinstance(value, DataFrame):
         import pyarrow as pa
 
+        # A lower bound of the bytes is added up first, so that a table over the limit is not collected.
+        size = value.select(F.sum(sum((F.octet_length(F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(""))) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(4) for f in value.schema.fields), F.lit(0))).alias("n")).first()["n"] or 0
+        if size > most:
+            raise LimitError("the value is too large to be held as bytes")
         out = pa.BufferOutputStream()
         data = value.toArrow()
         with pa.ipc.new_stream(out, data.schema) as w:
@@ -431,8 +480,11 @@ def serialize(value: DataFrame | Any, *, metadata: dict[str, str] | None = None,
     return b"STRF" + base64.b64encode(json.dumps(head).encode()) + b"\n" + body
 
 
-def unserialize(spark: SparkSession, data: bytes, *, select: Sequence[str | int] | None = None, positions: Sequence[int] | None = None, loads: bool = True) -> Any:
-    """The value of ``serialize``; columns and positions can be asked for if it is a table."""
+def unserialize(spark: SparkSession, data: bytes, *, select: Sequence[str | int] | None = None, positions: Sequence[int] | None = None, loads: bool = False) -> Any:
+    """The value of ``serialize``; columns and positions can be asked for if it is a table.
+
+    Other values come as the bytes of a pickle, or unpickled if ``loads``, for trusted bytes only.
+    """
     if data[:4] != b"STRF" or b"\n" not in data:
         raise FormatError("these are not the bytes of a value")
     head, body = json.loads(base64.b64decode(data[4 : data.index(b"\n")])), data[data.index(b"\n") + 1 :]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import StorageError
 
@@ -30,6 +31,10 @@ class Store:
     def names(self) -> list[str]:
         return [s.getPath().getName() for s in self.fs.listStatus(self.root)] if self.exists() else []
 
+    def age(self, name: str) -> float:
+        """Seconds since the file or folder was last changed."""
+        return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def size(self, name: str = "") -> int:
         return int(self.fs.getContentSummary(self._path(name)).getLength())
 
@@ -64,6 +69,19 @@ class Store:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset, a temporary one of this machine."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (conf or "file://" + tempfile.mkdtemp(prefix="strataform-")).rstrip("/")
+    """The folder of ``spark.checkpoint.dir`` or of ``setCheckpointDir``; only on one machine, if unset, a temporary one."""
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or spark.conf.get("strataform.shared.dir", None)
+    if not conf:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise StorageError("on a cluster spark.checkpoint.dir has to name a folder that all machines share")
+        conf = "file://" + tempfile.mkdtemp(prefix="strataform-")
+        spark.conf.set("strataform.shared.dir", conf)
+    return conf.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read again, so that each later read finds the same rows."""
+    path = f"{shared_folder(df.sparkSession)}/strataform/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
