@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import div
 from ..operators import doubles, graph, guards, hashing, integers, logical, rows, runs, strings
-from . import containers, trees
+from . import containers, guarding, trees
 
 B = 4096
 Query = Callable[[SparkSession, str], DataFrame]
@@ -584,16 +584,35 @@ def block_owner(spark, sf_dir):
 # -- guards -------------------------------------------------------------------------------
 
 
-def _guard(name: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return guards.violations(spark, name, guards.frames(spark, guards.directory(name)))
+GUARD_PRICES = f"f AS (SELECT event_id AS rw, event_id // {B} AS blk, user_id / 100 AS v FROM events)"
+LATE = f"f AS (SELECT event_id AS rw, event_id // {B} AS blk, event_id % {B} AS pos, event_id % {B} >= 2000 AS v FROM events)"
+_FLAG_SIZE = "CASE encoding WHEN 'constant' THEN 4 WHEN 'periodic' THEN period_bytes WHEN 'runs' THEN run_bytes WHEN 'sparse' THEN sparse_bytes ELSE dense_bytes END"
+_INT = "SELECT {0}, blk, 1, n, bytes, CASE encoding WHEN 'runs' THEN 'int_runs' ELSE encoding END FROM (WITH {1}, {2}, {3}{4})"
+#: The records of the container of ``guarding``, found from the table.
+RECORDS = f"""WITH raw(object_id, blk, part, n, len, encoding) AS (
+      SELECT 1::BIGINT, blk, 1, n, {_FLAG_SIZE}, 'logical_' || encoding FROM (WITH {FLAGS}, {FLAG_RUNS}, {FLAG_STATS}, {PERIODS} {CHOICE})
+      UNION ALL SELECT 2, blk, 1, n, {_FLAG_SIZE}, 'logical_' || encoding FROM (WITH {LATE}, {FLAG_RUNS}, {FLAG_STATS}, {PERIODS} {CHOICE})
+      UNION ALL {_INT.format(3, _ints("user_id", "events", "event_id"), INT_STATS, WIDTHS, INT_CHOICE)}
+      UNION ALL {_INT.format(4, _ints("event_id // 100", "events", "event_id"), INT_STATS, WIDTHS, INT_CHOICE)}
+      UNION ALL SELECT 5, blk, 1, n, CASE encoding WHEN 'decimal' THEN decimal_bytes WHEN 'runs' THEN run_bytes ELSE raw_bytes END, CASE encoding WHEN 'runs' THEN 'double_runs' ELSE encoding END FROM (WITH {GUARD_PRICES}, {ALP}{DBL_CHOICE})
+      UNION ALL SELECT 6, 0, 0, count(*), sum(5 + octet_length(encode(v))), 'entries' FROM (SELECT DISTINCT event_type AS v FROM events)
+      UNION ALL SELECT 6, event_id // {B}, 1, count(*), 8 + count(*), 'index' FROM events GROUP BY event_id // {B}
+      UNION ALL SELECT 8, event_id // {B}, 1, count(*), sum(6 + length(CAST(event_id AS VARCHAR))), 'records' FROM events GROUP BY event_id // {B}),
+    blocks AS (SELECT CAST(row_number() OVER o - 1 AS BIGINT) AS sequence, object_id, blk, n, CAST(len AS BIGINT) AS len, encoding,
+      CAST(32 + coalesce(sum(len) OVER (ORDER BY object_id, blk, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at FROM raw WINDOW o AS (ORDER BY object_id, blk, part)) """
 
-    run.__name__ = f"guard_{name}"
-    return run
+for _name in guards.GUARDS:
+    query(RECORDS + guarding.SEEN[_name])(guarding.query(_name))
 
 
-for _name in guards.GUARDS:
-    query(guards.sql_values(guards.directory(_name)) + guards.GUARDS[_name])(_guard(_name))
+@query("SELECT CAST(NULL AS VARCHAR) AS guard WHERE false")
+def guards_clean(spark, sf_dir):
+    return guarding.clean(spark, sf_dir)
+
+
+@query(RECORDS + "SELECT sequence, object_id, n AS logical_count, len AS decoded_len, start_at, encoding FROM blocks")
+def directory_blocks(spark, sf_dir):
+    return guarding.directory(spark, sf_dir)["blocks"].select("sequence", "object_id", "logical_count", "decoded_len", "start_at", "encoding")
 
 
 # -- real containers ----------------------------------------------------------------------

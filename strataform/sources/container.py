@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from .. import __version__
 from ..errors import ArgumentError, CodecError, FormatError, LimitError, StorageError, UnsupportedError, VersionError
 from ..functions.exprs import div
-from ..operators import graph, hashing, rows
+from ..operators import graph, guards, hashing, rows
+from . import directory as directories
 from .storage import Store
 
 FORMAT = 1
@@ -62,7 +63,7 @@ def _level(compress: int) -> int:
 def _ordered(df: DataFrame, row: str | None, order: Sequence[str] | None) -> DataFrame:
     """The table with its positions in ``__row``; without a column of them or an order, rows count as they are found."""
     if row is not None:
-        return df.withColumnRenamed(row, ROW) if row == ROW else df.withColumn(ROW, F.col(row).cast("bigint"))
+        return df.withColumn(ROW, F.col(f"`{row}`").cast("bigint"))
     return rows.number(df, list(order or ()), ROW)
 
 
@@ -93,6 +94,7 @@ def write(
     mode: str = "auto",
     share: bool = False,
     block: int = BLOCK,
+    directory: bool = False,
 ) -> str:
     """Writes a table, a named archive of tables or, with ``mode="auto"``, any other value as an opaque payload.
 
@@ -100,7 +102,8 @@ def write(
     of any type, or as they are found.  The old container stays until the new manifest
     replaces its own, and its data until the write after that, for those who still read it.
     With ``skip_unchanged`` nothing is written if hash and metadata are those of the target.
-    ``share`` stores columns of equal content once.
+    ``share`` stores columns of equal content once.  With ``directory`` the tables of objects and
+    blocks are written too, which ``broken_guards`` and ``directory_of`` read.
     """
     if mode not in ("auto", "strict"):
         raise ArgumentError("mode is auto or strict")
@@ -115,6 +118,8 @@ def write(
         spark = next(iter(tables.values())).sparkSession
         orders = order if isinstance(order, dict) else {k: order for k in tables}
         held = {k: _ordered(df, row, orders.get(k)) for k, df in tables.items()}
+        # A column of the name of the positions holds them and nothing else.
+        tables = {k: df.drop(ROW) for k, df in tables.items()}
     elif spark is None:
         raise ArgumentError("an opaque value needs the session")
     store = Store(spark, path)
@@ -127,7 +132,7 @@ def write(
     if native:
         hashes = []
         for k, (name, df) in enumerate(tables.items()):
-            one = _write_table(spark, f"{path}/{version}", k, df, held[name], level, hash, share, block)
+            one = _write_table(spark, f"{path}/{version}", k, df, held[name], level, hash, share, block, directory)
             manifest["objects"].append({"id": k, "name": name, **one})
             hashes.append((name, one["hash"]))
         manifest["archive"] = not isinstance(value, DataFrame)
@@ -205,7 +210,7 @@ def _unchanged(spark: SparkSession, path: str, digest: str, metadata: dict[str,
     return m.get("hash") == digest and m["metadata"] == metadata
 
 
-def _write_table(spark: SparkSession, base: str, k: int, df: DataFrame, held: DataFrame, level: int, with_hash: bool, share: bool, block: int) -> dict[str, Any]:
+def _write_table(spark: SparkSession, base: str, k: int, df: DataFrame, held: DataFrame, level: int, with_hash: bool, share: bool, block: int, directory: bool) -> dict[str, Any]:
     if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):
         raise UnsupportedError("a column without a type can't be stored")
     if len({c.lower() for c in df.columns}) < len(df.columns):
@@ -225,14 +230,16 @@ def _write_table(spark: SparkSession, base: str, k: int, df: DataFrame, held: Da
     if n["n"] and (n["lo"] != 0 or n["hi"] != n["n"] - 1 or _distinct_positions(stored) != n["n"]):
         raise ArgumentError("positions count up from 0 without gaps or repeats")
     digest = None
+    whole = stored
+    for c, target in same.items():
+        whole = whole.withColumn(c, F.col(f"`{target}`"))
+    whole = whole.select(ROW, *(F.col(f"`{c}`") for c in df.columns if c != ROW))
     if with_hash:
-        whole = stored
-        for c, target in same.items():
-            whole = whole.withColumn(c, F.col(target))
         blocks = hashing.block_digests(whole, df.columns, ROW, block)
         blocks.withColumn("object_id", F.lit(k).cast("bigint")).coalesce(1).write.parquet(f"{base}/blocks/{k}")
         digest = _table_hash(df, spark.read.parquet(f"{base}/blocks/{k}"))
-    return {"rows": n["n"], "schema": df.schema.json(), "shared": same, "hash": digest, "bytes": Store(spark, path).size()}
+    out = {"rows": n["n"], "schema": df.schema.json(), "shared": same, "hash": digest, "bytes": Store(spark, path).size()}
+    return out | ({"directory": directories.write(whole, ROW, block, same, f"{base}/directory/{k}")} if directory else {})
 
 
 def _distinct_positions(df: DataFrame) -> int:
@@ -444,6 +451,21 @@ def verify(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     return out
 
 
+def directory_of(spark: SparkSession, path: str, table: str | None = None) -> dict[str, DataFrame]:
+    """manifest, objects, attributes, blocks and codes of a table that was written with its directory."""
+    m = manifest_of(spark, path)
+    one = _object(m, table)
+    if "directory" not in one:
+        raise UnsupportedError("the container was written without a directory")
+    outer = json.loads(Store(spark, path).read("manifest.json"))
+    return directories.load(spark, f"{path}/{m['version']}/directory/{one['id']}", _table(spark, path, m, one), ROW, m["block"], outer, m, one)
+
+
+def broken_guards(spark: SparkSession, path: str, table: str | None = None) -> list[str]:
+    """Names of the integrity guards that a table's directory breaks; none if all is well."""
+    return guards.check(spark, directory_of(spark, path, table))
+
+
 def synopsis(value: Any) -> dict[str, Any]:
     """A bounded description of an opaque value."""
 
@@ -508,4 +530,4 @@ def block_count(rows_: int, block: int = BLOCK) -> int:
     return -(-rows_ // block)
 
 
-__all__ = ["attributes", "block_count", "check_metadata", "div", "info", "load", "manifest_of", "objects", "read", "read_opaque", "save", "schema", "serialize", "synopsis", "table_hash", "unserialize", "verify", "write"]
+__all__ = ["attributes", "block_count", "broken_guards", "check_metadata", "directory_of", "div", "info", "load", "manifest_of", "objects", "read", "read_opaque", "save", "schema", "serialize", "synopsis", "table_hash", "unserialize", "verify", "write"]
