@@ -2,11 +2,11 @@
 
 A suspicious token (digits and signs among letters, repeated letters, letters set apart) is
 a lattice: each run of a character may stand for one of some letters, for one or two of
-them, or for nothing, each at a channel cost.  The lattice is intersected with the lexicon, so
-that no word it can spell is missed, whatever its length.  A Viterbi search under a character
-trigram model of the whole corpus finds the best readings, in which a word may also lack up
-to two neighbouring letters, and the token is scored by all of these as well as by itself.
-Long runs of letters set apart are searched for words of the lexicon from end to end.
+them, or for nothing, each at a channel cost.  An exact Viterbi search finds the cheapest way
+through it: letters cost what a character trigram model of the whole corpus says, and a word
+of the lexicon, or a beginning that the lexicon has, costs a fixed amount instead.  Letters
+set apart may also be cut into words at any place.  The result replaces the token, whatever
+its length, and the restored text is scored.
 
 Scores come from words and word beginnings that are far more common in toxic than in other
 labelled documents.  Each has the probability of the label given its presence; a document's
@@ -20,14 +20,14 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, tree_merge
+from .common import only, pieces, tree_merge
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
@@ -37,6 +37,8 @@ SYMBOLS = 64
 AS_LETTER, DROPPED, FOLDED = 0.5, 4.0, 0.3
 #: What a star may mask, and its cost.
 MASKED, UNMASKED = "aeiou", 2.0
+#: The cost of a word of the lexicon, in nats; the probability of a restored word is doubted a little.
+KNOWN, DOUBT = 3.0, 0.97
 STEMS = (4, 5, 6)
 
 SPACED = re.compile(r"(?:(?<=\s)|^)\S(?: \S){2,}(?=\s|$)")
@@ -44,6 +46,9 @@ APART = re.compile(r"^\w(?:[.\-_*~,/]\w){2,}$")
 LETTER_RUN = re.compile(r"([^\W\d_])\1\1")
 DOUBLED = re.compile(r"(\w)\1+")
 REPEATED = re.compile(r"(.)\1+")
+REPEATED_OR_ONE = re.compile(r"(.)\1*", re.DOTALL)
+SEPARATORS = re.compile(r"[.\-_*~,/]")
+TOKEN = re.compile(r"\S+")
 ENDS = re.compile(r"([^\w\s])\1+$")
 
 
@@ -100,15 +105,34 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Readings of obfuscated tokens."""
-
-    def __init__(self, costs: np.ndarray, beam: int = 64, readings: int = 8) -> None:
-        self.costs, self.beam, self.readings = costs, beam, readings
+    """Viterbi over lattices: words as tuples of letters, under the character model and a lexicon."""
+
+    def __init__(self, costs: np.ndarray, words: Iterable[str] = (), stems: Iterable[str] = ()) -> None:
+        self.costs = costs.tolist()
+        #: The lexicon as a tree: children of each node, whether a word ends there, and the last two symbols of a beginning.
+        self.kids: list[dict[str, int]] = [{}]
+        self.ends: list[bool] = [False]
+        self.goes_on: list[tuple[int, int] | None] = [None]
+        for w in words:
+            self.ends[self._node(w)] = True
+        for w in stems:
+            self.goes_on[self._node(w)] = (symbol(w[-2]), symbol(w[-1]))
+
+    def _node(self, word: str) -> int:
+        at = 0
+        for c in word:
+            if c not in self.kids[at]:
+                self.kids[at][c] = len(self.kids)
+                self.kids.append({})
+                self.ends.append(False)
+                self.goes_on.append(None)
+            at = self.kids[at][c]
+        return at
 
     def options(self, token: str) -> list[list[tuple[str, float]]]:
         """For each run of a character: what it may stand for, and the channel cost."""
         out = []
-        for run in re.findall(r"((.)\2*)", token):
+        for run in REPEATED_OR_ONE.finditer(token):
             c, n = run[1], len(run[0])
             found: dict[str, float] = {}
             if c.isalpha():
@@ -126,29 +150,93 @@ class Restorer:
             out.append(sorted(found.items()))
         return out
 
-    def read(self, token: str) -> list[str]:
-        """The best readings as words of letters, cheapest first: Viterbi over the last two letters."""
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    def spells(self, token: str, apart: bool = False) -> bool:
+        """Whether the lattice can spell anything of the lexicon; ``apart``: at any place in it."""
+        states: set[int] = {0}
+        for choices in self.options(token):
+            new: set[int] = {0} if apart else set()
+            for state in states:
+                for letters, _ in choices:
+                    at: set[int] = {state}
+                    for k, c in enumerate(letters):
+                        if any(self.goes_on[n] for n in at):
+                            return True
+                        at = {self.kids[n][c] for n in (at | {0} if apart and k else at) if c in self.kids[n]}
+                        if apart and any(self.ends[n] for n in at):
+                            return True
+                    new |= at
+            states = new
+            if not states:
+                return False
+        return any(self.ends[n] for n in states)
+
+    def best(self, token: str, apart: bool = False) -> tuple[float, list[str]]:
+        """The cheapest reading and its cost, as words: one, or several if the letters stood ``apart``.
+
+        States are a boundary (-1), a node of the lexicon, or the last two symbols of a word
+        that the lexicon lacks.  Each state keeps its cheapest way, so the search is exact.
+        """
+        costs, kids, ends, goes_on = self.costs, self.kids, self.ends, self.goes_on
+        base = 1 << 40
+        layer: dict[int, tuple[float, tuple]] = {-1: (0.0, ())}
+
+        def step(states: dict[int, tuple[float, tuple]], c: str) -> dict[int, tuple[float, tuple]]:
+            new: dict[int, tuple[float, tuple]] = {}
+            s = symbol(c)
+
+            def to(state: int, cost: float, way: tuple) -> None:
+                if state not in new or cost < new[state][0]:
+                    new[state] = (cost, (way, c))
+
+            for state, (cost, way) in states.items():
+                if state == -1:
+                    to(base + s, cost + costs[0][0][s], way)
+                    if c in kids[0]:
+                        to(kids[0][c], cost, way)
+                elif state >= base:
+                    x, y = divmod(state - base, SYMBOLS)
+                    to(base + y * SYMBOLS + s, cost + costs[x][y][s], way)
+                else:
+                    if c in kids[state]:
+                        to(kids[state][c], cost, way)
+                    if goes_on[state]:
+                        x, y = goes_on[state]
+                        to(base + y * SYMBOLS + s, cost + KNOWN + costs[x][y][s], way)
+            return new
+
+        def closed(states: dict[int, tuple[float, tuple]]) -> tuple[float, tuple] | None:
+            """The cheapest way whose last word ends here."""
+            found = [(cost, way) for state, (cost, way) in states.items() if state == -1]
+            for state, (cost, way) in states.items():
+                if state >= base:
+                    x, y = divmod(state - base, SYMBOLS)
+                    found.append((cost + costs[x][y][0], (way, " ")))
+                elif state >= 0 and ends[state]:
+                    found.append((cost + KNOWN, (way, " ")))
+            return min(found, key=lambda f: f[0], default=None)
+
         for choices in self.options(token):
-            new: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for (a, b, _), (cost, text) in states.items():
-                for letters, extra in choices:
-                    x, y, total = a, b, cost + extra
-                    for c in letters:
-                        s = symbol(c)
-                        total += float(self.costs[x, y, s])
-                        x, y = y, s
-                    # The state is the last eight letters: readings that differ before them have met.
-                    key = (x, y, (text + letters)[-8:])
-                    if key not in new or total < new[key][0]:
-                        new[key] = (total, text + letters)
-            states = dict(sorted(new.items(), key=lambda kv: (kv[1][0], kv[1][1]))[: self.beam])
-        ends: dict[str, float] = {}
-        for (a, b, _), (cost, text) in states.items():
-            total = cost + float(self.costs[a, b, 0])
-            if text and total < ends.get(text, math.inf):
-                ends[text] = total
-        return sorted(ends, key=lambda t: (ends[t], t))[: self.readings]
+            new: dict[int, tuple[float, tuple]] = {}
+            for letters, extra in choices:
+                some = {state: (cost + extra, way) for state, (cost, way) in layer.items()}
+                for k, c in enumerate(letters):
+                    if apart and k and (cut := closed(some)):
+                        some[-1] = cut
+                    some = step(some, c)
+                for state, held in some.items():
+                    if state not in new or held[0] < new[state][0]:
+                        new[state] = held
+            if apart and (cut := closed(new)):
+                new[-1] = cut
+            layer = new
+        last = closed(layer)
+        if last is None:
+            return math.inf, []
+        letters, way = [], last[1]
+        while way:
+            way, c = way
+            letters.append(c)
+        return last[0], "".join(reversed(letters)).split()
 
 
 def core(token: str) -> str:
@@ -184,111 +272,70 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(str(k) + word[:k] for k in STEMS if len(word) > k)]
 
 
+#: What is known of a token without any word of the lexicon.
+NOTHING: tuple[tuple[str, float], ...] = ()
+
+
 class Scorer:
-    """Scores of whole texts; tokens are kept until there are too many."""
+    """Restores and scores whole texts; tokens are kept until there are too many."""
 
-    def __init__(self, lexicon: dict[str, float], costs: np.ndarray, most: int = 300_000) -> None:
-        self.lexicon, self.restorer, self.most = lexicon, Restorer(costs), most
-        self.known: dict[str, list[tuple[str, float]]] = {}
-        whole = [f[1:] for f in lexicon if f[0] == "=" and f[1:].isalpha()]
-        stems = [f[1:] for f in lexicon if f[0] != "="]
-        #: Beginnings of what the lexicon has, of whole words, and of words that may lie inside a run.
-        self.begins = {w[:k] for w in whole + stems for k in range(len(w) + 1)}
-        self.inside = {w[:k] for w in whole if len(w) >= 4 for k in range(len(w) + 1)}
+    def __init__(self, lexicon: dict[str, float], costs: np.ndarray, most: int = 200_000) -> None:
+        self.lexicon, self.most = lexicon, most
+        whole = [f[1:] for f in lexicon if f[0] == "="]
+        self.restorer = Restorer(costs, whole, [f[1:] for f in lexicon if f[0] != "="])
+        self.known: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def word(self, word: str) -> float:
         get = self.lexicon.get
         return max((get(f, 0.0) for f in features(word)), default=0.0)
 
-    def doubled(self, word: str) -> tuple[str, float] | None:
-        """A word of the lexicon of which several letters have been doubled."""
-        runs = DOUBLED.findall(word)
-        if len(runs) < 2:
-            return None
-        single = DOUBLED.sub(r"\1", word)
-        p = 0.97 * self.lexicon.get("=" + single, 0.0)
-        return (single, p) if p > 0 else None
-
-    def spelled(self, token: str) -> dict[str, float]:
-        """What of the lexicon the lattice can spell: the whole token, or a beginning that goes on."""
-        found: dict[str, float] = {}
-        states = {""}
-        for choices in self.restorer.options(token):
-            new: set[str] = set()
-            for state in states:
-                for letters, _ in choices:
-                    s = state
-                    for c in letters:
-                        p = self.lexicon.get(f"{len(s)}{s}", 0.0) if len(s) in STEMS else 0.0
-                        if p > 0:
-                            found[s] = max(found.get(s, 0.0), 0.97 * p)
-                        s += c
-                        if s not in self.begins:
-                            break
-                    else:
-                        new.add(s)
-            states = new
-            if not states:
-                break
-        for s in states:
-            p = self.lexicon.get("=" + s, 0.0)
-            if p > 0:
-                found[s] = max(found.get(s, 0.0), 0.97 * p)
-        return found
-
-    def within(self, run: str) -> dict[str, float]:
-        """The words of four letters or more that the lattice of a run can spell at any place in it."""
-        found: dict[str, float] = {}
-        states: set[str] = set()
-        for choices in self.restorer.options(run):
-            new: set[str] = set()
-            for state in (*states, ""):
-                for letters, _ in choices:
-                    s = state
-                    for c in letters:
-                        # A word may start at the second letter of a choice too.
-                        for t in (s + c, c):
-                            p = self.lexicon.get("=" + t, 0.0) if len(t) >= 4 else 0.0
-                            if p > 0:
-                                found[t] = 0.97 * p
-                        s = s + c if s + c in self.inside else ""
-                    if s:
-                        new.add(s)
-            states = new
-        return found
-
-    def hidden(self, token: str) -> list[tuple[str, float]]:
-        """The reading with the highest probability, at a discount for the doubt."""
-        hits = self.spelled(token)
-        best = max(((w, p) for w, p in hits.items()), key=lambda h: (h[1], h[0]), default=None)
-        # Longer tokens are left to the lexicon: the search by letters is for words.
-        for reading in self.restorer.read(token) if len(REPEATED.sub(r"\1", token)) <= 40 else ():
-            for a in range(min(3, max(1, len(reading) - 3))):
-                # Neighbouring single letters may have been taken into the run.
-                for b in range(min(3, max(1, len(reading) - a - 3))):
-                    part = reading[a : len(reading) - b]
-                    p = 0.97 * (self.lexicon.get("=" + part, 0.0) if a or b else self.word(part))
-                    if p > 0 and (best is None or p > best[1]):
-                        best = (part, p)
-        return [best] if best else []
-
-    def token(self, token: str) -> list[tuple[str, float]]:
+    def hidden(self, token: str) -> str | None:
+        """What stands apart or may hide a word in a token: the characters that the lattice reads, or None."""
         bare = ENDS.sub("", token)
         inside = core(bare)
-        p = self.word(inside) if inside else 0.0
-        if p > 0:
-            return [(inside, p)]
-        if APART.match(token):
-            return self.spaced(re.sub(r"[.\-_*~,/]", "", token))
+        if inside and self.word(inside) > 0:
+            return None
         if inside.isalpha() and not LETTER_RUN.search(inside):
-            hit = self.doubled(inside)
-            if hit:
-                return [hit]
+            # Several doubled letters are common; the lattice is asked where undoing them gives a known word.
+            doubled = len(DOUBLED.findall(inside)) >= 2 and self.word(DOUBLED.sub(r"\1", inside)) > 0
+            return inside if doubled else None
         stripped = bare.rstrip(".,;:?") if bare else bare
-        return self.hidden(stripped) if suspicious(stripped) else []
+        return stripped if suspicious(stripped) else None
+
+    def restored(self, token: str) -> list[str]:
+        """The words of a lower-case token after deobfuscation; one that hides nothing stays as it is."""
+        if APART.match(token):
+            return self.restorer.best(SEPARATORS.sub("", token), True)[1]
+        stripped = self.hidden(token)
+        return [token] if stripped is None else self.restorer.best(stripped)[1] or [token]
+
+    def hits(self, words: list[str]) -> tuple[tuple[str, float], ...]:
+        return tuple((w, DOUBT * p) for w in words if (p := self.word(w)) > 0)
+
+    def token(self, token: str) -> tuple[tuple[str, float], ...]:
+        """Words of the restored token that the lexicon knows.  A lattice that can't spell any is not searched."""
+        if APART.match(token):
+            return self.run(SEPARATORS.sub("", token))
+        stripped = self.hidden(token)
+        if stripped is not None:
+            return self.hits(self.restorer.best(stripped)[1]) if self.restorer.spells(stripped) else NOTHING
+        inside = core(ENDS.sub("", token))
+        p = self.word(inside) if inside else 0.0
+        return ((inside, p),) if p > 0 else NOTHING
+
+    def run(self, joined: str) -> tuple[tuple[str, float], ...]:
+        """The same for letters set apart, joined."""
+        return self.hits(self.restorer.best(joined, True)[1]) if self.restorer.spells(joined, True) else NOTHING
+
+    def restore(self, text: str) -> str:
+        """The text, lower-case and in composed form, with every token and every run of letters set apart restored."""
+        low = lowered(text)
+        low = SPACED.sub(lambda m: " ".join(self.restorer.best(m[0].replace(" ", ""), True)[1]), low)
+        return TOKEN.sub(lambda m: " ".join(self.restored(m[0])), low)
 
     def __call__(self, text: str) -> float:
-        low = unicodedata.normalize("NFC", text).lower() if not text.isascii() else text.lower()
+        """The score of the restored text."""
+        low = lowered(text)
         known = self.known
         if len(known) > self.most:
             known.clear()
@@ -301,7 +348,7 @@ class Scorer:
                     known[token] = own
             hits += own
         for m in SPACED.finditer(low):
-            hits += self.spaced(m[0].replace(" ", ""))
+            hits += self.run(m[0].replace(" ", ""))
         found: dict[str, float] = {}
         for word, p in hits:
             if p > found.get(word, 0.0):
@@ -311,17 +358,16 @@ class Scorer:
             rest *= 1.0 - p
         return 1.0 - rest
 
-    def spaced(self, joined: str) -> list[tuple[str, float]]:
-        """Letters set apart, joined: what the whole run hides, and all words that lie in a long one or if it hides none."""
-        whole = self.hidden(joined)
-        return whole + sorted(self.within(joined).items()) if len(joined) > 40 or not whole else whole
+
+def lowered(text: str) -> str:
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
 
 
 def crc_mod4(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least: int = 4, sure: float = 0.9, entries: int = 20_000, seed: int = 29) -> dict[str, float]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 20_000, least: int = 4, sure: float = 0.9, seed: int = 29) -> dict[str, float]:
     """Features with the probability of label 1 given their presence.
 
     Learned from at most ``most`` labelled rows (a quarter of them may be of label 1) whose
@@ -345,7 +391,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_pydict({"feature": pa.array(list(both), pa.string()), "pos": pa.array([total[1][f] for f in both], pa.int64()), "neg": pa.array([total[0][f] for f in both], pa.int64())})
 
     found = some.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = found.where((F.col("pos") >= least) & (F.col("pos") > 2 * F.col("neg"))).orderBy(F.desc("pos"), "feature").limit(entries).collect()
+    rows = found.where((F.col("pos") >= least) & (F.col("pos") > 2 * F.col("neg"))).collect()
     counted = {r["feature"]: (r["pos"], r["neg"]) for r in rows}
     candidates = {f for f, (p, n) in counted.items() if lower_bound(p, n) > 0.6}
 
@@ -409,11 +455,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     result, a table without labels scores of 0; other columns are ignored, except that
     those named in ``carry`` come back with their rows.
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lexicon = learn_lexicon(source, labels.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else labels, most=most)
-    costs = character_costs(character_counts(source))
-    held = spark.sparkContext.broadcast((lexicon, zlib.compress(costs.tobytes(), 1)))
+    source, held = _learned(docs, labels, id_col, text_col, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = worker(held)
@@ -432,8 +474,26 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def worker(held) -> Scorer:
     """The scorer of this worker process; what it knows of tokens outlives a task."""
     lexicon, packed = held.value
-    key = (zlib.crc32(packed), len(lexicon), zlib.crc32(repr(sorted(lexicon.items())).encode()))
-    if _tables.get("key") != key:
-        _tables["key"] = key
-        _tables["scorer"] = Scorer(lexicon, np.frombuffer(zlib.decompress(packed), np.float32).reshape(SYMBOLS, SYMBOLS, SYMBOLS))
-    return _tables["scorer"]
+    key = ("toxicity", zlib.crc32(packed), len(lexicon), zlib.crc32(repr(sorted(lexicon.items())).encode()))
+    return only(key, lambda: Scorer(lexicon, np.frombuffer(zlib.decompress(packed), np.float32).reshape(SYMBOLS, SYMBOLS, SYMBOLS)))
+
+
+def restore_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 20_000) -> DataFrame:
+    """doc_id and restored: the texts as ``score`` reads them, one row per row of ``docs``; null stays null."""
+    source, held = _learned(docs, labels, id_col, text_col, most)
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = worker(held)
+        for batch in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else scorer.restore(t) for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "restored"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, restored string")
+
+
+def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int):
+    """doc_id and text of the rows, and the broadcast lexicon and character model."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lexicon = learn_lexicon(source, labels.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else labels, most=most)
+    costs = character_costs(character_counts(source))
+    return source, docs.sparkSession.sparkContext.broadcast((lexicon, zlib.compress(costs.tobytes(), 1)))
