@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div
-from ..operators import doubles, graph, guards, hashing, integers, logical, rows, runs, strings
+from ..operators import canonical, doubles, graph, guards, hashing, integers, logical, packing, rows, runs, strings
 from . import containers, guarding, trees
 
 B = 4096
@@ -224,6 +224,27 @@ def int_for_codes(spark, sf_dir):
     return integers.codes(customers(spark, sf_dir)).withColumnRenamed("row", "row_id")
 
 
+_BYTE = "list_sum(list_transform(range(0, 8), lambda k: CASE WHEN substr(bits, CAST(8 * i + k + 1 AS INTEGER), 1) = '1' THEN 1 << CAST(k AS INTEGER) ELSE 0 END))"
+
+
+@query(f"""WITH {_ints('p_size', 'part', 'p_partkey')}, {INT_STATS}, {WIDTHS},
+    c AS (SELECT f.blk, f.rw, for_width AS w, reverse(lpad(bin(v - min_v), for_width::INTEGER, '0')) AS t FROM f JOIN z ON z.blk = f.blk),
+    p AS (SELECT blk, count(*) AS n, CAST(any_value(w) AS BIGINT) AS width, string_agg(t, '' ORDER BY rw) AS bits FROM c GROUP BY blk)
+    SELECT blk, n, width, array_to_string(list_transform(range(0, (n * width + 7) // 8), lambda i: lpad(hex({_BYTE}), 2, '0')), '') AS packed FROM p""")
+def int_packed(spark, sf_dir):
+    df = blocks(spark, sf_dir, "part", "p_partkey", F.col("p_size").cast("int"))
+    width = integers.frame(integers.stats(df)).select("blk", F.col("for_width").alias("width"))
+    return packing.pack(integers.codes(df).join(width, "blk")).select("blk", "n", "width", F.hex("bytes").alias("packed"))
+
+
+@query(f"WITH {MISSING}, {INT_STATS}, {WIDTHS} SELECT f.blk, f.pos AS place, CAST(CASE WHEN v IS NULL THEN (1::BIGINT << for_width::INTEGER) - 1 ELSE v - min_v END AS BIGINT) AS code FROM f JOIN z ON z.blk = f.blk")
+def int_unpacked(spark, sf_dir):
+    df = customers(spark, sf_dir)
+    width = integers.frame(integers.stats(df)).select("blk", F.col("for_width").alias("width"))
+    first = df.groupBy("blk").agg(F.min("pos").alias("first"))
+    return packing.unpack(packing.pack(integers.codes(df).join(width, "blk"))).join(first, "blk").select("blk", (F.col("place") + F.col("first")).alias("place"), "code")
+
+
 @query(f"WITH {PRESENT}, {INT_STATS}, {WIDTHS} SELECT blk, CAST(delta_width AS BIGINT) AS delta_width, CAST(delta_bytes AS BIGINT) AS delta_bytes FROM z")
 def int_delta(spark, sf_dir):
     return integers.delta(integers.stats(customers(spark, sf_dir, False))).select("blk", "delta_width", "delta_bytes")
@@ -337,6 +358,23 @@ def dbl_alp_restore(spark, sf_dir):
     return df.withColumn("v", F.coalesce(F.col("whole").cast("double") / 100.0, F.col("v")))
 
 
+@query("""WITH t AS (SELECT max(event_id) AS m FROM events), f AS (SELECT value AS v FROM events WHERE event_id % greatest(1, (SELECT m + 1 FROM t) // 256) = 0),
+    p AS (SELECT e, f, pow(10.0::DOUBLE, e) AS pe, pow(10.0::DOUBLE, f) AS pf, pow(10.0::DOUBLE, e - f) AS d FROM range(0, 19) AS a(e), range(0, 19) AS b(f) WHERE f <= e)
+    SELECT e, f, CAST(sum(CASE WHEN floor(v * pe / pf + 0.5::DOUBLE) * pf / pe = v THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM f, p WHERE abs(v * d) < 9.0e15::DOUBLE GROUP BY e, f ORDER BY hits DESC, e, f DESC LIMIT 5""")
+def dbl_candidates(spark, sf_dir):
+    return doubles.candidates(blocks(spark, sf_dir, "events", "event_id", F.col("value")))
+
+
+@query("SELECT event_id AS row_id, " + ", ".join(f"list_sum(list_transform(range(0, 8), lambda k: CASE WHEN substr(bits, CAST({64 - 8 * j} - k AS INTEGER), 1) = '1' THEN 1::BIGINT << CAST(k AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS b{j}" for j in range(8)) + " FROM (SELECT event_id, CAST(CAST(value AS BIT) AS VARCHAR) AS bits FROM events) AS t")
+def dbl_byteplanes(spark, sf_dir):
+    return doubles.byte_planes(blocks(spark, sf_dir, "events", "event_id", F.col("value"))).withColumnRenamed("row", "row_id")
+
+
+@query("SELECT event_id AS row_id, -value AS v FROM events")
+def dbl_byteplanes_restore(spark, sf_dir):
+    return doubles.joined_planes(doubles.byte_planes(blocks(spark, sf_dir, "events", "event_id", -F.col("value")))).withColumnRenamed("row", "row_id")
+
+
 @query(f"SELECT count(*) FILTER (NOT {_decimal('c_acctbal', 2)}) AS plain_exceptions, count(*) FILTER (NOT {_decimal('(c_acctbal / 7)', 2)}) AS ratio_exceptions, count(*) AS n FROM customer")
 def dbl_alp_exceptions(spark, sf_dir):
     bad = lambda c: F.count_if(~doubles.is_decimal(c, 2))
@@ -615,6 +653,107 @@ def directory_blocks(spark, sf_dir):
     return guarding.directory(spark, sf_dir)["blocks"].select("sequence", "object_id", "logical_count", "decoded_len", "start_at", "encoding")
 
 
+@query("SELECT event_id AS place, CAST(event_id // 100 AS INTEGER) AS hundred, user_id / 100 AS price, user_id / 100 AS repriced FROM events WHERE event_id < 500")
+def target_reads(spark, sf_dir):
+    return guarding.targets(spark, sf_dir)
+
+
+# -- forms that could not have been written -----------------------------------------------
+
+
+@query(f"WITH {FLAGS} SELECT event_id, slot, state FROM (SELECT event_id, CAST(k AS INTEGER) AS slot, CAST((user_id % 256) >> (2 * k) & 3 AS INTEGER) AS state FROM events, range(0, 4) AS k(k)) AS t WHERE state = 3")
+def canonical_two_bit(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 256).cast("int").alias("byte"))
+    return canonical.two_bit(logical.two_bit(df)).select("event_id", "slot", "state")
+
+
+@query(f"WITH c AS (SELECT event_id // {B} AS blk, count(*) AS n FROM events GROUP BY event_id // {B}) SELECT blk, n, blk + 1 AS state, blk % 2 AS reserved FROM c WHERE blk + 1 > 2 OR blk % 2 <> 0")
+def canonical_constant(spark, sf_dir):
+    df = table(spark, sf_dir, "events").groupBy(div("event_id", B).alias("blk")).agg(F.count(F.lit(1)).alias("n"))
+    return canonical.constant(df.select("blk", "n", (F.col("blk") + 1).alias("state"), (F.col("blk") % 2).alias("reserved")))
+
+
+@query(f"""WITH {FLAGS}, c AS (SELECT blk, count(*) AS n FROM f GROUP BY blk), w AS (SELECT blk, pos // 32 AS word, CAST(sum(CASE WHEN v THEN 1::BIGINT << (pos % 32)::INTEGER ELSE 0 END) AS BIGINT) AS t, CAST(sum(CASE WHEN v IS NULL THEN 1::BIGINT << (pos % 32)::INTEGER ELSE 0 END) AS BIGINT) AS m FROM f GROUP BY blk, pos // 32),
+    d AS (SELECT w.blk, n, word, CASE WHEN word % 50 = 0 THEN t | m ELSE t END AS true_word, CASE WHEN (word + 1) * 32 >= n THEN m | (1::BIGINT << 31) ELSE m END AS na_word FROM w JOIN c ON c.blk = w.blk)
+    SELECT * FROM d WHERE (true_word & na_word) <> 0 OR ((word + 1) * 32 > n AND ((true_word | na_word) >> (n - word * 32)::INTEGER) <> 0)""")
+def canonical_dense(spark, sf_dir):
+    df = flags(spark, sf_dir)
+    words = logical.planes(df).join(df.groupBy("blk").agg(F.count(F.lit(1)).alias("n")), "blk")
+    true, missing = F.col("true_word"), F.col("na_word")
+    damaged = words.withColumn("true_word", F.when(F.col("word") % 50 == 0, true.bitwiseOR(missing)).otherwise(true)).withColumn("na_word", F.when((F.col("word") + 1) * 32 >= F.col("n"), missing.bitwiseOR(F.lit(1 << 31))).otherwise(missing))
+    return canonical.dense(damaged).select("blk", "n", "word", "true_word", "na_word")
+
+
+@query(f"""WITH {FLAGS}, {FLAG_RUNS}, {FLAG_STATS}, d AS (SELECT blk, n, {DEFAULT} AS default_state FROM s),
+    e AS (SELECT f.blk, n, default_state, pos, CASE WHEN v IS NULL THEN 2 WHEN v THEN 1 ELSE 0 END AS state FROM f JOIN d ON d.blk = f.blk),
+    x AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY pos) AS seq FROM e WHERE state <> default_state),
+    y AS (SELECT blk, n, default_state, CAST(seq AS BIGINT) AS seq, CASE WHEN seq % 100 = 0 THEN 0 WHEN seq % 101 = 0 THEN n ELSE pos END AS pos, CASE WHEN seq % 103 = 0 THEN default_state ELSE state END AS state FROM x),
+    z AS (SELECT *, lag(pos) OVER (PARTITION BY blk ORDER BY seq) AS p FROM y)
+    SELECT blk, seq, CAST(pos AS BIGINT) AS pos, state FROM z WHERE state = default_state OR pos >= n OR coalesce(pos <= p, false)""")
+def canonical_sparse(spark, sf_dir):
+    df = flags(spark, sf_dir)
+    held = logical.exceptions(df).join(logical.stats(df).select("blk", "n", "default_state"), "blk")
+    seq = F.row_number().over(Window.partitionBy("blk").orderBy("pos")).cast("bigint")
+    held = held.withColumn("seq", seq).withColumn("state", F.when(F.col("seq") % 103 == 0, F.col("default_state")).otherwise(F.col("state")))
+    held = held.withColumn("pos", F.when(F.col("seq") % 100 == 0, F.lit(0)).when(F.col("seq") % 101 == 0, F.col("n")).otherwise(F.col("pos")).cast("bigint"))
+    return canonical.sparse(held).select("blk", "seq", "pos", "state")
+
+
+_RUNS_OF = RUNS_SQL.format(key="v", src="f").replace("SELECT blk, run, value, first, len,", ", ends AS (SELECT blk, run, value, len,", 1)
+
+
+@query(f"""WITH f AS (SELECT o_orderkey AS rw, o_orderkey // {B} AS blk, o_orderstatus = 'F' AS v FROM orders){_RUNS_OF}),
+    n AS (SELECT blk, count(*) AS n FROM f GROUP BY blk),
+    d AS (SELECT ends.blk, run, n, CASE WHEN run % 70 = 0 THEN NOT value ELSE value END AS value, CAST("end" + CASE WHEN run % 90 = 0 THEN -len ELSE 0 END AS BIGINT) AS e FROM ends JOIN n ON n.blk = ends.blk),
+    x AS (SELECT *, lag(e) OVER w AS pe, lag(value) OVER w AS pv, row_number() OVER w AS k, lead(e) OVER w AS le FROM d WINDOW w AS (PARTITION BY blk ORDER BY run))
+    SELECT blk, run, value, e AS "end" FROM x WHERE e <= coalesce(pe, 0) OR (k > 1 AND pv = value) OR (le IS NULL AND e <> n)""")
+def canonical_runs(spark, sf_dir):
+    df = blocks(spark, sf_dir, "orders", "o_orderkey", F.col("o_orderstatus") == "F")
+    held = runs.runs(df, "v").join(df.groupBy("blk").agg(F.count(F.lit(1)).alias("n")), "blk")
+    held = held.withColumn("value", F.when(F.col("run") % 70 == 0, ~F.col("value")).otherwise(F.col("value"))).withColumn("end", (F.col("end") - F.when(F.col("run") % 90 == 0, F.col("len")).otherwise(F.lit(0))).cast("bigint"))
+    return canonical.runs(held).select("blk", "run", "value", "end")
+
+
+@query(f"WITH c AS (SELECT event_id // 64 AS blk, count(*) AS n FROM events GROUP BY event_id // 64), p AS (SELECT blk, n, blk % 70 AS period FROM c) SELECT * FROM p WHERE period < 2 OR period > 64 OR n < 4 * period")
+def canonical_periodic(spark, sf_dir):
+    df = table(spark, sf_dir, "events").groupBy(div("event_id", 64).alias("blk")).agg(F.count(F.lit(1)).alias("n"))
+    return canonical.periodic(df.select("blk", "n", (F.col("blk") % 70).alias("period")))
+
+
+@query(f"WITH {MISSING}, {INT_STATS}, {WIDTHS}, d AS (SELECT blk, n, CAST(for_width + CASE WHEN blk = 1 THEN 30 ELSE 0 END AS BIGINT) AS width, n_na > 0 AS missing, CASE WHEN blk = 2 THEN -2147483648 ELSE min_v END AS least, CASE WHEN blk = 0 THEN 1 ELSE 0 END AS bits_after FROM z) SELECT blk, n, width FROM d WHERE width > 32 OR (missing AND width = 0) OR least <= -2147483648 OR bits_after <> 0")
+def canonical_framed(spark, sf_dir):
+    s = integers.frame(integers.stats(customers(spark, sf_dir)))
+    on = lambda k, a, b: F.when(F.col("blk") == k, a).otherwise(b)
+    held = s.select("blk", "n", on(1, F.col("for_width") + 30, F.col("for_width")).alias("width"), (F.col("n_na") > 0).alias("missing"), on(2, F.lit(-(1 << 31)), F.col("min_v")).alias("least"), on(0, F.lit(1), F.lit(0)).alias("bits_after"))
+    return canonical.framed(held).select("blk", "n", "width")
+
+
+@query(f"WITH {PRICES}, {ALP}, d AS (SELECT vec, n, vec % 21 AS e, vec % 7 AS f, for_width + CASE WHEN vec % 9 = 8 THEN 60 ELSE 0 END AS width FROM alp) SELECT * FROM d WHERE f > e OR e > 18 OR width > 64")
+def canonical_decimal(spark, sf_dir):
+    held = doubles.vectors(prices(spark, sf_dir), 2)
+    width = F.col("for_width") + F.when(F.col("vec") % 9 == 8, F.lit(60)).otherwise(F.lit(0))
+    return canonical.decimal(held.select("vec", "n", (F.col("vec") % 21).alias("e"), (F.col("vec") % 7).alias("f"), width.cast("bigint").alias("width"), F.lit(False).alias("delta"))).select("vec", "n", "e", "f", "width")
+
+
+@query("SELECT event_id, event_id % 6 AS tag, octet_length(encode(event_type)) AS length FROM events WHERE event_id % 6 = 5 OR event_id % 6 = 0")
+def canonical_strings(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 6).alias("tag"), F.octet_length("event_type").cast("bigint").alias("length"))
+    return canonical.string_records(df)
+
+
+@query("SELECT sequence, object_id FROM (" + RECORDS + "SELECT sequence, object_id FROM blocks WHERE object_id = 3) AS t")
+def canonical_block_sizes(spark, sf_dir):
+    held = guarding.directory(spark, sf_dir)
+    blocks_ = held["blocks"].withColumn("logical_count", F.when(F.col("object_id") == 3, F.lit(0)).otherwise(F.col("logical_count")))
+    return canonical.block_sizes(blocks_.join(held["objects"].select("object_id", "logical_len"), "object_id")).select("sequence", "object_id")
+
+
+@query("SELECT event_id AS id, flags, bytes FROM (SELECT event_id, (event_id % 3) * 256 + event_id % 5 AS flags, 40 + event_id % 300 AS bytes FROM events) AS t WHERE flags >= 512 OR bytes > 256 OR bytes < 48")
+def canonical_flags(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") % 3) * 256 + F.col("event_id") % 5).alias("flags"), (40 + F.col("event_id") % 300).alias("bytes"))
+    return canonical.flags(df, 256, 48).withColumnRenamed("id", "id")
+
+
 # -- real containers ----------------------------------------------------------------------
 
 for _f, _s in containers.QUERIES:

@@ -100,7 +100,31 @@ def container_as_found(spark, sf_dir):
     return container.read(spark, container.write(_table(spark, sf_dir, "nation"), _path(spark)))
 
 
+def vector_roundtrip(spark, sf_dir):
+    df = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    path = container.write_vector(df, _path(spark), row="event_id", names="event_type", block=B)
+    return container.read_vector(spark, path, window=(100, 4500), names=True).withColumnRenamed("__row", "place")
+
+
+def vector_positions(spark, sf_dir):
+    path = container.write_vector(_table(spark, sf_dir, "events").select("event_id", "value"), _path(spark), row="event_id", block=B)
+    return container.read_vector(spark, path, positions=[7, 0, 7]).withColumnRenamed("__row", "place")
+
+
+def row_names_stored(spark, sf_dir):
+    path = container.write(_table(spark, sf_dir, "nation"), _path(spark), row="n_nationkey", row_names="n_name")
+    return container.read(spark, path, select=["n_regionkey"], positions=[4, 2], row_names=True).withColumnRenamed("__name", "name")
+
+
+def row_names_counted(spark, sf_dir):
+    return container.read(spark, _events(spark, sf_dir), select=["event_id"], window=(50, 60), row_names=True).withColumnRenamed("__name", "name")
+
+
 QUERIES = [
+    (vector_roundtrip, "SELECT event_id AS place, user_id AS value, event_type AS name FROM events WHERE event_id BETWEEN 100 AND 4500"),
+    (vector_positions, "SELECT CAST(p.place AS BIGINT) AS place, value FROM (VALUES (0, 7), (1, 0), (2, 7)) AS p(place, pos) JOIN events ON event_id = p.pos"),
+    (row_names_stored, "SELECT n_name AS name, n_regionkey FROM nation WHERE n_nationkey IN (4, 2)"),
+    (row_names_counted, "SELECT CAST(event_id - 49 AS VARCHAR) AS name, event_id FROM events WHERE event_id BETWEEN 50 AND 60"),
     (container_any_order, "SELECT * FROM (SELECT row_number() OVER (ORDER BY n_name) - 1 AS place, * FROM nation) AS t WHERE place BETWEEN 3 AND 9"),
     (container_as_found, "SELECT * FROM nation"),
     (container_roundtrip, "SELECT * FROM events"),

@@ -121,3 +121,10 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the guards that the container breaks as it was written: none."""
     tables = directory(spark, sf_dir)
     return spark.createDataFrame([(n,) for n in guards.check(spark, tables)], "guard string")
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column that another one's object refers to, and its own: objects 4 and 7."""
+    directory(spark, sf_dir)
+    path = _written[(spark.sparkContext.applicationId, sf_dir)]
+    return container.read_targets(spark, path, [4, 7]).where("__row < 500").withColumnRenamed("__row", "place")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import __version__
+from .. import __version__, options
 from ..errors import ArgumentError, CodecError, FormatError, LimitError, StorageError, UnsupportedError, VersionError
 from ..functions.exprs import div
 from ..operators import graph, guards, hashing, rows
@@ -35,6 +35,7 @@ from .storage import Store
 
 FORMAT = 1
 ROW = "__row"
+NAME = "__name"
 BLOCK = 65_536
 #: Seconds after which a version that no manifest names is taken for a dead writer's.
 GRACE = 7 * 24 * 3600
@@ -88,13 +89,14 @@ def write(
     order: Sequence[str] | dict[str, Sequence[str]] | None = None,
     metadata: dict[str, str] | None = None,
     attributes: dict[str, Any] | None = None,
-    compress: int = 1,
-    hash: bool = True,
+    compress: int | None = None,
+    hash: bool | None = None,
     skip_unchanged: bool = False,
     mode: str = "auto",
     share: bool = False,
-    block: int = BLOCK,
+    block: int | None = None,
     directory: bool = False,
+    row_names: str | None = None,
 ) -> str:
     """Writes a table, a named archive of tables or, with ``mode="auto"``, any other value as an opaque payload.
 
@@ -103,13 +105,12 @@ def write(
     replaces its own, and its data until the write after that, for those who still read it.
     With ``skip_unchanged`` nothing is written if hash and metadata are those of the target.
     ``share`` stores columns of equal content once.  With ``directory`` the tables of objects and
-    blocks are written too, which ``broken_guards`` and ``directory_of`` read.
+    blocks are written too, which ``broken_guards`` and ``directory_of`` read.  ``row_names`` names
+    a column of distinct texts that are the names of a table's rows.  What is not given of
+    ``compress``, ``hash`` and ``block`` comes from the session's options (``strataform.options``).
     """
     if mode not in ("auto", "strict"):
         raise ArgumentError("mode is auto or strict")
-    if skip_unchanged and not hash:
-        raise ArgumentError("skip_unchanged needs the hash")
-    metadata, level = check_metadata(metadata), _level(compress)
     native = isinstance(value, DataFrame) or (isinstance(value, dict) and bool(value) and all(isinstance(v, DataFrame) and isinstance(k, str) and k for k, v in value.items()))
     if not native and mode == "strict":
         raise UnsupportedError("only tables and named archives of tables are stored column by column")
@@ -120,15 +121,21 @@ def write(
         held = {k: _ordered(df, row, orders.get(k)) for k, df in tables.items()}
         # A column of the name of the positions holds them and nothing else.
         tables = {k: df.drop(ROW) for k, df in tables.items()}
+        for name, df in tables.items():
+            _check_names(df, row_names if name in ("", next(iter(tables))) else None)
     elif spark is None:
         raise ArgumentError("an opaque value needs the session")
+    hash, block = options.get(spark, "hash", hash), options.get(spark, "block", block)
+    if skip_unchanged and not hash:
+        raise ArgumentError("skip_unchanged needs the hash")
+    metadata, level = check_metadata(metadata), _level(options.get(spark, "compress", compress))
     store = Store(spark, path)
     if skip_unchanged:
         digest = _value_hash(spark, value if not native else None, tables if native else {}, held if native else {}, block)
         if _unchanged(spark, path, digest, metadata):
             return path
     version = f"v-{uuid.uuid4().hex}"
-    manifest: dict[str, Any] = {"format": FORMAT, "writer": f"strataform {__version__}", "version": version, "codec": "native" if native else "opaque", "metadata": metadata, "attributes": attributes or {}, "compress": level, "block": block, "objects": []}
+    manifest: dict[str, Any] = {"format": FORMAT, "writer": f"strataform {__version__}", "version": version, "codec": "native" if native else "opaque", "metadata": metadata, "attributes": attributes or {}, "compress": level, "block": block, "row_names": row_names, "objects": []}
     if native:
         hashes = []
         for k, (name, df) in enumerate(tables.items()):
@@ -156,6 +163,16 @@ def write(
     return path
 
 
+def _check_names(df: DataFrame, column: str | None) -> None:
+    if column is None:
+        return
+    if column not in df.columns:
+        raise ArgumentError(f"there is no column {column!r} of row names")
+    odd = df.agg(F.count_if(F.col(f"`{column}`").isNull()).alias("none")).first()["none"]
+    if odd or df.groupBy(f"`{column}`").count().where("count > 1").limit(1).count():
+        raise ArgumentError("row names are distinct and not missing")
+
+
 def seal(manifest: dict[str, Any]) -> bytes:
     body = json.dumps(manifest, sort_keys=True)
     return json.dumps({"checksum": hashlib.sha256(body.encode()).hexdigest(), "body": body}).encode()
@@ -286,9 +303,12 @@ def _object(m: dict[str, Any], name: str | None) -> dict[str, Any]:
     return found[0]
 
 
-def read(spark: SparkSession, path: str, *, select: Sequence[str | int] | None = None, positions: Sequence[int] | None = None, window: tuple[int, int] | None = None, table: str | None = None, keep_row: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, *, select: Sequence[str | int] | None = None, positions: Sequence[int] | None = None, window: tuple[int, int] | None = None, table: str | None = None, keep_row: bool = False, row_names: bool = False) -> DataFrame:
     """A table, or some of its columns and rows.
 
+    With ``row_names`` a column ``__name`` comes first: the stored names of the rows, or else
+    "1", "2" and so on, counted over what is read.
+
     ``window`` is a range of positions, last included; ``positions`` any positions, in any
     order and with repeats, in whose order the result's ``__row`` then counts.  Both reach the
     scan as a range, which skips files, row groups and pages.
@@ -298,16 +318,77 @@ def read(spark: SparkSession, path: str, *, select: Sequence[str | int] | None =
     df = _table(spark, path, m, one)
     names = [c for c in df.columns if c != ROW]
     wanted = [names[k] for k in rows.resolve(names, select)]
-    df = df.select(ROW, *(F.col(f"`{c}`") for c in wanted))
+    stored_names = m.get("row_names") if row_names else None
+    wanted_names = [F.col(f"`{stored_names}`").cast("string").alias(NAME)] if stored_names else []
+    df = df.select(ROW, *wanted_names, *(F.col(f"`{c}`") for c in wanted))
     if window is not None:
         if positions is not None:
             raise ArgumentError("ask for a window or for positions")
         df = rows.window(df, ROW, *window)
+        window = (max(0, window[0]), window[1])
     if positions is not None:
-        df = rows.take(df, ROW, positions, total=one["rows"]).drop(ROW).withColumnRenamed("place", ROW).select(ROW, *(F.col(f"`{c}`") for c in wanted))
+        df = rows.take(df, ROW, positions, total=one["rows"]).drop(ROW).withColumnRenamed("place", ROW).select(ROW, *([NAME] if stored_names else []), *(F.col(f"`{c}`") for c in wanted))
+    if row_names and not stored_names:
+        first = window[0] if window is not None else 0
+        df = df.select(ROW, (F.col(ROW) - first + 1).cast("string").alias(NAME), *(F.col(f"`{c}`") for c in wanted))
     return df if keep_row else df.drop(ROW)
 
 
+def write_vector(values: DataFrame | Sequence[Any], path: str, *, spark: SparkSession | None = None, kind: str | None = None, names: Sequence[str] | str | None = None, **written: Any) -> str:
+    """A single vector, as the table of one column that ``read_vector`` gives back.
+
+    ``values`` is a table of one column, and one of its names if ``names`` names it, or a
+    sequence of values of the Spark type ``kind`` that the driver holds, with ``names`` of equal number.
+    """
+    if isinstance(values, DataFrame):
+        kept = [c for c in values.columns if c not in (names, written.get("row"))]
+        if len(kept) != 1:
+            raise ArgumentError("a vector is one column")
+        df = values.withColumnRenamed(kept[0], "value")
+        df = df.withColumnRenamed(names, "name") if isinstance(names, str) else df
+        return write(df, path, mode="strict", attributes={"vector": True}, **written)
+    if spark is None or kind is None:
+        raise ArgumentError("a sequence needs the session and the type of its values")
+    if names is not None and (isinstance(names, str) or len(names) != len(values)):
+        raise ArgumentError("there are as many names as values")
+    held = [(k, v) if names is None else (k, v, names[k]) for k, v in enumerate(values)]
+    df = spark.createDataFrame(held, f"{ROW} bigint, value {kind}" + (", name string" if names is not None else ""))
+    return write(df, path, row=ROW, mode="strict", attributes={"vector": True}, **written)
+
+
+def read_vector(spark: SparkSession, path: str, *, positions: Sequence[int] | None = None, window: tuple[int, int] | None = None, names: bool = False) -> DataFrame:
+    """__row and value of a single vector, or some of it, and name with ``names``; other columns are not read."""
+    m = manifest_of(spark, path)
+    if not m["attributes"].get("vector"):
+        raise UnsupportedError("the container holds no single vector")
+    return read(spark, path, select=["value", *(["name"] if names else [])], positions=positions, window=window, keep_row=True)
+
+
+def read_targets(spark: SparkSession, path: str, ids: Sequence[int], table: str | None = None) -> DataFrame:
+    """The columns, in one scan, of objects by their ids in the directory, and of all that is below them or that they refer to."""
+    held = directory_of(spark, path, table)["objects"]
+    known = {r["object_id"]: r["type"] for r in held.select("object_id", "type").collect()}
+    unknown = [i for i in ids if i not in known]
+    if unknown:
+        raise ArgumentError(f"no objects of these ids: {', '.join(map(str, unknown))}")
+    found = {r["object_id"] for r in graph.wanted(held, list(ids)).collect()}
+    one = _object(manifest_of(spark, path), table)
+    names = T.StructType.fromJson(json.loads(one["schema"])).names
+    return read(spark, path, select=[names[i - 1] for i in sorted(found) if 1 <= i <= len(names)], table=table, keep_row=True)
+
+
+def describe(spark: SparkSession, path: str) -> str:
+    """Text about a container: what it is, then its parts, one a line."""
+    m = manifest_of(spark, path)
+    head = info(spark, path).first()
+    lines = [f"{head['root_type']} in a {m['codec']} container, format {head['format_version']}, {head['stored_bytes']:,} bytes"]
+    lines += [f"  {k}: {v}" for k, v in sorted(m["metadata"].items())]
+    for r in schema(spark, path).collect():
+        shared = f" = {r['shared_with']}" if r["shared_with"] else ""
+        lines.append(f"{'  ' * r['depth']}{r['path'] or '.'}  {r['type']}  [{r['shape'] or ''}]{shared}")
+    return "\n".join(lines)
+
+
 def read_opaque(spark: SparkSession, path: str, *, loads: bool = False) -> Any:
     """The payload of an opaque value as bytes, or unpickled if ``loads``; each chunk is checked, in order."""
     m = manifest_of(spark, path)
@@ -530,4 +611,4 @@ def block_count(rows_: int, block: int = BLOCK) -> int:
     return -(-rows_ // block)
 
 
-__all__ = ["attributes", "block_count", "broken_guards", "check_metadata", "directory_of", "div", "info", "load", "manifest_of", "objects", "read", "read_opaque", "save", "schema", "serialize", "synopsis", "table_hash", "unserialize", "verify", "write"]
+__all__ = ["attributes", "block_count", "broken_guards", "check_metadata", "describe", "directory_of", "div", "info", "load", "manifest_of", "objects", "read", "read_opaque", "read_targets", "read_vector", "save", "schema", "serialize", "synopsis", "table_hash", "unserialize", "verify", "write", "write_vector"]
