@@ -17,7 +17,9 @@ from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The characters that end a word, for Java and DuckDB regular expressions.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -72,6 +74,31 @@ def cleared(spark: SparkSession, scratch: list[str]) -> None:
         removed(spark, scratch.pop())
 
 
+def with_row_keys(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key for each row, struct<f, i>, that every read of the rows finds again.
+
+    Rows straight from files are known by their file and place in it, and are not copied;
+    others are numbered and written out.
+    """
+    if _plain_scan(docs):
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")))
+    return stored(docs.withColumn(name, F.struct(F.lit(0).cast("bigint").alias("f"), F.monotonically_increasing_id().alias("i"))), "numbered")
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether the rows are those of files, at most filtered and projected."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if not plan.nodeName().startswith(("Relation", "LogicalRelation")):
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
 _slot: dict[str, Any] = {}
 
 
@@ -107,6 +134,21 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1000, limit: int = 2 <
             start += take
 
 
+#: Rows of the Arrow batches that go to Python workers, where the session does not say.
+BATCH = 3000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ``BATCH`` rows, unless it has a number of its own.
+
+    Texts are long: ten thousand of them, Spark's default, take tens of megabytes in each
+    worker and again outside the heap of its executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import encoded, pieces, stored
+from .common import bound_batches, encoded, pieces, stored
 
 #: At most so many repeated keys are broadcast, 16 bytes each in a sorted array; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
@@ -137,6 +137,7 @@ def dedup_lines(
         raise ValueError("keep is none or first")
     source = _source(docs, id_col, text_col, order_col)
     spark = source.sparkSession
+    bound_batches(spark)
     heavy = stored(repeated_lines(source, min_docs=min_docs, min_chars=min_chars, bits=bits, order_col="place"), "lines")
     kind = source.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept_sha256 string, text string"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch_path
+from .common import bound_batches, pieces, scratch_path
 
 #: Rows and columns of a tile of the stored form.
 SIDE = 24
@@ -213,6 +213,7 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     of ``docs`` are ignored.  Equal texts give equal values.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = path or scratch_path(spark, "tiles")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, pieces
+from .common import bound_batches, only, pieces
 
 SPACE = "▁"
 MASK = (1 << 64) - 1
@@ -414,6 +414,7 @@ def document_keys(batch: pa.RecordBatch, texts: list[str]) -> list[int]:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str, copy_col: str | None) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(copy_col) if copy_col else F.lit(0)).cast("int").alias("copy"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blooms
-from .common import encoded, pieces, stored
+from .common import bound_batches, encoded, pieces, stored
 from .words import BASE, hashed, rolling, sliding_min
 
 MER = 8
@@ -229,6 +229,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not 1 <= mer <= width:
         raise ValueError("a minimiser has between 1 word and the words of a window")
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     _, spans = repeated_spans(source, width, mer, hot)
     spans = stored(spans.groupBy("doc_id", "cls").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")

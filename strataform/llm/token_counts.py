@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import only, tree_merge
+from .common import bound_batches, only, tree_merge
 
 
 #: Longer pre-tokens are not counted, so that a summary has a bounded size in bytes.
@@ -88,6 +88,7 @@ def count_tokens(
     length is counted as a whole.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = frequent_pretokens(source, "text", entries)
     encode = bpe.load(tokenizer)

@@ -27,25 +27,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import partitions, pieces, scratch_path
+from .common import bound_batches, only, partitions, pieces, scratch_path
 
 BLOCK = 128
+#: The smallest tie.
+LEAST = -(1 << 63)
 HEAD = struct.Struct("<4sIIIHH")
 
 
-def bits_of(x: np.ndarray, width: int) -> np.ndarray:
-    """The low ``width`` bits of each number along a new last axis, lowest first."""
-    size = 2 if width <= 16 else 4
-    raw = x.astype(f"<u{size}").view(np.uint8).reshape(*x.shape, size)
-    return np.unpackbits(raw, axis=-1, bitorder="little")[..., :width]
+def packed_bits(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of numbers below 2**width, a multiple of 8 in each, as bytes, lowest bits first.
 
-
-def of_bits(bits: np.ndarray) -> np.ndarray:
-    """The numbers of bits along the last axis, lowest first."""
-    size = 2 if bits.shape[-1] <= 16 else 4
-    whole = np.zeros((*bits.shape[:-1], 8 * size), np.uint8)
-    whole[..., : bits.shape[-1]] = bits
-    return np.packbits(whole, axis=-1, bitorder="little").view(f"<u{size}")[..., 0]
+    Numbers 8 places apart start at the same bit of bytes ``width`` apart.
+    """
+    rows, n = x.shape
+    out = np.zeros((rows, n * width // 8 + 4), np.uint8)
+    x = x.astype(np.uint64)
+    for r in range(8):
+        at, shift = r * width >> 3, r * width & 7
+        own = x[:, r::8] << np.uint64(shift)
+        for k in range((shift + width + 7) // 8):
+            out[:, at + k : at + k + n // 8 * width : width][:, : n // 8] |= (own >> np.uint64(8 * k)).astype(np.uint8)
+    return out[:, : n * width // 8]
+
+
+def unpacked_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The ``n`` numbers of each row of ``packed_bits``."""
+    padded = np.zeros((len(data), data.shape[1] + 5), np.uint8)
+    padded[:, : data.shape[1]] = data
+    bit = np.arange(n) * width
+    at, shift = bit >> 3, (bit & 7).astype(np.uint64)
+    out = np.zeros((len(data), n), np.uint64)
+    for k in range((7 + width + 7) // 8):
+        out |= padded[:, at + k].astype(np.uint64) << np.uint64(8 * k)
+    return (out >> shift & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
@@ -70,7 +85,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) ->
             if w == 16:  # whole bytes need no packing
                 flat = x[rows].astype("<u2").tobytes()
             else:
-                flat = np.packbits(bits_of(x[rows], w).reshape(len(rows), -1), axis=1, bitorder="little").tobytes()
+                flat = packed_bits(x[rows] & np.uint32((1 << int(w)) - 1), int(w)).tobytes()
             for k, r in enumerate(rows.tolist()):
                 packed[r] = flat[k * size : (k + 1) * size]
     out, starts = [], np.empty(count, np.uint32)
@@ -110,8 +125,7 @@ def unpack_blocks(starts: np.ndarray, data: bytes, n: int, block: int = BLOCK, f
             if w == 16:
                 out[rows] = body.view("<u2")
                 continue
-            bits = np.unpackbits(body, axis=1, bitorder="little")[:, : block * w].reshape(len(rows), block, w)
-            out[rows] = of_bits(bits)
+            out[rows] = unpacked_bits(body, block, int(w))
     if extra.any():
         block_of = np.repeat(np.arange(len(extra)), extra)
         nth = np.arange(len(block_of)) - np.repeat(np.cumsum(extra) - extra, extra)
@@ -149,12 +163,52 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if z else d for d, z in zip(doc_ids, null, strict=True)], lengths, ids
 
 
-def bucket_bounds(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> list[float]:
-    """Document ids that cut the table into buckets of about equal numbers of rows."""
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    n = max(partitions(docs.sparkSession), -(-int(size) // bucket_bytes))
-    cuts = docs.stat.approxQuantile(id_col, [k / n for k in range(1, n)], min(0.01, 0.2 / n)) if n > 1 else []
-    return sorted(set(cuts))
+#: Rows of the sample for each bucket, and the most buckets.
+SAMPLED, MOST_BUCKETS = 20, 20_000
+
+
+def bucket_bounds(source: DataFrame, bucket_rows: int) -> list[tuple[int | None, int]]:
+    """Pairs (doc_id, tie) that cut the rows into buckets of about equal numbers, null ids first.
+
+    The bounds come from a random sample of about ``SAMPLED`` rows a bucket and only decide the
+    layout.  Ids that are bounds of several buckets are looked at again, with a sample of
+    their ties, so that no id makes a large bucket; texts of others are not read for this.
+    """
+    total = source.count()
+    n = min(MOST_BUCKETS, max(partitions(source.sparkSession), -(-total // bucket_rows)))
+    share = min(1.0, SAMPLED * n / max(1, total))
+    some = sorted((r["doc_id"] for r in source.select("doc_id").sample(share, 5).collect()), key=lambda d: (d is not None, d or 0))
+    cuts = [some[len(some) * k // n] for k in range(1, n)] if some else []
+    hot = {d: cuts.count(d) for d in set(cuts) if cuts.count(d) > 1}
+    out: list[tuple[int | None, int]] = [(d, LEAST) for d in dict.fromkeys(cuts) if d not in hot]
+    if hot:
+        own = source.where(F.col("doc_id").isin([d for d in hot if d is not None]) | (F.col("doc_id").isNull() if None in hot else F.lit(False)))
+        ties: dict[int | None, list[int]] = {}
+        for r in own.select("doc_id", "tie").sample(share, 6).collect():
+            ties.setdefault(r["doc_id"], []).append(r["tie"])
+        for d, held in ties.items():
+            held.sort()
+            out += [(d, LEAST), *((d, held[len(held) * k // hot[d]]) for k in range(1, hot[d]))]
+    return sorted(set(out), key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
+
+
+class Bounds:
+    """Buckets of rows by (doc_id, tie)."""
+
+    def __init__(self, bounds: list[tuple[int | None, int]]) -> None:
+        self.nulls = np.array([t for d, t in bounds if d is None], np.int64)
+        self.ids = np.array([d for d, _ in bounds if d is not None], np.int64)
+        self.ties = np.array([t for d, t in bounds if d is not None], np.int64)
+
+    def __call__(self, ids: pa.Array, ties: np.ndarray) -> np.ndarray:
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(self.ids, known, side=x) for x in ("left", "right"))
+        out = low.copy()
+        for a in np.unique(low[high > low]).tolist():
+            rows = np.flatnonzero((low == a) & (high > low))
+            out[rows] += np.searchsorted(self.ties[a : high[rows[0]]], ties[rows], side="right")
+        return np.where(null, np.searchsorted(self.nulls, ties, side="right"), len(self.nulls) + out).astype(np.int32)
 
 
 def write_tokens(
@@ -165,35 +219,36 @@ def write_tokens(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = 0,
-    bucket_bytes: int = 64 << 20,
+    bucket_rows: int = 20_000,
     segment_ids: int = 1 << 18,
     percentile: float = 0.9,
-    cache: int = 500_000,
+    cache: int = 700_000,
 ) -> None:
     """Writes the ids of all texts, each with ``end_id`` after it, in ascending order of document id.
 
     A null or empty text has only the end id.  Null ids come first.  Rows that share an id
-    are kept, in the order of their ids' bytes.  An empty table gives an empty file set.
+    are kept, in the order of ``xxhash64`` of their texts.  An empty table gives an empty file set.
     Ids of documents must be integers; other columns are ignored.  A document is never cut:
     a segment ends with the document that takes it past ``segment_ids``.
     """
     import zstandard
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bounds = np.array(bucket_bounds(source, "doc_id", "text", bucket_bytes), np.float64)
-    n = max(1, len(bounds) + 1)
+    bound_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    bounds = bucket_bounds(source, bucket_rows)
+    n = len(bounds) + 1
     wide = bpe.load(tokenizer).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     code, kind = ("I", np.uint32) if wide else ("H", np.uint16)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = encoder(tokenizer, code, cache)
+        chunks = only(("token files", tokenizer, code, cache), lambda: bpe.Chunks(tokenizer, code, cache))
+        bucket_of = Bounds(bounds)
         end = array.array(code, [end_id]).tobytes()
         shrink = zstandard.ZstdCompressor(level=1)
-        for batch in pieces(batches):
-            keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            bucket = np.where(np.isnan(keys), 0, np.searchsorted(bounds, keys, side="right"))
-            ids = [shrink.compress(run(t.as_py() or "") + end) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+        for batch in pieces(batches, 4000, 10 << 20):
+            ids = [shrink.compress(x + end) for x in chunks.texts([t or "" for t in batch.column(1).to_pylist()])]
+            ties = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(batch.column(0), ties)), batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["bucket", "doc_id", "tie", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor()
@@ -204,7 +259,7 @@ def write_tokens(
             return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "data": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for b, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for b, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
                 if names and (b != bucket or total >= segment_ids):
                     yield segment()
                     seq = seq + 1 if b == bucket else 0
@@ -218,23 +273,11 @@ def write_tokens(
         if names:
             yield segment()
 
-    rows = source.mapInArrow(encode, "bucket int, doc_id bigint, ids binary")
-    dealt = rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    rows = source.mapInArrow(encode, "bucket int, doc_id bigint, tie bigint, ids binary")
+    dealt = rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", "doc_id", "tie", "ids")
     dealt.mapInArrow(pack, "bucket int, seq int, n_docs bigint, n_ids bigint, data binary").write.option("compression", "zstd").parquet(path)
 
 
-_worker: dict = {}
-
-
-def encoder(tokenizer: str | None, code: str, cache: int):
-    """Bytes of the ids of a text; the cache of this worker process outlives a task."""
-    key = (tokenizer, code, cache)
-    if key not in _worker:
-        _worker.clear()
-        _worker[key] = bpe.Encoder(tokenizer, lambda ids: array.array(code, ids).tobytes(), {}, b"".join, cache)
-    return _worker[key]
-
-
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, pieces, tree_merge
+from .common import bound_batches, only, pieces, tree_merge
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s"}
@@ -461,12 +461,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         scorer = worker(held)
         for batch in pieces(batches):
             values = [scorer(t) if t else 0.0 for t in batch.column(1).to_pylist()]
-            own = [batch.column(2 + k) for k in range(len(carry))]
+            own = [batch.column(1) if c == text_col else batch.column(2 + others.index(c)) for c in carry]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64()), pa.array([int(v >= cut) for v in values], pa.int32()), *own], ["doc_id", "score", "predicted", *(f"carried{k}" for k in range(len(carry)))])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)))
-    types = "".join(f", carried{k} {rows.schema[f'carried{k}'].dataType.simpleString()}" for k in range(len(carry)))
+    # The text goes to the workers once, carried or not.
+    others = [c for c in carry if c != text_col]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"other{k}") for k, c in enumerate(others)))
+    types = "".join(f", carried{k} {'string' if c == text_col else rows.schema[f'other{others.index(c)}'].dataType.simpleString()}" for k, c in enumerate(carry))
     scored = rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int{types}")
     return scored.select("doc_id", (crc_mod4("doc_id") == 2).alias("held_out"), "score", "predicted", *(F.col(f"carried{k}").alias(c) for k, c in enumerate(carry)))
 
@@ -493,6 +495,7 @@ def restore_texts(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int):
     """doc_id and text of the rows, and the broadcast lexicon and character model."""
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lexicon = learn_lexicon(source, labels.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else labels, most=most)
     costs = character_costs(character_counts(source))
