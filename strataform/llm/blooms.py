@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import tree_merge
+from .common import stored, tree_merge
 
 #: A filter never takes more bits than this (32 MB); beyond, it lets more rows through.
 MOST_BITS = 1 << 28
@@ -88,3 +89,22 @@ def membership(rows: DataFrame, bits: int) -> bytes:
 
     merged = tree_merge(rows.mapInArrow(build, "filter binary"), "filter", union, bits // 8)
     return bytes(bits // 8) if merged is None else zlib.decompress(merged)
+
+
+def without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is not among the distinct, not null ``keys``.
+
+    Rows that a filter over the keys rules out stay where they are; only the others are
+    shuffled, to be compared exactly.
+    """
+    hashed = F.xxhash64(column)
+    keys = stored(keys.select(column), "keys")
+    bits = bits_for(keys.count(), 16)
+    held = rows.sparkSession.sparkContext.broadcast(membership(keys.select(hashed.alias("h")), bits))
+
+    @F.arrow_udf("boolean")
+    def may_be(column: pa.Array) -> pa.Array:
+        return pa.array(Filter(bits, held.value).has(column.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    clear = rows.where(~may_be(hashed))
+    return clear.unionByName(rows.where(may_be(hashed)).join(keys, column, "left_anti"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import math
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
@@ -157,41 +156,29 @@ def partitions(spark: SparkSession) -> int:
 AT_ONCE = 256 << 20
 
 
-def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes], bound: int, depth: int = 3) -> bytes | None:
-    """One binary value folded over all rows in a tree of executor tasks.
+def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes], bound: int) -> bytes | None:
+    """One binary value folded over all rows, of which a partition of ``df`` has one.
 
-    ``bound`` is the most bytes that a value may have.  The driver runs as many partitions at
-    once as it can take in, so it holds a bounded number of bytes at any size.
+    ``bound`` is the most bytes that a value may have.  The values are written out, by all
+    tasks at once; executors fold groups of them until few are left for the driver, which
+    takes them in one after the other.  Both hold a bounded number of bytes at any size.
     """
-    rdd = df.select(column).rdd.map(lambda r: bytes(r[0]))
-    n = rdd.getNumPartitions()
-    if n > 64:
-        fan = max(2, math.ceil(n ** (1 / depth)))
-        while n > fan:
-            n = math.ceil(n / fan)
-            rdd = rdd.mapPartitionsWithIndex(_folder(merge, n)).partitionBy(n, int).values().mapPartitions(_fold(merge))
-    folded = rdd.mapPartitions(_fold(merge))
-    n, wave, total = folded.getNumPartitions(), max(1, AT_ONCE // bound), None
-    for k in range(0, n, wave):
-        for p in df.sparkSession.sparkContext.runJob(folded, list, list(range(k, min(n, k + wave)))):
-            total = p if total is None else merge(total, p)
-    return total
-
+    spark, scratch = df.sparkSession, []
+    held = stored(df.select(column), "values", scratch)
+    group = max(2, min(64, (AT_ONCE >> 2) // bound))
 
-def _fold(merge: Callable[[bytes, bytes], bytes]) -> Callable[[Iterator[bytes]], Iterator[bytes]]:
-    def run(it: Iterator[bytes]) -> Iterator[bytes]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for x in it:
-            total = x if total is None else merge(total, x)
+        for batch in batches:
+            for cell in batch.column(0):
+                total = cell.as_py() if total is None else merge(total, cell.as_py())
         if total is not None:
-            yield total
-
-    return run
-
-
-def _folder(merge: Callable[[bytes, bytes], bytes], width: int) -> Callable[[int, Iterator[bytes]], Iterator[tuple[int, bytes]]]:
-    def run(index: int, it: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
-        for x in _fold(merge)(it):
-            yield index % width, x
-
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], [column])
+
+    while (n := held.count()) > 64:
+        held = stored(held.repartition(-(-n // group)).mapInArrow(fold, f"{column} binary"), "values", scratch)
+    total = None
+    for row in held.toLocalIterator():
+        total = bytes(row[0]) if total is None else merge(total, bytes(row[0]))
+    cleared(spark, scratch)
+    return total

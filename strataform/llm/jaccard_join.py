@@ -37,9 +37,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import blooms
-from .common import cleared, encoded, partitions, pieces, removed, scratch_path, stored, tree_merge
+from .common import bound_batches, cleared, encoded, partitions, pieces, removed, scratch_path, stored, tree_merge
 from .words import hashed, shingles
 
 #: A count sketch has at most so many one-byte cells (32 MB).
@@ -92,7 +93,7 @@ class Gathered:
         self.need.append((owner, need, text))
         self.size += len(prefix)
 
-    def rows(self) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    def rows(self, row_type: pa.DataType) -> tuple[pa.RecordBatch, pa.RecordBatch]:
         """Packed shingles by bucket, and the sets with what they need and already share in here.
 
         A shingle of one set goes with its owner, one of several sets once, without an owner.
@@ -111,22 +112,23 @@ class Gathered:
         full = np.flatnonzero(np.diff(cut))
         at = pa.py_buffer((6 * np.append(cut[full], len(t))).astype(np.int32))
         blob = lambda x: pa.Array.from_buffers(pa.binary(), len(full), [None, at, pa.py_buffer(_packed(x))])
-        sent = _filled({"kind": pa.array(np.ones(len(full), np.int8)), "bucket": pa.array(full.astype(np.int32)), "tokens": blob(t & LOW48), "owners": blob(o)}, len(full))
+        sent = _filled({"kind": pa.array(np.ones(len(full), np.int8)), "bucket": pa.array(full.astype(np.int32)), "tokens": blob(t & LOW48), "owners": blob(o)}, len(full), row_type)
         names, need, text = (np.array(x, np.uint64) for x in zip(*self.need, strict=True))
         place = np.minimum(np.searchsorted(owner, names), max(0, len(owner) - 1))
         have = np.where(owner[place] == names, got[place], 0) if len(owner) else np.zeros(len(names), np.int64)
-        own = _filled({"kind": pa.array(np.full(len(names), 2, np.int8)), "owner": pa.array(names.view(np.int64)), "text_hash": pa.array(text.view(np.int64)), "got": pa.array(have.astype(np.int64)), "need": pa.array(need.astype(np.int64))}, len(names))
+        own = _filled({"kind": pa.array(np.full(len(names), 2, np.int8)), "owner": pa.array(names.view(np.int64)), "text_hash": pa.array(text.view(np.int64)), "got": pa.array(have.astype(np.int64)), "need": pa.array(need.astype(np.int64))}, len(names), row_type)
         self.clear()
         return sent, own
 
 
 #: Columns of the first pass; kind 0: a row of the table, 1: packed shingles of a bucket, 2: a set of a task.
-_FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("row", pa.int64()), ("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), ("owner", pa.int64()), ("text_hash", pa.int64()), ("got", pa.int64()), ("need", pa.int64()), ("kind", pa.int8())])
-_FIRST_DDL = "doc_id bigint, n bigint, cls binary, row bigint, bucket int, tokens binary, owners binary, owner bigint, text_hash bigint, got bigint, need bigint, kind tinyint"
+_FIRST = {"doc_id": "bigint", "n": "bigint", "cls": "binary", "row": "bigint", "bucket": "int", "tokens": "binary", "owners": "binary", "owner": "bigint", "text_hash": "bigint", "got": "bigint", "need": "bigint", "kind": "tinyint"}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8(), "binary": pa.binary()}
 
 
-def _filled(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _FIRST], schema=_FIRST)
+def _filled(columns: dict[str, pa.Array], n: int, row_type: pa.DataType) -> pa.RecordBatch:
+    kinds = {c: _ARROW[k] for c, k in _FIRST.items()} | {"row": row_type}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in kinds.items()], list(kinds))
 
 
 def _text_hash(text: bytes) -> int:
@@ -141,6 +143,8 @@ def _described(numbered: DataFrame, width: int, percent: int, scratch: list[str]
     """
     spark = numbered.sparkSession
     size = numbered.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    row = numbered.schema["row"].dataType
+    row_type, ddl = to_arrow_type(row), ", ".join(f"{c} {k}" for c, k in (_FIRST | {"row": row.simpleString()}).items())
     buckets = min(1 << 16, max(LEAST_BUCKETS, partitions(spark), -(-int(size) // BUCKET_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def _described(numbered: DataFrame, width: int, percent: int, scratch: list[str]
             texts = encoded(batch.column(1))
             sets = _sets(texts, width)
             keys = [_digest(s) if len(s) else None for s in sets]
-            yield _filled({"kind": pa.array(np.zeros(len(sets), np.int8)), "doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(keys, pa.binary()), "row": batch.column(2)}, len(sets))
+            yield _filled({"kind": pa.array(np.zeros(len(sets), np.int8)), "doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(keys, pa.binary()), "row": batch.column(2)}, len(sets), row_type)
             for text, key, values in zip(texts, keys, sets, strict=True):
                 if key is not None and key not in seen:
                     seen.add(key)
@@ -158,13 +162,13 @@ def _described(numbered: DataFrame, width: int, percent: int, scratch: list[str]
                     least = 1 + n // 20
                     held.add(int.from_bytes(key[:6], "little") or 1, values[: min(n, n - -(-percent * n // 100) + least)], least, _text_hash(text))
             if held.size >= GATHERED:
-                yield from held.rows()
+                yield from held.rows(row_type)
         if held.size:
-            yield from held.rows()
+            yield from held.rows(row_type)
 
     path = scratch_path(spark, "first")
-    numbered.mapInArrow(run, _FIRST_DDL).write.partitionBy("kind").parquet(path)
-    first = spark.read.schema(_FIRST_DDL).parquet(path)
+    numbered.mapInArrow(run, ddl).write.partitionBy("kind").parquet(path)
+    first = spark.read.schema(ddl).parquet(path)
     rows = first.where("kind = 0").select("doc_id", "n", "cls", "row")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +341,8 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     if not 0 < percent <= 100:
         raise ValueError("the threshold is above 0 and at most 100 per cent")
     spark, scratch = docs.sparkSession, []
-    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")).alias("row"))
+    bound_batches(spark)
+    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row"))
     rows, live = _described(numbered, width, percent, scratch)
     known = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min(known).alias("rep"))

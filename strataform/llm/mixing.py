@@ -102,9 +102,9 @@ def mix(
     rounding order are broken by a seeded hash of id and text, then they do not matter: equal
     rows are interchangeable.  An empty table gives an empty result, and other columns of
     ``docs`` are ignored.  All documents of a source at its cap are taken ``most`` times.
-    ``row_col``, a number of its own for each row, comes back as ``row``.
+    ``row_col``, a value of its own for each row, comes back as ``row``.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *([F.col(row_col).cast("bigint").alias("rid")] if row_col else []))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), *([F.col(row_col).alias("rid")] if row_col else []))
     sizes = stored(source if row_col else source.withColumn("rid", F.monotonically_increasing_id()), "sizes")
     targets = stored(source_targets(sizes, weights, most), "targets")
     ranked = sizes.join(targets.withColumnRenamed("source", "source_of"), sizes["source"].eqNullSafe(F.col("source_of"))).drop("source_of")

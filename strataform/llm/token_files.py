@@ -42,12 +42,13 @@ def packed_bits(x: np.ndarray, width: int) -> np.ndarray:
     """
     rows, n = x.shape
     out = np.zeros((rows, n * width // 8 + 4), np.uint8)
-    x = x.astype(np.uint64)
+    kind = np.uint32 if width <= 25 else np.uint64
+    x = x.astype(kind)
     for r in range(8):
         at, shift = r * width >> 3, r * width & 7
-        own = x[:, r::8] << np.uint64(shift)
+        own = x[:, r::8] << kind(shift)
         for k in range((shift + width + 7) // 8):
-            out[:, at + k : at + k + n // 8 * width : width][:, : n // 8] |= (own >> np.uint64(8 * k)).astype(np.uint8)
+            out[:, at + k : at + k + n // 8 * width : width][:, : n // 8] |= (own >> kind(8 * k)).astype(np.uint8)
     return out[:, : n * width // 8]
 
 
@@ -56,11 +57,12 @@ def unpacked_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
     padded = np.zeros((len(data), data.shape[1] + 5), np.uint8)
     padded[:, : data.shape[1]] = data
     bit = np.arange(n) * width
-    at, shift = bit >> 3, (bit & 7).astype(np.uint64)
-    out = np.zeros((len(data), n), np.uint64)
+    kind = np.uint32 if width <= 25 else np.uint64
+    at, shift = bit >> 3, (bit & 7).astype(kind)
+    out = np.zeros((len(data), n), kind)
     for k in range((7 + width + 7) // 8):
-        out |= padded[:, at + k].astype(np.uint64) << np.uint64(8 * k)
-    return (out >> shift & np.uint64((1 << width) - 1)).astype(np.uint32)
+        out |= padded[:, at + k].astype(kind) << kind(8 * k)
+    return (out >> shift & kind((1 << width) - 1)).astype(np.uint32)
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) -> tuple[np.ndarray, bytes]:
@@ -76,7 +78,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = 0.9) ->
     x = x - low[:, None]
     at = min(block - 1, max(0, math.ceil(percentile * block) - 1))
     widths = np.frexp(np.partition(x, at, axis=1)[:, at].astype(np.float64))[1].astype(np.int64)
-    over = (x.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype(np.uint32)
+    over = np.where(widths[:, None] < 32, x >> np.minimum(widths, 31)[:, None].astype(np.uint32), np.uint32(0))
     packed: list[bytes] = [b""] * count
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)

@@ -11,8 +11,9 @@ from strataform.llm import blooms, common, words
 def test_tree_merge_adds_all_partitions(spark, n):
     df = spark.range(0, 1000, 1, n).select(F.col("id").cast("string").cast("binary").alias("x"))
     add = lambda a, b: str(int(a) + int(b)).encode()
-    assert int(common.tree_merge(df, "x", add)) == sum(range(1000))
-    assert common.tree_merge(df.limit(0), "x", add) is None
+    for bound in (8, common.AT_ONCE):
+        assert int(common.tree_merge(df, "x", add, bound)) == sum(range(1000))
+    assert common.tree_merge(df.limit(0), "x", add, 8) is None
 
 
 def test_the_shared_folder_is_the_session_s(spark):
@@ -62,3 +63,55 @@ def test_sliding_min(width):
     x = np.random.default_rng(1).integers(0, 1000, 100).astype(np.uint64)
     want = [x[k : k + width].min() for k in range(100 - width + 1)]
     assert words.sliding_min(x, width).tolist() == want
+
+
+def test_row_keys_are_found_again(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(0, 100, 1, 3).selectExpr("id % 10 AS k", "'x' AS text").write.parquet(path)
+    scan = spark.read.parquet(path).where("k > 1")
+    for df in (scan, scan.repartition(3), scan.unionByName(scan), scan.limit(0)):
+        keyed = common.with_row_keys(df, "key")
+        one, two = (keyed.select("key", "k").collect() for _ in range(2))
+        assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+        assert len({tuple(r["key"]) for r in one}) == df.count()
+    before = len(list(tmp_path.iterdir()))
+    assert "numbered" not in str(common.with_row_keys(scan, "key").inputFiles())
+    assert len(list(tmp_path.iterdir())) == before
+
+
+@pytest.mark.parametrize("gone", [0, 1, 60])
+def test_rows_without_keys(spark, gone):
+    df = spark.range(0, 60, 1, 3).select(F.struct(F.col("id").alias("f"), F.lit(1).alias("i")).alias("key"), "id")
+    keys = df.where(F.col("id") < gone).select("key")
+    assert sorted(r["id"] for r in blooms.without(df, keys, "key").collect()) == list(range(gone, 60))
+
+
+def test_one_large_value_is_kept():
+    made = []
+    value = lambda k: common.only(k, lambda: made.append(k) or [k])
+    assert value("a") is value("a")
+    value("b")
+    value("a")
+    assert made == ["a", "b", "a"]
+
+
+def test_scratch_is_removed(spark):
+    scratch = []
+    df = common.stored(spark.range(3), "gone", scratch)
+    assert df.count() == 3
+    assert len(scratch) == 1
+    common.cleared(spark, scratch)
+    assert not scratch
+    with pytest.raises(Exception, match=r"."):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_batches_are_bounded_unless_the_session_says(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    common.bound_batches(spark)
+    assert spark.conf.get(key) == str(common.BATCH)
+    spark.conf.set(key, "77")
+    common.bound_batches(spark)
+    assert spark.conf.get(key) == "77"
+    spark.conf.unset(key)

@@ -131,7 +131,7 @@ def test_token_files(spark, docs, rows, empty):
     for known, d, _, ids in encoded:
         want.append((d if known else None, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = token_files.token_files(docs, segment_ids=500, bucket_bytes=2000)
+    got = token_files.token_files(docs, segment_ids=500, bucket_rows=6)
     assert ordered(map(tuple, got.collect())) == ordered(want)
     assert token_files.token_files(empty).count() == 0
 
@@ -139,7 +139,7 @@ def test_token_files(spark, docs, rows, empty):
 def test_a_hot_id_lies_in_several_buckets(spark, tmp_path):
     some = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k}") for k in range(3000)]
     docs = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
-    token_files.write_tokens(docs, f"file://{tmp_path}/t", bucket_bytes=500)
+    token_files.write_tokens(docs, f"file://{tmp_path}/t", bucket_rows=50)
     got = token_files.read_tokens(spark, f"file://{tmp_path}/t").collect()
     assert sorted(r["start"] for r in got)[0] == 0
     assert ordered(r["doc_id"] for r in got) == ordered(d for d, _ in some)
@@ -271,6 +271,14 @@ def test_substring_dedup(docs, rows, width, mer, hot):
     assert ordered(map(tuple, got.collect())) == ordered(brute_substrings(rows, width))
 
 
+def test_periodic_texts_and_hot_minimisers(spark):
+    some = [(1, "la " * 3000), (2, "x " + "la " * 2000 + "y"), (3, "do re " * 900), (4, "so " + "do re " * 400), (5, "la " * 49), (6, "la " * 50), (None, "do re " * 30)]
+    docs = spark.createDataFrame(some, "doc_id bigint, text string").repartition(3)
+    for hot in (substring_dedup.HOT, 500):
+        got = substring_dedup.dedup_substrings(docs, hot=hot).select("doc_id", "n_words", "n_removed", "kept_sha256")
+        assert ordered(map(tuple, got.collect())) == ordered(brute_substrings(some, 50))
+
+
 def test_substring_empty(empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
@@ -324,6 +332,25 @@ def test_rules_find_planted_conjunctions():
     assert quality_rules.learn([]) == []
 
 
+def test_judge_learns_from_labels(spark):
+    r = random.Random(7)
+    text = lambda bad: " ".join(f"{r.choice('abcdefgh')}{r.randrange(999)}" + ("!" if bad and k % 2 else "") for k in range(90))
+    some = [(k, text(k % 3 == 0)) for k in range(300)]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(250)] + [(None, 0, 0), (5, None, 0), (6, 1, 0)]
+    docs = spark.createDataFrame([*some, (None, text(False)), (8, text(False)), (400, None)], "doc_id bigint, text string")
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    got = quality_rules.judge(docs, table).collect()
+    assert len(got) == 303
+    for x in got:
+        if x["doc_id"] is not None and x["doc_id"] < 300 and x["doc_id"] != 8:
+            assert x["kept"] == (x["doc_id"] % 3 > 0 and not x["base_failed"]), x
+    held = quality_rules.labelled_sample(docs, table, most=40)
+    assert len(held) <= 40
+    assert held == quality_rules.labelled_sample(docs.repartition(7), table, most=40)
+    assert len({x["id"] for x in quality_rules.labelled_sample(docs, table)}) == 250
+    assert quality_rules.judge(docs, table.limit(0)).where("kept = base_failed").count() == 0
+
+
 def test_rules_as_columns_mean_the_same(docs):
     rules = [quality_rules.Rule((("n_words", ">", 40), ("marks_permille", "<=", 0))), quality_rules.Rule((("word_length_percent", ">", 900),))]
     found = quality_rules.counts(docs).select("*", *(F.expr(e).alias(f"f_{n}") for n, e in quality_rules.FEATURES.items()), quality_rules.verdict(rules).alias("ok"))
@@ -372,6 +399,28 @@ def test_plain_and_odd_pictures():
             media.decode(bad)
 
 
+def test_tiles_keep_samples_and_tell_errors(spark, tmp_path):
+    wide = b"P5 2 1 65535\n\x01\x02\x7f\xff"
+    colour = np.array([[[255, 0, 0], [0, 255, 0]]], np.uint8)
+    fields = bytearray(media.encode_bmp(colour))
+    fields[30:34] = (3).to_bytes(4, "little")
+    some = [(1, wide), (2, None), (3, b"P5 2 1"), (4, b"P5 0 3 255\n"), (5, media.encode_bmp(colour)), (6, bytes(fields)), (7, b"")]
+    media.write_tiles(spark.createDataFrame(some, "k int, m binary"), f"file://{tmp_path}/t", id_col="k", media_col="m")
+    got = {r["k"]: r for r in spark.read.parquet(f"file://{tmp_path}/t").collect()}
+    assert media.from_npy(bytes(got[1]["npy"]))[0, 0, :3].tolist() == [258, 32767, 65535]
+    assert media.from_npy(bytes(got[5]["npy"]))[0, 0, :3].tolist() == [76, 150, 255]
+    assert [got[k]["npy"] for k in (2, 3, 4, 6, 7)] == [None] * 5
+    assert {k for k in got if got[k]["error"]} == {3, 4, 6, 7}
+
+
+def test_difference_hash_compares_neighbours():
+    r = np.random.default_rng(5)
+    image = r.integers(0, 256, (16, 27), dtype=np.uint8)
+    small = image.reshape(8, 2, 9, 3).astype(float).mean(axis=(1, 3))
+    bits = "".join(str(int(a > b)) for row in small for a, b in zip(row, row[1:], strict=False))
+    assert media.difference_hash(image) == f"{int(bits, 2):016x}"
+
+
 def test_area_resize_equals_the_mean_of_areas():
     r = np.random.default_rng(8)
     image = r.integers(0, 256, (10, 7)).astype(np.float64)
@@ -607,6 +656,25 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_rates_solve_the_dual(spark):
+    """Rates tilt exponentially with size up to the bound, and meet each target: the conditions of the optimum."""
+    import math
+
+    r = random.Random(12)
+    some = [(k, "w " * int(r.lognormvariate(3, 1)), r.choice("aaaaabbbc")) for k in range(900)]
+    got = mixing.mix(spark.createDataFrame(some, "doc_id bigint, text string, source string")).collect()
+    for s in "abc":
+        own = [x for x in got if x["source"] == s and x["size"]]
+        assert sum(x["rate"] * x["size"] for x in own) == pytest.approx(own[0]["target"], rel=1e-3), s
+        tilts = [math.log(x["rate"]) / x["size"] for x in own if x["rate"] < 3 - 1e-9]
+        assert max(tilts, default=0) - min(tilts, default=0) < 1e-6
+        slope = max(tilts, default=0)
+        assert all(math.exp(min(9.0, slope * x["size"])) >= 3 - 1e-6 for x in own if x["rate"] >= 3 - 1e-9) or own[0]["target"] >= 3 * own[0]["source_size"] - 1e-6
+        changed = [x for x in own if not math.floor(x["rate"]) <= x["copies"] <= math.ceil(x["rate"])]
+        assert len(changed) <= 8
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= max(x["size"] for x in own)
+
+
 def test_targets_by_waterfilling(spark):
     sizes = [("a", 10), ("b", 1), ("c", 500), ("d", 3), (None, 7), ("é", 40), ("zero", 0)]
     df = spark.createDataFrame(sizes, "source string, size bigint")

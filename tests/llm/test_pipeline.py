@@ -152,6 +152,44 @@ def test_run_is_lossless_and_repeats(spark):
     assert ordered(map(tuple, rows_)) == ordered(map(tuple, again))
 
 
+def test_run_equals_brute_force(spark, tmp_path):
+    """One source, so that the mix takes each document once; the other stages are done again by hand."""
+    from strataform.llm import sentencepiece_codec
+
+    from .test_operators import one_by_one
+
+    r = __import__("random").Random(3)
+    words = ["the", "of", "under", "table", "house", "green", "walk", "river", "stone", "report", "idle"]
+    some, labels = [], []
+    for k in range(320):
+        text = [r.choice(words) for _ in range(30)]
+        bad = k % 5 == 0
+        if bad:
+            text[r.randrange(30)] = r.choice(["idiot", "1d10t", "i d i o t"]) if k > 200 else "idiot"
+        some.append((k, " ".join(text) + ("\nAll rights reserved." if k % 7 == 1 else "")))
+        labels.append((k, 1, int(bad)))
+    some += [(400 + k, some[31][1] + f" more{k}") for k in range(3)] + [(500, some[33][1]), (501, None), (502, ""), (None, "no id at all")]
+    spark.createDataFrame([(d, t, "en", "one", len(t or "")) for d, t in some], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    clean = [(d, t) for d, t in some if d is None or d >= 400 or d % 5]
+    lines = brute_first_lines(clean, 10)
+    components = brute_components(lines, 80)
+    kept = [(d, t) for (d, t), (_, n, c) in zip(lines, components, strict=True) if not n or c == d]
+    c = sentencepiece_codec.Codec(None, 0.1, 0)
+    import pyarrow as pa
+
+    want = []
+    for d, t in kept:
+        key = sentencepiece_codec.document_keys(pa.RecordBatch.from_pydict({"doc_id": [d], "text": [t], "copy": [1]}), [t])[0]
+        ids = one_by_one(c, t, key)
+        want.append((d, len(t.encode()), len(ids), tuple(ids), True))
+    got = pipeline.run(spark, f"file://{tmp_path}").collect()
+    import numpy as np
+
+    found = [(x["doc_id"], x["n_bytes"], x["n_tokens"], tuple(np.frombuffer(x["ids"], np.uint16).tolist()), x["lossless"]) for x in got]
+    assert ordered(found) == ordered(want)
+
+
 def test_stages_take_odd_rows(spark, rows):  # noqa: F811
     docs = spark.createDataFrame([(d, t, "en", None if k % 3 else "s", 0, "extra") for k, (d, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint, size string")
     for some in (docs, docs.limit(0)):
