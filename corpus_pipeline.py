@@ -2,6 +2,11 @@
 
 Stages take (spark, docs, sf_dir) and return a table with the columns of documents, the last
 one the encoded texts.  ``run`` writes each stage's table as Parquet and reads it again.
+
+Each stage decides row by row: rows that repeat or share an id, and null ids, stay rows of their
+own.  A null or empty text is clean, has one empty line, is no near copy, has no words and no
+ids.  An empty table gives an empty table; extra columns go along, and clash with nothing but
+names that begin with ``_row`` or ``_copies``.
 """
 
 from __future__ import annotations
@@ -11,8 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataform.llm import jaccard_join, line_dedup, mixing, sentencepiece_codec, toxicity
-from strataform.llm.common import stored, table
+from strataform.llm import blooms, jaccard_join, line_dedup, mixing, sentencepiece_codec, toxicity
+from strataform.llm.common import stored, table, with_row_keys
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -32,17 +37,12 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The first row has the smallest id, a null id being the largest; then the smaller hash of the
     text; equal rows are interchangeable.  No row goes, even if it is left without text.
     """
-    numbered = _numbered(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row_id")
-    rows = numbered.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), "text", order.alias("_order"))
-    out = line_dedup.dedup_lines(rows, id_col="_row", order_col="_order", keep="first").select("doc_id.*", F.col("text").alias("_text"))
-    n_chars = {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns({**n_chars, "text": F.col("_text")}).select(*_columns(docs))
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, written out so that every later read finds the same numbers."""
-    return stored(docs.withColumn("_row_id", F.monotonically_increasing_id()), "numbered")
+    keyed = with_row_keys(docs, "_row_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row_key")
+    rows = keyed.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), "text", order.alias("_row_order"))
+    out = line_dedup.dedup_lines(rows, id_col="_row", order_col="_row_order", keep="first").select("doc_id.*", F.col("text").alias("_row_text"))
+    n_chars = {"n_chars": F.length("_row_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns({**n_chars, "text": F.col("_row_text")}).select(*_columns(docs))
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,26 +51,26 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It has the smallest id, a null id being the largest, then the smallest digest of the set of
     shingles, then of the text; equal rows are interchangeable.
     """
-    numbered = _numbered(docs.withColumn("_hash", F.xxhash64("text")))
-    found = jaccard_join.jaccard_components(numbered, row_col="_row_id").where("cls is not null")
+    keyed = with_row_keys(docs, "_row_key")
+    found = jaccard_join.jaccard_components(keyed, row_col="_row_key").where("cls is not null")
     found = stored(found.select("label", "doc_id", "cls", "row"), "found")
     # Only groups of several rows have one to choose.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")
     several = found.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least")).where("n > 1").drop("n")
-    member = found.join(several, "label")
-    first = member.where(place == F.col("least")).select("row", "label")
-    hashes = numbered.select(F.col("_row_id").alias("row"), "_hash")
+    member = stored(found.join(several, "label").select("label", "row", (place == F.col("least")).alias("first")), "members")
+    first = member.where("first").select("row", "label")
+    hashes = keyed.select(F.col("_row_key").alias("row"), F.xxhash64("text").alias("_hash"))
     chosen = first.join(hashes, "row").groupBy("label").agg(F.min(F.struct("_hash", "row")).alias("best")).select(F.col("best.row").alias("row"))
-    gone = member.select("row").join(chosen, "row", "left_anti").withColumnRenamed("row", "_row_id")
-    return numbered.join(gone, "_row_id", "left_anti").select(*_columns(docs))
+    gone = member.select("row").join(chosen, "row", "left_anti").withColumnRenamed("row", "_row_key")
+    return blooms.without(keyed, gone, "_row_key").select(*_columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as many times as its source's share of the mix takes it; repeated rows are rounded each."""
-    numbered = _numbered(docs)
-    taken = mixing.mix(numbered, row_col="_row_id").where("copies > 0").select(F.col("row").alias("_row_id"), F.col("copies").alias("_copies"))
-    both = numbered.join(taken, "_row_id")
-    return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*_columns(docs))
+    keyed = with_row_keys(docs, "_row_key")
+    taken = mixing.mix(keyed, row_col="_row_key").where("copies > 0").select(F.col("row").alias("_row_key"), F.col("copies").alias("_copies"))
+    both = keyed.join(taken, "_row_key")
+    return both.withColumn("_copies_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*_columns(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encoded),
 ]
 
-#: Scores learned from labels, Newton steps and the merge agenda have no SQL: tests hold stages against brute force or planted cases, and run() against a rerun.
+#: Scores learned from labels, Newton steps and the merge agenda have no SQL: tests hold run() against a brute-force version on small tables, and each stage against brute force or planted cases.
 ORACLE_SQL = None
 
 
