@@ -135,6 +135,14 @@ def tag(raw: str | Column) -> Column:
     return F.when(raw.isNull(), "na").when(~F.is_valid_utf8(text), "bytes").when(ascii_, "native").otherwise("utf8")
 
 
+def converted(raw: str | Column, encoding: str | Column) -> Column:
+    """Text of bytes in the encoding "native", "utf8" or "latin1"; null where they are no text of it."""
+    raw, encoding = as_column(raw), as_column(encoding)
+    valid = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    ascii_ = F.when(F.length(valid) == F.octet_length(raw), valid)
+    return F.when(encoding == "latin1", F.decode(raw, "ISO-8859-1")).when(encoding == "utf8", valid).when(encoding == "native", ascii_)
+
+
 def levels(df: DataFrame, ordered: list[str] | None = None) -> DataFrame:
     """code (from 1) and level: the given order, or the distinct values in theirs."""
     spark = df.sparkSession

