@@ -4,7 +4,8 @@ import pytest
 
 from strataform.errors import ArgumentError
 from strataform.operators import graph, guards, rows
-from strataform.plans import trees
+
+from . import trees
 
 
 @pytest.mark.parametrize(("wanted", "want"), [(["b", "a"], [1, 0]), ([3, 1], [2, 0]), ([], []), (None, [0, 1, 2]), ([2.0], [1])])
