@@ -159,12 +159,12 @@ AT_ONCE = 256 << 20
 def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes], bound: int) -> bytes | None:
     """One binary value folded over all rows, of which a partition of ``df`` has one.
 
-    ``bound`` is the most bytes that a value may have.  The values are written out, by all
-    tasks at once; executors fold groups of them until few are left for the driver, which
-    takes them in one after the other.  Both hold a bounded number of bytes at any size.
+    ``bound`` is the most bytes that a value may have.  Of many partitions the values are
+    written out and executors fold groups of them until few are left.  The driver takes in as
+    many of the rest at a time as it can hold.  Both hold a bounded number of bytes at any size.
     """
     spark, scratch = df.sparkSession, []
-    held = stored(df.select(column), "values", scratch)
+    held = df.select(column)
     group = max(2, min(64, (AT_ONCE >> 2) // bound))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +175,22 @@ def tree_merge(df: DataFrame, column: str, merge: Callable[[bytes, bytes], bytes
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.binary())], [column])
 
-    while (n := held.count()) > 64:
-        held = stored(held.repartition(-(-n // group)).mapInArrow(fold, f"{column} binary"), "values", scratch)
+    if held.rdd.getNumPartitions() > 64:
+        held = stored(held, "values", scratch)
+        while (n := held.count()) > 64:
+            held = stored(held.repartition(-(-n // group)).mapInArrow(fold, f"{column} binary"), "values", scratch)
     total = None
-    for row in held.toLocalIterator():
+    for row in _rows_in_waves(held, max(1, AT_ONCE // bound)):
         total = bytes(row[0]) if total is None else merge(total, bytes(row[0]))
     cleared(spark, scratch)
     return total
+
+
+def _rows_in_waves(df: DataFrame, wave: int) -> Iterator[Any]:
+    """The rows of ``df``, some partitions at a time and these all at once, without Python workers of its own."""
+    from pyspark.util import _load_from_socket
+
+    context, rdd = df.sparkSession.sparkContext, df.rdd
+    for a in range(0, n := rdd.getNumPartitions(), wave):
+        found = context._jvm.PythonRDD.runJob(context._jsc.sc(), rdd._jrdd, list(range(a, min(n, a + wave))))
+        yield from _load_from_socket(found, rdd._jrdd_deserializer)
