@@ -31,6 +31,18 @@ def is_decimal(v: str | Column, e: int, f: int = 0) -> Column:
     return F.coalesce((back == v) & (bits_key(back) == bits_key(v)), F.lit(False))
 
 
+def equals_decimal(v: str | Column, e: int) -> Column:
+    """Whether v, of any size, compares equal to a whole number over 10**e, as SQL has it; null for null.
+
+    Unlike ``is_decimal`` this looks at numbers and not at bits or codes: -0.0 is 0, and NaN and
+    the infinities equal themselves.
+    """
+    v = as_column(v)
+    x = v * float(10**e) + 0.5
+    # From 2**52 on doubles are whole, and the floor of larger ones would not fit a bigint.
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x) / float(10**e) == v
+
+
 def decimal_places(v: str | Column, most: int = 4) -> Column:
     """The fewest decimal places that hold v exactly; null where more than ``most`` are needed."""
     return F.coalesce(*(F.when(is_decimal(v, e), e) for e in range(most + 1))).cast("bigint")
